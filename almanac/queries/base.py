@@ -6,7 +6,7 @@ import string
 from dataclasses import dataclass
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import round_half_up
 from .bindings import AS_OF, BASE, DERIVED
@@ -43,12 +43,19 @@ class Tables:
                 self._seen[name] = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
             elif name in DERIVED:
                 text = DERIVED[name]
-                self._seen[name] = self.spark.sql(text, **{n: getattr(self, n) for n in _inputs(text)})
+                bound = self.spark.sql(text, **{n: getattr(self, n) for n in _inputs(text)})
+                self._seen[name] = bound.select(*[_wall_clock(bound, f.name) for f in bound.schema])
             else:
                 raise AttributeError(name)
         return self._seen[name]
 
 
+def _wall_clock(df: DataFrame, name: str):
+    """``date_trunc`` returns zoned timestamps; the tables hold wall-clock ones."""
+    zoned = df.schema[name].dataType == T.TimestampType()
+    return F.col(name).cast("timestamp_ntz") if zoned else F.col(name)
+
+
 def _inputs(text: str) -> set[str]:
     return {field for _, field, _, _ in string.Formatter().parse(text) if field}
 
