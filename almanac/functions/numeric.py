@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+# Fixed value: how far below a tie still rounds up. Sums of doubles differ in the last
+# bits with the order of tasks; without this a tie could fall either way between runs.
+TIE_MARGIN = 1e-9
+
+
 def round_half_up(value: Column, digits: int) -> Column:
     """``floor(x * 10^d + 0.5) / 10^d``: one rule that every SQL engine evaluates alike."""
     scale = 10**digits
-    return F.floor(value * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    return F.floor(value * F.lit(scale) + F.lit(0.5 + TIE_MARGIN)) / F.lit(scale)
 
 
 def numeric_coerce(value: Column) -> Column:

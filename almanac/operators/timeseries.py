@@ -36,12 +36,17 @@ def pain_rolling(timeline: DataFrame) -> DataFrame:
 
 
 def weather_fill(timeline: DataFrame, columns=FILLED) -> DataFrame:
-    """Carry the last known value forward, then fill the head from the first one."""
+    """Carry the last known value forward, then fill the head from the first one.
+
+    Rows the forward fill leaves empty lie before the first known value, so the backward
+    fill is that value; a whole-partition frame finds it once per subject, where a
+    current-row-to-end frame would rescan the rest for every row.
+    """
     before = day_window().rowsBetween(Window.unboundedPreceding, 0)
-    after = day_window().rowsBetween(0, Window.unboundedFollowing)
+    whole = day_window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return timeline.withColumns(
         {
-            c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(after))
+            c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(whole))
             for c in columns
             if c in timeline.columns
         }

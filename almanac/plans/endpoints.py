@@ -9,6 +9,7 @@ from ..operators.features import build_features
 from ..operators.daily import dense_timeline
 from ..operators.features import timeline_weather_join
 from ..sources.log import history_sort, ingest_csv, ingest_store, list_stores, register_store, scan_entries_range
+from ..session import materialize
 from . import scoring, training
 
 __all__ = [
@@ -84,7 +85,7 @@ training_status = training.needs_retrain
 def retrain(log, weather, subject_location, config=training.TrainingConfig(), root: str | None = None):
     """Timeline, features, validation and final fit; saves a version when given a root."""
     combined = timeline_weather_join(dense_timeline(log, weather, subject_location), weather, subject_location)
-    frame = training.training_frame(build_features(combined))
+    frame = materialize(training.training_frame(build_features(combined)), "frame")
     scores = training.cross_validate(frame, config)
     kept, _ = training.correlation_filter(frame, config.features)
     model = training.train_hurdle(frame, config, kept)

@@ -5,10 +5,10 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -63,37 +63,32 @@ class HurdleModel(Transformer):
         )
 
 
-def _stages(features):
-    filled = [f"{c}__filled" for c in features]
-    return [
-        Imputer(inputCols=list(features), outputCols=filled, strategy="mean"),
-        VectorAssembler(inputCols=filled, outputCol="feature_vector"),
-    ]
-
-
-def _as_double(df: DataFrame, features) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("double") for c in features})
+def _feature_means(df: DataFrame, features) -> dict[str, float]:
+    """Mean of every feature that has a value; all-null features are left out."""
+    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in features]).first()
+    return {c: row[c] for c in features if row[c] is not None}
 
 
-def _usable(df: DataFrame, features) -> list[str]:
-    """Features with at least one value; an all-null column cannot be imputed."""
-    seen = df.agg(*[F.count(c).alias(c) for c in features]).first()
-    return [c for c in features if seen[c]]
+def _stages(means: dict[str, float]):
+    """Fill gaps with the training mean, then assemble: two stages a saved model keeps."""
+    filled = ", ".join(f"coalesce(cast(`{c}` as double), {m!r}D) as `{c}__filled`" for c, m in means.items())
+    return [
+        SQLTransformer(statement=f"select *, {filled} from __THIS__"),
+        VectorAssembler(inputCols=[f"{c}__filled" for c in means], outputCol="feature_vector"),
+    ]
 
 
 def train_hurdle(features: DataFrame, config: TrainingConfig = TrainingConfig(), columns=None) -> HurdleModel:
     """K1: weighted boosting for "any pain" and for ``log(1 + pain)`` over all rows.
 
-    Features are assembled once and materialised, because boosting reads them many times.
+    Features are assembled once and materialised, because boosting reads them many times;
+    pass a materialised frame, since means and class sizes are read from it first.
     """
-    columns = list(columns or config.features)
-    spark = features.sparkSession
-    ensure_checkpoint_dir(spark)
-    columns = _usable(features, columns)
-    prepared = with_training_weights(_as_double(features, columns)).withColumn(
-        "label", F.col("pain_binary").cast("double")
-    )
-    prep = Pipeline(stages=_stages(columns)).fit(prepared)
+    ensure_checkpoint_dir(features.sparkSession)
+    means = _feature_means(features, list(columns or config.features))
+    columns = list(means)
+    prepared = with_training_weights(features).withColumn("label", F.col("pain_binary").cast("double"))
+    prep = PipelineModel(_stages(means))
     data = materialize(
         prep.transform(prepared).select("feature_vector", "label", "pain_log", "sample_weight", "train_weight"), "training"
     )
@@ -105,10 +100,8 @@ def train_hurdle(features: DataFrame, config: TrainingConfig = TrainingConfig(),
         seed=config.seed,
         checkpointInterval=10,
     )
-    clf = GBTClassifier(
-        labelCol="label", weightCol="train_weight", predictionCol="class_prediction",
-        probabilityCol="class_probability", rawPredictionCol="class_raw", **common,
-    ).fit(data)
+    classifier = GBTClassifier(labelCol="label", weightCol="train_weight", predictionCol="class_prediction", **common)
+    clf = classifier.setProbabilityCol("class_probability").setRawPredictionCol("class_raw").fit(data)
     reg = GBTRegressor(
         labelCol="pain_log", weightCol="sample_weight", predictionCol="log_prediction", **common
     ).fit(data)
@@ -198,7 +191,7 @@ def cross_validate(features: DataFrame, config: TrainingConfig = TrainingConfig(
     for number, (start, end) in enumerate(pooled_folds(span["lo"], span["hi"], config.folds), start=1):
         train = data.where(F.col("date") < F.lit(start))
         test = data.where((F.col("date") >= F.lit(start)) & (F.col("date") < F.lit(end)))
-        kept, _ = correlation_filter(train, _usable(train, config.features))
+        kept, _ = correlation_filter(train, config.features)
         model = train_hurdle(train, config, kept)
         scored = materialize(
             model.transform(test).select("pain", "pain_binary", "episode_probability", "log_severity"), "fold"
@@ -229,9 +222,7 @@ FOREST_GRID = {"trees": [100, 200, 300], "depth": [10, 20, 30], "leaf": [1, 2, 4
 def forest_grid_search(features: DataFrame, columns=FEATURES, grid=None, folds: int = 3, seed: int = 42, parallelism: int = 2):
     """K6: exhaustive search over a regression forest; returns (best model, score table)."""
     grid = {**FOREST_GRID, **(grid or {})}
-    columns = _usable(features, columns)
-    data = _as_double(features, columns)
-    prepared = Pipeline(stages=_stages(columns)).fit(data).transform(data)
+    prepared = PipelineModel(_stages(_feature_means(features, columns))).transform(features)
     data = materialize(prepared.select("feature_vector", "pain_log"), "forest")
     forest = RandomForestRegressor(featuresCol="feature_vector", labelCol="pain_log", seed=seed)
     maps = (

@@ -83,7 +83,7 @@ def with_tables(*names: str, extra: str = "") -> str:
 def r(expression: str, digits: int = 6) -> str:
     """The rounding rule of :func:`round_half_up`, as SQL text."""
     scale = 10**digits
-    return f"(floor(({expression})*{scale}+0.5)/{scale})"
+    return f"(floor(({expression})*{scale}+0.500000001)/{scale})"
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:

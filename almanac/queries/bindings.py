@@ -73,9 +73,9 @@ select cast(s_nationkey as bigint) as location_id, cast(l_shipdate as date) as d
   avg(cast(l_linenumber as double)) as wspd, cast(count(*) as double) * 30 as tsun,
   40 + 5 * avg(cast(floor(l_discount * 100 + 0.5) as bigint)) as average_humidity,
   cast(40 + 5 * max(cast(floor(l_discount * 100 + 0.5) as bigint)) as double) as midday_humidity,
-  cast(s_nationkey as double) / 2 - 5 as latitude, cast(s_nationkey as double) * 4 - 50 as longitude
+  cast(cast(s_nationkey as bigint) as double) / 2 - 5 as latitude, cast(cast(s_nationkey as bigint) as double) * 4 - 50 as longitude
 from {lineitem} join {supplier} on l_suppkey = s_suppkey
-group by s_nationkey, cast(l_shipdate as date)
+group by cast(s_nationkey as bigint), cast(l_shipdate as date)
 """
 
 WEATHER_HOURLY = """

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import correlation, features
+from ..session import materialize
 from .base import FEATURES, Tables, query, r, rounded, with_tables
 from .timeline import RECENT, TABLES, combined_of, inference_targets
 
@@ -64,13 +65,13 @@ def inference_features(t: Tables):
     ),
 )
 def correlation_pairs(t: Tables):
-    return rounded(correlation.correlation_pairs(features_of(t), features.FEATURES), "abs_r")
+    # Two passes over the features: written once, read twice.
+    data = materialize(features_of(t).select(*features.FEATURES), "features")
+    return rounded(correlation.correlation_pairs(data, features.FEATURES), "abs_r")
 
 
 @query("i4_correlation_filter")
 def correlation_filter(t: Tables):
-    from ..session import materialize
-
     kept, dropped = correlation.correlation_filter(materialize(features_of(t), "features"), features.FEATURES)
     rows = [(c, True) for c in kept] + [(c, False) for c in dropped]
     return t.spark.createDataFrame(rows, "feature string, is_kept boolean")

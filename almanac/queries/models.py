@@ -9,6 +9,7 @@ from ..functions import round_half_up
 from ..operators.features import FEATURES as FEATURE_NAMES
 from ..operators.features import inference_features
 from ..plans import scoring, training
+from ..session import materialize
 from .base import Tables, query, r, rounded, with_tables
 from .features import features_of
 from .scoring import settings_of
@@ -105,8 +106,12 @@ def needs_retrain(t: Tables):
     return training.needs_retrain(t.log, t.model_registry, threshold=20)
 
 
+def frame_of(t: Tables):
+    return materialize(training.training_frame(features_of(t)), "frame")
+
+
 def trained_of(t: Tables):
-    frame = training.training_frame(features_of(t))
+    frame = frame_of(t)
     return frame, training.train_hurdle(frame, CONFIG)
 
 
@@ -135,7 +140,7 @@ def predict_day(t: Tables):
 
 @query("k6_forest_grid_search")
 def forest_grid_search(t: Tables):
-    frame = training.training_frame(features_of(t))
+    frame = frame_of(t)
     small = {"trees": [5, 10], "depth": [5], "leaf": [4], "bootstrap": [True]}
     _, table = training.forest_grid_search(frame, FEATURE_NAMES, small)
     return table

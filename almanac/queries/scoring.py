@@ -79,7 +79,7 @@ _W = weather_score("h.pressure_change_3h", 3.0, "h.precipitation", "h.relative_h
 
 
 def _scored(factor: str = "1.0", join: str = "") -> str:
-    return f"""scored as (select *, floor(floor(p * 100 + 0.5) / 100 * 100 * 10 + 0.5) / 10 as risk_score, {rules_level('p')} as risk_level from (
+    return f"""scored as (select *, {r(r("p", 2) + " * 100", 1)} as risk_score, {rules_level('p')} as risk_level from (
   select subject_id, location_id, ts, temperature_2m, relative_humidity_2m, w, prior, factor,
     least(greatest((w * 0.6 + prior * 0.4 + case when w > 0.5 and prior > 0.5 then 0.2 else 0.0 end) * factor, 0.0), 1.0) as p from (
     select s.subject_id, h.*, coalesce(p.prior, 0.1) as prior, {_W} as w, {factor} as factor

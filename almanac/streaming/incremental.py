@@ -1,12 +1,12 @@
 """M1-M4: continuous ingest, usage counts, daily maxima and weather rollup.
 
-Inputs are streaming DataFrames with an event time ``ts``. Results go to files in the
-shared folder, never through the driver's memory.
+Inputs are streaming DataFrames with a wall-clock event time ``ts``. Results go to files
+in the shared folder, never through the driver's memory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import numeric_coerce, split_list
@@ -17,6 +17,17 @@ from ..sources.log import read_or_empty
 DEDUP_KEY = ["subject_id", "date", "time"]
 
 
+def with_event_time(stream: DataFrame, delay: str) -> DataFrame:
+    """Watermarks need an instant: read the wall clock as UTC, whatever the session zone,
+    so day windows start at midnight."""
+    instant = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+    return stream.withColumn("event_time", instant).withWatermark("event_time", delay)
+
+
+def window_date() -> Column:
+    return F.to_date(F.to_utc_timestamp("window.start", F.current_timezone()))
+
+
 def ingest_dedup(stream: DataFrame, store_path: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
     """M1: append rows whose (subject, date, time) is neither in the stream nor stored.
 
@@ -25,7 +36,7 @@ def ingest_dedup(stream: DataFrame, store_path: str, checkpoint: str, delay: str
     replayed batch replaces its own output and cannot append twice.
     """
     schema = stream.schema
-    fresh = stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(DEDUP_KEY)
+    fresh = with_event_time(stream, delay).dropDuplicatesWithinWatermark(DEDUP_KEY).drop("event_time")
 
     def append(batch: DataFrame, number: int) -> None:
         stored = read_or_empty(batch.sparkSession, store_path, schema_with_batch(schema)).where(F.col("batch") < number)
@@ -57,18 +68,18 @@ def usage_counts(stream: DataFrame) -> DataFrame:
 def daily_max(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """M3: worst pain per subject and day, emitted once the day is past the watermark."""
     return (
-        stream.withWatermark("ts", delay)
-        .groupBy("subject_id", F.window("ts", "1 day"))
+        with_event_time(stream, delay)
+        .groupBy("subject_id", F.window("event_time", "1 day"))
         .agg(F.max(numeric_coerce(F.col("pain"))).alias("pain"))
-        .select("subject_id", F.to_date("window.start").alias("date"), "pain")
+        .select("subject_id", window_date().alias("date"), "pain")
     )
 
 
 def weather_rollup(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """M4: hourly readings to daily features, per location and day."""
     return (
-        stream.withWatermark("ts", delay)
-        .groupBy("location_id", F.window("ts", "1 day"))
+        with_event_time(stream, delay)
+        .groupBy("location_id", F.window("event_time", "1 day"))
         .agg(
             F.count(F.lit(1)).alias("n_hours"),
             F.avg("temperature_2m").alias("tavg"),
@@ -77,7 +88,7 @@ def weather_rollup(stream: DataFrame, delay: str = "1 day") -> DataFrame:
             F.avg("surface_pressure").alias("pres"),
             F.sum("precipitation").alias("prcp"),
         )
-        .select("location_id", F.to_date("window.start").alias("date"), "n_hours", "tavg", "tmin", "tmax", "pres", "prcp")
+        .select("location_id", window_date().alias("date"), "n_hours", "tavg", "tmin", "tmax", "pres", "prcp")
     )
 
 
