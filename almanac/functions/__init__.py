@@ -26,6 +26,7 @@ from .risk import risk_level_calibrated, risk_level_model, risk_level_rules
 from .text import (
     blank_to_null,
     effective_medications,
+    is_json,
     loc_parse,
     med_names,
     medication_label,

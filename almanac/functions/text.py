@@ -30,7 +30,9 @@ def parse_meds(value: Column) -> Column:
     Goes through the variant type, which rejects broken JSON and tells a list from a
     bare object. Items that are not objects with a name are dropped.
     """
-    items = F.try_variant_get(F.try_parse_json(value), "$", "array<variant>")
+    # Only text that opens like a list is parsed: broken JSON costs far more than a look.
+    listed = F.when(strip(value).startswith("["), value)
+    items = F.try_variant_get(F.try_parse_json(listed), "$", "array<variant>")
     pairs = F.transform(
         items,
         lambda v: F.struct(
@@ -47,6 +49,12 @@ def med_names(value: Column) -> Column:
     return F.coalesce(names, F.array().cast("array<string>"))
 
 
+def is_json(value: Column) -> Column:
+    """Whether the text is valid JSON; parsed only if its first character allows that."""
+    opens = strip(value).rlike(r'^([\[{"0-9-]|true$|false$|null$)')
+    return F.try_parse_json(F.when(opens, value)).isNotNull()
+
+
 def to_meds_json(items: Column) -> Column:
     """H3: array of ``{name, dosage}`` -> JSON text."""
     return F.to_json(items)

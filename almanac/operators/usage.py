@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import med_names, months_back, round_half_up, split_list, strip
+from ..functions import is_json, med_names, months_back, round_half_up, split_list, strip
 from .clean import filter_painful
 from .stats import NO_MEDICATION
 
@@ -36,8 +36,7 @@ def trigger_counts(log: DataFrame) -> DataFrame:
 def recorded_meds(log: DataFrame) -> Column:
     """Names from a valid JSON list, else from comma text in the same column."""
     text = F.col("medications")
-    is_json = F.try_parse_json(text).isNotNull()
-    return F.filter(F.when(is_json, med_names(text)).otherwise(split_list(text)), lambda n: n != "")
+    return F.filter(F.when(is_json(text), med_names(text)).otherwise(split_list(text)), lambda n: n != "")
 
 
 def medication_use_counts(log: DataFrame) -> DataFrame:
@@ -58,11 +57,14 @@ def distinct_names(log: DataFrame) -> DataFrame:
     return all_med_names(log).distinct()
 
 
-def with_share(counts: DataFrame, key: str = "name") -> DataFrame:
-    """Percent share of each label within its subject, and the chart label."""
+def with_share(counts: DataFrame, shown: DataFrame | None = None, key: str = "name") -> DataFrame:
+    """Percent share of each label within its subject, and the chart label.
+
+    Totals cover all of ``counts``; ``shown`` limits the rows that are labelled.
+    """
     totals = counts.groupBy("subject_id").agg(F.sum("uses").alias("total"))
     share = round_half_up(F.col("uses") / F.col("total") * 100, 0).cast("int")
-    return counts.join(totals, "subject_id").withColumns(
+    return (counts if shown is None else shown).join(totals, "subject_id").withColumns(
         {"share_pct": share, "label": F.concat(F.col(key), F.lit(" ("), share.cast("string"), F.lit("%)"))}
     )
 
@@ -91,7 +93,11 @@ def registry_lookup_ci(names: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def trigger_usage(log: DataFrame, registry: DataFrame, as_of, span: str = "1y", by_category: bool = False, k: int = 10) -> DataFrame:
-    """Top labels (or categories) with their share of all uses."""
+    """Top labels (or categories) with their share of all uses.
+
+    Labels are ranked before the totals are joined, so each task has cut a subject's
+    labels to ``k`` before they meet.
+    """
     counts = trigger_counts(since(log, as_of, span))
     if by_category:
         counts = (
@@ -99,7 +105,7 @@ def trigger_usage(log: DataFrame, registry: DataFrame, as_of, span: str = "1y",
             .groupBy("subject_id", F.col("category").alias("name"))
             .agg(F.sum("uses").alias("uses"))
         )
-    return usage_topk(with_share(counts), k)
+    return with_share(counts, usage_topk(counts, k))
 
 
 def medication_usage(log: DataFrame, as_of, span: str = "1y") -> DataFrame:
@@ -107,22 +113,26 @@ def medication_usage(log: DataFrame, as_of, span: str = "1y") -> DataFrame:
     return with_share(medication_use_counts(since(log, as_of, span)))
 
 
-def _recount(registry: DataFrame, counts: DataFrame) -> DataFrame:
-    return (
-        registry.join(counts, ["subject_id", "name"], "left")
-        .withColumn("usage_count", F.coalesce("uses", "usage_count", F.lit(0).cast("bigint")))
-        .drop("uses")
-    )
+def _recount(registry: DataFrame, counts: DataFrame, only_unused: bool = False) -> DataFrame:
+    """Counters replaced by the counts; ``only_unused`` limits that to subjects whose
+    counters add up to zero."""
+    joined = registry.join(counts, ["subject_id", "name"], "left")
+    counted = F.coalesce("uses", "usage_count", F.lit(0).cast("bigint"))
+    if only_unused:
+        totals = registry.groupBy("subject_id").agg(F.sum(F.coalesce("usage_count", F.lit(0))).alias("total"))
+        joined = joined.join(totals, "subject_id")
+        counted = F.when(F.col("total") == 0, counted).otherwise(F.col("usage_count"))
+    return joined.withColumn("usage_count", counted).select(*registry.columns)
 
 
-def usage_recount_triggers(log: DataFrame, registry: DataFrame) -> DataFrame:
+def usage_recount_triggers(log: DataFrame, registry: DataFrame, only_unused: bool = False) -> DataFrame:
     """Usage counters rebuilt from the log; names never used keep their counter."""
-    return _recount(registry, trigger_counts(log))
+    return _recount(registry, trigger_counts(log), only_unused)
 
 
-def usage_recount_meds(log: DataFrame, registry: DataFrame) -> DataFrame:
+def usage_recount_meds(log: DataFrame, registry: DataFrame, only_unused: bool = False) -> DataFrame:
     """Both the legacy text and the JSON list add up."""
-    return _recount(registry, _count(all_med_names(log)))
+    return _recount(registry, _count(all_med_names(log)), only_unused)
 
 
 def legacy_med_counts(log: DataFrame) -> DataFrame:

@@ -53,23 +53,11 @@ prediction_hourly = scoring.hourly_forecast
 
 def medications(log: DataFrame, registry: DataFrame) -> DataFrame:
     """Registry by use; a subject whose counters are all zero is recounted from the log."""
-    return _synced(registry, usage.usage_recount_meds(log, registry))
+    return usage.registry_sort(usage.usage_recount_meds(log, registry, only_unused=True))
 
 
 def triggers(log: DataFrame, registry: DataFrame) -> DataFrame:
-    return _synced(registry, usage.usage_recount_triggers(log, registry))
-
-
-def _synced(registry: DataFrame, recounted: DataFrame) -> DataFrame:
-    unused = (
-        registry.groupBy("subject_id")
-        .agg(F.sum(F.coalesce("usage_count", F.lit(0))).alias("total"))
-        .where(F.col("total") == 0)
-        .select("subject_id")
-    )
-    kept = registry.join(unused, "subject_id", "left_anti")
-    fresh = recounted.join(unused, "subject_id", "left_semi")
-    return usage.registry_sort(kept.unionByName(fresh.select(*registry.columns)))
+    return usage.registry_sort(usage.usage_recount_triggers(log, registry, only_unused=True))
 
 
 medications_import = usage.registry_anti_ci
