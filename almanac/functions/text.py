@@ -30,17 +30,20 @@ def parse_meds(value: Column) -> Column:
     Goes through the variant type, which rejects broken JSON and tells a list from a
     bare object. Items that are not objects with a name are dropped.
     """
-    # Only text that opens like a list is parsed: broken JSON costs far more than a look.
-    listed = F.when(strip(value).startswith("["), value)
-    items = F.try_variant_get(F.try_parse_json(listed), "$", "array<variant>")
-    pairs = F.transform(
-        items,
+    # Only text bracketed like a list is parsed: a failed parse costs far more than a look,
+    # and the parser itself would let text after the closing bracket pass.
+    listed = F.when(strip(value).startswith("[") & strip(value).endswith("]"), value)
+    parsed = F.try_parse_json(listed)
+    # A clean list converts in one step; one with odd items is taken apart item by item.
+    clean = F.try_variant_get(parsed, "$", f"array<{MEDS_ITEM}>")
+    mixed = F.transform(
+        F.try_variant_get(parsed, "$", "array<variant>"),
         lambda v: F.struct(
             F.try_variant_get(v, "$.name", "string").alias("name"),
             F.try_variant_get(v, "$.dosage", "string").alias("dosage"),
         ),
     )
-    return F.filter(pairs, lambda p: p["name"].isNotNull())
+    return F.filter(F.coalesce(clean, mixed), lambda p: p["name"].isNotNull())
 
 
 def med_names(value: Column) -> Column:

@@ -135,28 +135,52 @@ def upsert_registry(registry: DataFrame, changes: DataFrame, key: str) -> tuple[
     return result, judged.where(F.col("reason").isNotNull()).select(*ids, "op", "name", "reason")
 
 
+# A rename batch up to these sizes is carried to every log row as one map per subject.
+MAX_RENAMES_PER_SUBJECT = 1_000
+MAX_RENAMES = 100_000
+
+
 def rename_cascade(log: DataFrame, renames: DataFrame) -> DataFrame:
     """Rewrite the trigger text of every log row that holds a renamed item.
 
-    ``renames`` is ``subject_id, old_name, new_name``. Each row is matched through its
-    own distinct items, so rows without a renamed item never meet the rename table's
-    other names. Several renames on one row are applied together.
+    ``renames`` is ``subject_id, old_name, new_name``. The batch is counted first: a
+    small one is broadcast and the log is rewritten where it lies; a larger one meets
+    the log through the items of each row. Several renames on one row apply together.
     """
+    size = renames.groupBy("subject_id").count().agg(F.sum("count").alias("all"), F.max("count").alias("most")).first()
+    if (size["all"] or 0) <= MAX_RENAMES and (size["most"] or 0) <= MAX_RENAMES_PER_SUBJECT:
+        return _rename_in_place(log, renames)
+    return _rename_by_item(log, renames)
+
+
+def _pairs() -> Column:
+    return F.map_from_entries(F.collect_list(F.struct("old_name", strip(F.col("new_name"))))).alias("renamed")
+
+
+def _rewritten(log: DataFrame) -> DataFrame:
+    parts = F.transform(F.split("triggers", ","), strip)
+    touched = F.col("renamed").isNotNull() & F.exists(parts, lambda t: F.map_contains_key("renamed", t))
+    text = F.array_join(F.transform(parts, lambda t: F.coalesce(F.try_element_at(F.col("renamed"), t), t)), ", ")
+    return log.withColumn("triggers", F.when(touched, text).otherwise(F.col("triggers")))
+
+
+def _rename_in_place(log: DataFrame, renames: DataFrame) -> DataFrame:
+    """For a batch whose size has been checked."""
+    maps = F.broadcast(renames.groupBy("subject_id").agg(_pairs()))
+    return _rewritten(log.join(maps, "subject_id", "left")).select(*log.columns)
+
+
+def _rename_by_item(log: DataFrame, renames: DataFrame) -> DataFrame:
+    """For a batch of any size: only rows that hold a renamed item get a map, and it has
+    at most one pair per item of the row's own text."""
     items = F.array_distinct(F.transform(F.split("triggers", ","), strip))
     hits = (
         log.select(*ROW_KEY, F.explode(items).alias("old_name"))
         .join(renames, ["subject_id", "old_name"])
         .groupBy(*ROW_KEY)
-        # At most one pair per distinct item of the row's own text.
-        .agg(F.map_from_entries(F.collect_list(F.struct("old_name", strip(F.col("new_name"))))).alias("renamed"))
-    )
-    parts = F.transform(F.split("triggers", ","), strip)
-    rewritten = F.array_join(F.transform(parts, lambda t: F.coalesce(F.try_element_at(F.col("renamed"), t), t)), ", ")
-    return (
-        log.join(hits, ROW_KEY, "left")
-        .withColumn("triggers", F.when(F.col("renamed").isNotNull(), rewritten).otherwise(F.col("triggers")))
-        .select(*log.columns)
+        .agg(_pairs())
     )
+    return _rewritten(log.join(hits, ROW_KEY, "left")).select(*log.columns)
 
 
 def rename_one(log: DataFrame, subject_id: int, old: str, new: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import is_json, med_names, months_back, round_half_up, split_list, strip
+from ..functions import is_json, med_names, months_back, parse_meds, round_half_up, split_list, strip
 from .clean import filter_painful
 from .stats import NO_MEDICATION
 
@@ -34,9 +34,14 @@ def trigger_counts(log: DataFrame) -> DataFrame:
 
 
 def recorded_meds(log: DataFrame) -> Column:
-    """Names from a valid JSON list, else from comma text in the same column."""
+    """Names from a valid JSON list, else from comma text in the same column.
+
+    Other valid JSON holds no names. Lists are tried first, so they are parsed once.
+    """
     text = F.col("medications")
-    return F.filter(F.when(is_json(text), med_names(text)).otherwise(split_list(text)), lambda n: n != "")
+    listed = F.transform(parse_meds(text), lambda m: m["name"])
+    typed = F.when(~F.coalesce(is_json(text), F.lit(False)), split_list(text)).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.coalesce(listed, typed), lambda n: n != "")
 
 
 def medication_use_counts(log: DataFrame) -> DataFrame:

@@ -83,6 +83,9 @@ def test_legacy_medications_migrate_whole(make_log):
         ("not json", []),
         ('[{"name":"a"}', []),
         ('[{"name":"a"},7,{"dosage":"x"},null]', ["a"]),
+        ('[{"name":"a"}] and more', []),
+        (' [{"name":5}] ', ["5"]),
+        ('[{"name":"a"}, {"name":"b"]', []),
         ("[]", []),
         (None, []),
     ],

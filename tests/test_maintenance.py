@@ -44,9 +44,10 @@ def test_registry_changes(spark):
 def test_rename_cascade_handles_several_names_per_row(spark, make_log):
     log = make_log([{"triggers": "a, b,c"}, {"triggers": "ab"}, {"triggers": None}, {"subject_id": 2, "entry_id": 0, "triggers": "a"}])
     renames = spark.createDataFrame([(1, "a", "x "), (1, "b", "a")], "subject_id long, old_name string, new_name string")
-    assert rows(maintain.rename_cascade(log, renames), "subject_id", "entry_id", "triggers") == [
-        (1, 0, "x, a, c"), (1, 1, "ab"), (1, 2, None), (2, 0, "a"),
-    ]
+    for rename in (maintain.rename_cascade, maintain._rename_by_item):
+        assert rows(rename(log, renames), "subject_id", "entry_id", "triggers") == [
+            (1, 0, "x, a, c"), (1, 1, "ab"), (1, 2, None), (2, 0, "a"),
+        ]
     assert rows(maintain.rename_one(log, 1, "c", "z"), "subject_id", "entry_id", "triggers")[0] == (1, 0, "a, b, z")
 
 
