@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .skew import own_shuffle
+
 MAX_MISSING = 5
 
 
@@ -51,7 +53,7 @@ def healthy_day_backfill(log: DataFrame, medications: DataFrame, as_of) -> DataF
     daily = medications.where(F.col("frequency") == "daily").select(
         "subject_id", F.col("name").alias("med_name"), F.col("default_dosage").alias("med_dosage")
     )
-    return missing_days(log, as_of).join(daily, "subject_id", "left").select(
+    return own_shuffle(missing_days(log, as_of), "subject_id").join(daily, "subject_id", "left").select(
         "subject_id",
         "date",
         F.lit("12:00").alias("time"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rename_in_list, strip
 from .clean import sanitize_entries, split_valid
+from .skew import own_shuffle
 from .usage import registry_anti_ci
 
 LOG_KEY = ["subject_id", "date", "time"]
@@ -18,19 +19,21 @@ def _spread_time(df: DataFrame) -> Column:
     They match nothing either way, but a shared null would send them all to one task.
     """
     whole = F.xxhash64(*[F.col(c) for c in df.columns]).cast("string")
-    return F.when(F.col("date").isNull() | F.col("time").isNull(), F.concat(F.lit("~"), whole)).otherwise(F.col("time"))
+    incomplete = F.col("date").isNull() | F.col("time").isNull()
+    return F.when(incomplete, F.concat(F.lit("~"), whole)).otherwise(F.col("time"))
 
 
 def _stored_keys(stored: DataFrame) -> DataFrame:
     keys = stored.select("subject_id", "date", F.col("time").alias("key_time"))
-    return keys.dropna().distinct()
+    return own_shuffle(keys.dropna().distinct(), "subject_id")
 
 
 def anti_join_dedup(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Incoming rows whose (subject, date, time) is not stored yet.
 
     Rows with a null key part are always new, and repeats inside ``incoming`` stay.
-    Stored keys are distinct before the join, so a frequent key is one row there.
+    Stored keys are distinct before the join, so a frequent key is one row there, and
+    adaptive execution can split the incoming rows of a hot key.
     """
     return (
         incoming.withColumn("key_time", _spread_time(incoming))

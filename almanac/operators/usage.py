@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import is_json, med_names, months_back, parse_meds, round_half_up, split_list, strip
 from .clean import filter_painful
+from .skew import own_shuffle
 from .stats import NO_MEDICATION
 
 UNCATEGORIZED = "Uncategorized"
@@ -67,7 +68,7 @@ def with_share(counts: DataFrame, shown: DataFrame | None = None, key: str = "na
 
     Totals cover all of ``counts``; ``shown`` limits the rows that are labelled.
     """
-    totals = counts.groupBy("subject_id").agg(F.sum("uses").alias("total"))
+    totals = own_shuffle(counts.groupBy("subject_id").agg(F.sum("uses").alias("total")), "subject_id")
     share = round_half_up(F.col("uses") / F.col("total") * 100, 0).cast("int")
     return (counts if shown is None else shown).join(totals, "subject_id").withColumns(
         {"share_pct": share, "label": F.concat(F.col(key), F.lit(" ("), share.cast("string"), F.lit("%)"))}
@@ -125,7 +126,7 @@ def _recount(registry: DataFrame, counts: DataFrame, only_unused: bool = False)
     counted = F.coalesce("uses", "usage_count", F.lit(0).cast("bigint"))
     if only_unused:
         totals = registry.groupBy("subject_id").agg(F.sum(F.coalesce("usage_count", F.lit(0))).alias("total"))
-        joined = joined.join(totals, "subject_id")
+        joined = joined.join(own_shuffle(totals, "subject_id"), "subject_id")
         counted = F.when(F.col("total") == 0, counted).otherwise(F.col("usage_count"))
     return joined.withColumn("usage_count", counted).select(*registry.columns)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import risk_level_calibrated, risk_level_model, risk_level_rules, round_half_up
 from ..operators.daily import recent_rows
 from ..operators.features import NO_HISTORY_PRIOR, circadian_prior, inference_features
+from ..operators.skew import own_shuffle
 from ..operators.weather import pressure_change_3h
 from ..schemas import PRIOR_DEFAULTS, TEMP_UNIT_DEFAULT
 
@@ -222,7 +223,7 @@ def calibrate_hourly(scored: DataFrame) -> DataFrame:
 def hourly_scores(hours: DataFrame, log: DataFrame, subject_location: DataFrame, recency: DataFrame | None = None) -> DataFrame:
     """J2 over all hours of each subject's location, with default sensitivities."""
     history = recent_rows(log.select("subject_id", "entry_id", "date", "time", "pain"))
-    rows = pressure_change_3h(hours).join(subject_location, "location_id")
+    rows = own_shuffle(pressure_change_3h(hours), "location_id").join(subject_location, "location_id")
     rows = hour_prior_join(rows, circadian_prior(history)).withColumn(
         "weather_sensitivity", F.lit(PRIOR_DEFAULTS["weather_sensitivity"])
     )

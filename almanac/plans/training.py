@@ -29,7 +29,7 @@ KEEP_VERSIONS = 2
 
 @dataclass(frozen=True)
 class TrainingConfig:
-    """Boosting settings; the defaults are the reference values."""
+    """Boosting settings; the defaults are those of the full training run."""
 
     max_iter: int = 100
     max_depth: int = 5
