@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality, toxicity, urls
+from . import language, quality, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,12 @@ def op4(spark, sf_dir):
     return scored.select(
         "doc_id", toxicity.held_out(3, 1).alias("held_out"), "score", "predicted", F.size("offending").cast("long").alias("n_offending")
     )
+
+
+@query("op8_language_id")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = toxicity.held_out(4, 2)
+    model = language.fit(docs.where(~held).select("text", "lang"))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
