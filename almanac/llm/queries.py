@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, quality, toxicity, urls
+from ..session import scratch_path
+from . import language, quality, tokenfile, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +98,10 @@ def op8(spark, sf_dir):
     model = language.fit(docs.where(~held).select("text", "lang"))
     found = language.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+@query("op5_token_files")
+def op5(spark, sf_dir):
+    path = scratch_path(spark, "token-files")
+    tokenfile.write(table(spark, sf_dir, "documents"), path, tokens.tokenizer_path("byte_bpe_50k.json"))
+    return tokenfile.read(spark, path)
