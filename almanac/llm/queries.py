@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import language, quality, tokenfile, tokens, toxicity, urls
+from . import language, packing, quality, tokenfile, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,8 @@ def op5(spark, sf_dir):
     path = scratch_path(spark, "token-files")
     tokenfile.write(table(spark, sf_dir, "documents"), path, tokens.tokenizer_path("byte_bpe_50k.json"))
     return tokenfile.read(spark, path)
+
+
+@query("op2_best_fit_packing")
+def op2(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokens.tokenizer_path("word_bpe_49k.json"))
