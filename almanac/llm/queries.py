@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import language, packing, quality, tokenfile, tokens, toxicity, urls
+from . import decontaminate, language, packing, quality, tokenfile, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,28 @@ def op5(spark, sf_dir):
 @query("op2_best_fit_packing")
 def op2(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokens.tokenizer_path("word_bpe_49k.json"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _shingle_sql(table_name: str, key: str) -> str:
+    """Distinct five-word shingles of a table's texts; a shorter text is one shingle."""
+    return rf"""select distinct {key}, case when len(w) < 5 then array_to_string(w, ' ')
+      else array_to_string(w[i:i+4], ' ') end as s
+    from (select {key}, w, unnest(range(1, greatest(len(w) - 3, 2))) as i
+      from (select {key}, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from {table_name}) where len(w) > 0)"""
+
+
+OP3_SQL = f"""
+with i as ({_shingle_sql('benchmark', 'item_id')}), d as ({_shingle_sql('documents', 'doc_id')}),
+n as (select item_id, count(*) as n_shingles from i group by item_id),
+f as (select doc_id, item_id, count(*) as n_found from d join i using (s) group by doc_id, item_id)
+select doc_id, item_id, n_shingles, n_found from f join n using (item_id) where 100 * n_found >= 80 * n_shingles"""
+
+
+@query("op3_benchmark_decontamination", OP3_SQL)
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.search(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("matches"))

@@ -152,24 +152,36 @@ def windows(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarra
     return out[ids], before
 
 
-def shingles(words: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, ascending, and where each text's begin.
+def shingle_run(words: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of each text in text order, repeats included, and where each text's begin.
 
     A text with fewer than ``width`` words has its whole sequence as one; without words, none.
     """
     hashes, begin = windows(words, first, width)
     count = np.diff(first)
     short = np.flatnonzero((count > 0) & (count < width))
-    text = np.repeat(np.arange(len(first) - 1), np.diff(begin))
-    if len(short):
-        whole = [_whole(words[first[t] : first[t + 1]]) for t in short]
-        hashes, text = np.concatenate([hashes, np.array(whole, np.uint64)]), np.concatenate([text, short])
-    order = np.lexsort((hashes, text))
+    if not len(short):
+        return hashes, begin
+    whole = np.array([_whole(words[first[t] : first[t + 1]]) for t in short], np.uint64)
+    hashes = np.insert(hashes, begin[short], whole)
+    return hashes, begin + np.concatenate(([0], np.cumsum((count > 0) & (count < width))))
+
+
+def distinct(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers of each text, ascending, and where each text's begin."""
+    text = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    order = np.argsort(hashes)
+    order = order[np.argsort(text[order], kind="stable")]
     hashes, text = hashes[order], text[order]
     fresh = np.ones(len(hashes), bool)
     fresh[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
     hashes, text = hashes[fresh], text[fresh]
-    return hashes, np.searchsorted(text, np.arange(len(first)))
+    return hashes, np.searchsorted(text, np.arange(len(begin)))
+
+
+def shingles(words: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle set of each text: distinct hashes, ascending."""
+    return distinct(*shingle_run(words, first, width))
 
 
 def _whole(words: np.ndarray) -> np.uint64:
