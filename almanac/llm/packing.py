@@ -31,15 +31,18 @@ def pieces(docs: DataFrame, tokenizer: str, words: bool, capacity: int = CAPACIT
         encode = encoder(tokenizer, words)
         for batch in batches:
             strings, doc_ids = batch.column("text"), batch.column("doc_id")
-            for low, high, _ in blocks(texts_of(strings)):
+            for low, _, texts in blocks(texts_of(strings)):
+                ids, begin = encode(texts)
+                raw, begin = ids.astype("<u4").tobytes(), begin.tolist()
                 rows, numbers, starts, lengths, crcs = [], [], [], [], []
-                texts = ["" if t is None else t for t in strings.slice(low, high - low).to_pylist()]
-                for row, data in enumerate(encode(texts), low):
-                    data += END
-                    for number, at in enumerate(range(0, len(data), capacity * 4)):
-                        part = data[at : at + capacity * 4]
-                        rows.append(row), numbers.append(number), starts.append(at // 4)
-                        lengths.append(len(part) // 4), crcs.append(zlib.crc32(part))
+                for row in range(len(texts)):
+                    size = begin[row + 1] - begin[row] + 1
+                    for number, at in enumerate(range(0, size, capacity)):
+                        length = min(capacity, size - at)
+                        last = at + length == size
+                        crc = zlib.crc32(raw[4 * (begin[row] + at) : 4 * (begin[row] + at + length - last)])
+                        rows.append(low + row), numbers.append(number), starts.append(at)
+                        lengths.append(length), crcs.append(zlib.crc32(END, crc) if last else crc)
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids.take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],

@@ -22,7 +22,7 @@ from .tokens import encoder
 RECORD_IDS = 1 << 20
 #: Text bytes that one sorted partition should have.
 PARTITION_BYTES = 16 << 20
-END = np.zeros(1, "<u4").tobytes()
+END = np.zeros(1, np.uint32)
 RECORD = "part int, seq int, n_docs long, n_ids long, width int, ids binary, bounds binary, doc_ids binary"
 
 
@@ -45,12 +45,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, words: bool = False) -> No
         encode = encoder(tokenizer, words)
         kind = "<u2" if encode.vocabulary <= 1 << 16 else "<u4"
         names: list[np.ndarray] = []
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         sizes: list[int] = []
+        held = 0
 
         def record():
             nonlocal seq
-            joined = np.frombuffer(b"".join(ids), "<u4")
+            joined = np.concatenate(ids)
             bounds = np.concatenate(([0], np.cumsum(sizes)))
             values = [
                 part, seq, len(sizes), len(joined), np.dtype(kind).itemsize, joined.astype(kind).tobytes(),
@@ -69,17 +70,17 @@ def write(docs: DataFrame, path: str, tokenizer: str, words: bool = False) -> No
             # a null id is kept as the least number, which no other id may have
             doc_ids = column.fill_null(np.iinfo(np.int64).min).to_numpy()
             strings = batch.column("text")
-            for low, high, _ in blocks(texts_of(strings)):
-                found = encode(strings.slice(low, high - low).to_pylist())
-                for row, data in zip(range(low, high), found):
-                    if sizes and (sum_ids + len(data) // 4 + 1) > RECORD_IDS:
+            for low, _, texts in blocks(texts_of(strings)):
+                found, begin = encode(texts)
+                for row in range(len(texts)):
+                    own = found[begin[row] : begin[row + 1]]
+                    if sizes and held + len(own) + 1 > RECORD_IDS:
                         yield record()
-                    if not sizes:
-                        sum_ids = 0
-                    ids.append(data + END)
-                    sizes.append(len(data) // 4 + 1)
-                    sum_ids += sizes[-1]
-                    names.append(doc_ids[row : row + 1])
+                        held = 0
+                    ids += [own, END]
+                    sizes.append(len(own) + 1)
+                    held += sizes[-1]
+                    names.append(doc_ids[low + row : low + row + 1])
         if sizes:
             yield record()
 
