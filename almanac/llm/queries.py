@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import decontaminate, language, packing, quality, tokenfile, tokens, toxicity, urls
+from . import decontaminate, language, packing, quality, substring, tokenfile, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,20 @@ def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.search(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.inline("matches"))
+
+
+_REMOVED_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i+34], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 33)) as i from d)),
+rep as (select doc_id, i from (select doc_id, i, count(*) over (partition by s) as c from win) where c > 1),
+gone as (select distinct doc_id, i + j as k from rep, (select unnest(range(35)) as j)),
+words as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as k from d),
+kept as (select doc_id, string_agg(x, ' ' order by k) as kept, count(*) as n from words anti join gone using (doc_id, k) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed,
+  sha256(coalesce(kept, '')) as kept_sha256 from d left join kept using (doc_id)"""
+
+
+@query("op1_substring_dedup", _REMOVED_SQL)
+def op1(spark, sf_dir):
+    found = substring.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
