@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import decontaminate, language, packing, quality, substring, tokenfile, tokens, toxicity, urls
+from . import decontaminate, jaccard, language, packing, quality, substring, tokenfile, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,3 +152,19 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) a
 def op1(spark, sf_dir):
     found = substring.dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = f"""
+with recursive s as ({_shingle_sql('documents', 'doc_id')}),
+n as (select doc_id, count(*) as n from s group by doc_id),
+i as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b using (s) where a.doc_id < b.doc_id group by all),
+l as (select x, y from i join n p on p.doc_id = x join n q on q.doc_id = y where 100 * k >= 80 * (p.n + q.n - k)),
+e as (select x, y from l union all select y, x from l),
+r(doc_id, z) as (select doc_id, doc_id from documents union select r.doc_id, e.y from r join e on e.x = r.z)
+select doc_id, cast(coalesce(any_value(n.n), 0) as bigint) as n_shingles, min(z) as component_id
+from r left join n using (doc_id) group by doc_id"""
+
+
+@query("op6_ngram_jaccard_join", OP6_SQL)
+def op6(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents"))

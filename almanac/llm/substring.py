@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .ranges import cuts, pack, unpack
 from .textbytes import SPACE, SpanHash, Texts, blocks, mix, texts_of, windows
 
 WINDOW = 35
@@ -29,20 +30,6 @@ PACKED = "hop int, range int, dealt int, n long, keys binary, checks binary, man
 REPLY = "hop int, range int, dealt int, bits binary"
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Ascending numbers by their differences, each in as many bytes as the largest needs (told first)."""
-    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    return bytes([width]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    width = data[0]
-    steps = np.zeros(((len(data) - 1) // width, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
-
-
 def _bits(mask: np.ndarray) -> bytes:
     return np.packbits(mask).tobytes()
 
@@ -102,22 +89,17 @@ class Group:
         place[order] = np.cumsum(fresh) - 1
         return starts, one[order][fresh], two[order][fresh], place
 
-    def cuts(self, keys: np.ndarray, bits: int) -> np.ndarray:
-        """Where each range of the hash space begins among the keys."""
-        edges = [(r << bits) // self.ranges for r in range(self.ranges)]
-        return np.append(np.searchsorted(keys, np.array(edges, np.uint64)), len(keys))
-
     def rows(self, hop: int, dealt: int, keys, bits, many, checks=None, anchor=None) -> pa.Table:
-        cuts = self.cuts(keys, bits)
-        filled = np.flatnonzero(np.diff(cuts))
-        spans = [slice(cuts[r], cuts[r + 1]) for r in filled]
+        edges = cuts(keys, bits, self.ranges)
+        filled = np.flatnonzero(np.diff(edges))
+        spans = [slice(edges[r], edges[r + 1]) for r in filled]
         nothing = [b""] * len(spans)
         return pa.table(
             {
                 "hop": pa.array([hop] * len(spans), pa.int32()),
                 "range": pa.array(filled, pa.int32()),
                 "dealt": pa.array([dealt] * len(spans), pa.int32()),
-                "n": pa.array(np.diff(cuts)[filled], pa.int64()),
+                "n": pa.array(np.diff(edges)[filled], pa.int64()),
                 "keys": pa.array([pack(keys[s]) for s in spans], pa.binary()),
                 "checks": pa.array(nothing if checks is None else [checks[s].tobytes() for s in spans], pa.binary()),
                 "many": pa.array([_bits(many[s]) for s in spans], pa.binary()),
@@ -128,10 +110,10 @@ class Group:
     def replied(self, replies: pa.Table, hop: int, keys: np.ndarray, bits: int) -> np.ndarray:
         """The bits that came back, in the order of the keys."""
         out = np.zeros(len(keys), bool)
-        cuts = self.cuts(keys, bits)
+        edges = cuts(keys, bits, self.ranges)
         for h, r, data in zip(replies["hop"].to_pylist(), replies["range"].to_pylist(), replies["bits"].to_pylist()):
             if h == hop:
-                out[cuts[r] : cuts[r + 1]] = _mask(data, cuts[r + 1] - cuts[r])
+                out[edges[r] : edges[r + 1]] = _mask(data, edges[r + 1] - edges[r])
         return out
 
 
