@@ -19,7 +19,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 #: Bytes of text that are held as arrays at a time; a longer document is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -43,11 +43,17 @@ def _seeded(seed: int) -> tuple[np.ndarray, np.uint64, np.uint64]:
     return table, np.uint64(base), np.uint64(pow(base, -1, 2**64))
 
 
-@lru_cache(maxsize=8)
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, count: int) -> np.ndarray:
-    out = np.full(count, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """The first ``count`` powers; the longest asked for is kept."""
+    known = _POWERS.get(int(base))
+    if known is None or len(known) < count:
+        known = np.full(count, base, np.uint64)
+        known[0] = 1
+        _POWERS[int(base)] = known = np.multiply.accumulate(known)
+    return known[:count]
 
 
 class SpanHash:
@@ -55,10 +61,9 @@ class SpanHash:
 
     def __init__(self, data: np.ndarray, seed: int = 1):
         table, base, inverse = _seeded(seed)
-        count = 1 << max(12, int(len(data)).bit_length())
         self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(table[data] * _powers(base, count)[: len(data)], out=self._sums[1:])
-        self._back = _powers(inverse, count)
+        np.cumsum(table[data] * _powers(base, len(data) + 1)[:-1], out=self._sums[1:])
+        self._back = _powers(inverse, len(data) + 1)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self._sums[ends] - self._sums[starts]) * self._back[starts] + (ends - starts).astype(np.uint64))

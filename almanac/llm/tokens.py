@@ -15,7 +15,7 @@ import numpy as np
 
 from .textbytes import SPACE, SpanHash, Texts
 
-#: Slots of the table, and ids it holds before it starts anew: about 100 MB a worker process.
+#: Slots of the table, and ids it holds before it starts anew: about 50 MB a worker process.
 SLOT_BITS, POOL_IDS = 21, 8 << 20
 AFTER_SPACE = np.uint64(0xA24BAED4963EE407)
 MARK = "\x01"
@@ -52,7 +52,7 @@ class Encoder:
         self._key = np.zeros(1 << SLOT_BITS, np.uint64)
         self._at = np.zeros(1 << SLOT_BITS, np.int32)
         self._size = np.full(1 << SLOT_BITS, -2, np.int32)
-        self._pool = np.zeros(POOL_IDS, np.uint32)
+        self._pool = np.zeros(POOL_IDS, np.uint16 if self.vocabulary <= 1 << 16 else np.uint32)
         self._pool[0], self._used = self._mark, 1
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -131,7 +131,7 @@ class Encoder:
         all_at, all_size = np.zeros(entries, np.int64), np.ones(entries, np.int64)
         all_at[place], all_size[place] = at, size
         flat = np.concatenate(([0], np.cumsum(all_size)))
-        ids = self._pool[np.repeat(all_at - flat[:-1], all_size) + np.arange(flat[-1])]
+        ids = self._pool[np.repeat(all_at - flat[:-1], all_size) + np.arange(flat[-1])].astype(np.uint32)
         lines = np.concatenate(([0], np.cumsum(line)))
         begin = flat[first + lines[first]]
         if not whole.any():
