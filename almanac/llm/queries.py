@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import decontaminate, jaccard, language, packing, quality, substring, tokenfile, tokens, toxicity, urls
+from . import decontaminate, jaccard, language, packing, pii, quality, substring, tokenfile, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,3 +168,15 @@ from r left join n using (doc_id) group by doc_id"""
 @query("op6_ngram_jaccard_join", OP6_SQL)
 def op6(spark, sf_dir):
     return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+@query("op7_pii")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(docs, pii.fit(docs))
+    return found.select(
+        "doc_id",
+        *[pii.count_of(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.listed("base"), 256).alias("base_sha256"),
+        pii.listed("spans").alias("spans"),
+    )
