@@ -9,9 +9,10 @@ that all sets agree on. No pair that links is lost.
 
 Equal sets are one class before any signature is made. How often a signature occurs is found by
 sending sorted, packed hashes to ranges of the hash space. Classes that share a signature are
-compared with the smallest of them, exactly; only classes that are then still in different
-components are compared with each other. A group of copies of any size so costs one comparison
-a class, not one a pair.
+compared exactly with one of them, the one with most in common with others; those that are then
+still in another component, with a second one, and so on for a few rounds; what is apart after
+that is compared pair by pair, as far as a parity sketch of the sets allows a link. A group of near copies of any size so costs some comparisons a
+class, not one a pair, and no link that joins two components is left out.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ SPREAD = 0.7
 BAND_RATIO = 1.5
 KEY_BITS = 48
 GROUP_BYTES, RANGE_BYTES = 8 << 20, 24 << 20
+#: Rounds in which classes are compared with one of those that share a signature.
+ROUNDS = 4
+#: Longs in the parity sketch of a set.
+SKETCH = 16
 #: Comparisons with one class that a task makes for it at a time.
 SHARE = 256
 
@@ -138,7 +143,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 ASKED = "range int, dealt int, n long, keys binary, counts binary"
 REPLY = "range int, dealt int, often binary"
-FOUND = "signature long, set long, n long, features binary"
+FOUND = "signature long, set long, n long, weight int, features binary, sketch array<long>"
 
 
 class Group:
@@ -165,6 +170,19 @@ class Group:
         self.signatures = Signatures(self.hashes, self.begin)
         self.keys, self.place = np.unique(self.signatures.hash >> np.uint64(64 - KEY_BITS), return_inverse=True)
 
+    def sketches(self, chosen: np.ndarray) -> np.ndarray:
+        """Of each set, the parity of its features in each of 64 * SKETCH parts of the domain, as bits.
+
+        A feature that only one of two sets has changes one bit at most, so sets with more
+        different bits than the features they may differ in can't link.
+        """
+        size = np.diff(self.begin)[chosen]
+        after = np.concatenate(([0], np.cumsum(size)))
+        source = np.repeat(self.begin[chosen] - after[:-1], size) + np.arange(after[-1])
+        part = (mix(self.hashes[source] + np.uint64(3)) % np.uint64(64 * SKETCH)).astype(np.int64)
+        cells = np.bincount(np.repeat(np.arange(len(chosen)), size) * 64 * SKETCH + part, minlength=len(chosen) * 64 * SKETCH)
+        return np.packbits((cells & 1).astype(np.uint8)).view(np.int64).reshape(len(chosen), SKETCH)
+
 
 def _count(table: pa.Table) -> pa.Table:
     """One range: the logarithm of how many sets have each signature, to every group that asked."""
@@ -220,13 +238,16 @@ def _shared(docs: DataFrame, told: DataFrame) -> DataFrame:
         own = signatures.set[signatures.entry[kept]]
         used = np.unique(own)
         features = [pack(np.unique(group.hashes[a:b] >> np.uint64(16))) for a, b in zip(group.begin[used], group.begin[used + 1])]
+        sketches = pa.FixedSizeListArray.from_arrays(pa.array(group.sketches(used).ravel()), SKETCH).cast(pa.list_(pa.int64()))
         none = pa.nulls(len(used), pa.int64())
         return pa.table(
             {
                 "signature": pa.chunked_array([pa.array(signatures.hash[kept].view(np.int64)), none]),
                 "set": pa.chunked_array([pa.array(group.names[own]), pa.array(group.names[used])]),
-                "n": pa.chunked_array([pa.nulls(len(kept), pa.int64()), pa.array(np.diff(group.begin)[used])]),
+                "n": pa.chunked_array([pa.array(np.diff(group.begin)[own]), pa.array(np.diff(group.begin)[used])]),
+                "weight": pa.chunked_array([pa.array(np.bincount(own)[own] if len(own) else own, pa.int32()), pa.nulls(len(used), pa.int32())]),
                 "features": pa.chunked_array([pa.nulls(len(kept), pa.binary()), pa.array(features, pa.binary())]),
+                "sketch": pa.chunked_array([pa.nulls(len(kept), pa.list_(pa.int64())), sketches]),
             }
         )
 
@@ -273,30 +294,57 @@ def _near(a: str, b: str) -> F.Column:
     return (F.col(a) * 100 >= F.col(b) * THRESHOLD) & (F.col(b) * 100 >= F.col(a) * THRESHOLD)
 
 
+def _placed(signed: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``signed`` with the component of each class, only of signatures found in several components."""
+    if roots is None:
+        placed = signed.withColumn("root", F.col("set"))
+    else:
+        placed = signed.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    return placed
+
+
 def links(docs: DataFrame, told: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links between classes that are enough for all components, and ``set``, ``root`` of the linked ones."""
+    """Links between classes that are enough for all components, and ``node``, ``root`` of the linked ones."""
     found = materialize(_shared(docs, told), "signatures")
-    features = found.where("signature is null").select("set", "n", "features")
-    signed = found.where("signature is not null").select("signature", "set")
-    # every class against the smallest with the same signature
-    hub = signed.groupBy("signature").agg(F.min("set").alias("b"), F.max("set").alias("last")).where("b <> last")
-    sizes = features.select("set", "n")
-    first = signed.join(hub, "signature").where("set <> b").select(F.col("set").alias("a"), "b").distinct()
-    first = first.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").where(_near("n_a", "n_b"))
-    tried = materialize(first.select("a", "b"), "pairs")
-    near = materialize(_linked(tried, features), "links")
-    roots = components(near)
+    features = found.where("signature is null").select("set", "n", "features", "sketch")
+    signed = found.where("signature is not null").select("signature", "set", "n", "weight")
+    near = tried = roots = None
+    for number in range(ROUNDS):
+        order = F.struct("weight", "set") if number == 0 else F.struct(F.xxhash64("set", F.lit(number)), F.col("set"))
+        placed = _placed(signed, roots)
+        hub = placed.groupBy("signature").agg(
+            F.max_by(F.struct(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")), order).alias("hub"),
+            F.min("root").alias("low"),
+            F.max("root").alias("high"),
+        )
+        hub = hub.where("low <> high").select("signature", "hub.*")
+        met = placed.join(hub, "signature").where((F.col("root") != F.col("root_b")) & _near("n", "n_b"))
+        pairs = met.select(F.greatest("set", "b").alias("a"), F.least("set", "b").alias("other"), F.col("b").alias("hub")).distinct()
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "other"], "left_anti")
+        pairs = materialize(pairs.dropDuplicates(["a", "other"]), "pairs")
+        more = _linked(pairs.select(F.when(F.col("a") == F.col("hub"), F.col("other")).otherwise(F.col("a")).alias("a"), F.col("hub").alias("b")), features)
+        more = materialize(more, "links")
+        seen = pairs.select("a", "other")
+        near, tried = (more, seen) if near is None else (near.unionByName(more), tried.unionByName(seen))
+        if more.isEmpty() and number:
+            break
+        roots = components(near)
     # what shares a signature and is still apart: all pairs of different components
-    placed = signed.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    placed = _placed(signed, roots)
     apart = placed.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    sized = placed.join(apart.select("signature"), "signature").join(sizes, "set")
-    left = sized.select("signature", F.col("set").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
-    right = sized.select("signature", F.col("set").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-    second = left.join(right, "signature").where((F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & _near("n_a", "n_b"))
-    rest = second.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialize(_linked(rest, features), "links")
-    everything = near.unionByName(more)
-    return everything, components(everything)
+    rest = placed.join(apart.select("signature"), "signature").join(features.select("set", "sketch"), "set")
+    left, right = (
+        rest.select("signature", F.col("set").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("root", "n", "sketch")]) for name in ("a", "other")
+    )
+    differ = " + ".join(f"bit_count(get(sketch_a, {i}) ^ get(sketch_other, {i}))" for i in range(SKETCH))
+    apart = (F.col("a") > F.col("other")) & (F.col("root_a") != F.col("root_other")) & _near("n_a", "n_other")
+    last = left.join(right, "signature").where(apart & F.expr(f"9 * ({differ}) <= n_a + n_other"))
+    last = last.select("a", "other").distinct().join(tried, ["a", "other"], "left_anti")
+    more = materialize(_linked(last.withColumnRenamed("other", "b"), features), "links")
+    if more.isEmpty():
+        return near, roots
+    near = near.unionByName(more)
+    return near, components(near)
 
 
 def join(docs: DataFrame) -> DataFrame:
