@@ -106,23 +106,33 @@ class Bags:
                 for k in (0, 1):
                     seen[k] += np.bincount(once[label == bool(k)] // len(block), minlength=1 << BITS)
         table = self._tells(seen, labels)
-        tokens, sentence, text, count = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        parts, text, count = [], [np.zeros(0, np.int32)], 0
         for low, _, block in blocks(texts):
             bags = Sentences(block)
+            tokens, sentence = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
             for token, at in bags.features():
                 hit = table[token >> np.uint64(64 - BITS)]
                 tokens.append(token[hit])
-                sentence.append(at[hit] + count)
-            text.append(bags.text + low)
+                sentence.append((at[hit] + count).astype(np.int32))
+            parts.append((np.concatenate(tokens), np.concatenate(sentence)))
+            text.append((bags.text + low).astype(np.int32))
             count += bags.count
-        tokens, self.sentence, self.text = np.concatenate(tokens), np.concatenate(sentence), np.concatenate(text)
-        self.vocabulary, self.feature = np.unique(tokens, return_inverse=True)
-        once = np.unique(self.feature.astype(np.int64) * len(texts) + self.text[self.sentence])
-        toxic = labels[once % len(texts)] > 0
-        keep = self._tells(np.stack([np.bincount(once[toxic == bool(k)] // len(texts), minlength=len(self.vocabulary)) for k in (0, 1)]), labels)
-        used = keep[self.feature]
-        self.feature, self.sentence = (np.cumsum(keep) - 1)[self.feature[used]], self.sentence[used]
-        self.vocabulary = self.vocabulary[keep]
+        self.text = np.concatenate(text)
+        vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(tokens) for tokens, _ in parts)]))
+        seen = np.zeros((2, len(vocabulary)))
+        for i, (tokens, sentence) in enumerate(parts):
+            feature = np.searchsorted(vocabulary, tokens).astype(np.int32)
+            parts[i] = feature, sentence
+            once = np.unique(feature.astype(np.int64) * len(texts) + self.text[sentence])
+            toxic = labels[once % len(texts)] > 0
+            for k in (0, 1):
+                seen[k] += np.bincount(once[toxic == bool(k)] // len(texts), minlength=len(vocabulary))
+        keep = self._tells(seen, labels)
+        place = (np.cumsum(keep) - 1).astype(np.int32)
+        none = np.zeros(0, np.int32)
+        self.feature = np.concatenate([none, *(place[feature[keep[feature]]] for feature, _ in parts)])
+        self.sentence = np.concatenate([none, *(sentence[keep[feature]] for feature, sentence in parts)])
+        self.vocabulary = vocabulary[keep]
 
     @staticmethod
     def _tells(seen: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -184,7 +194,10 @@ def fit_rows(texts: Texts, labels: np.ndarray, penalties=PENALTIES) -> Model:
     part = texts.take(np.flatnonzero(check))
     losses = []
     for penalty in penalties:
-        clean = np.clip(1 - _score(_fit(bags, labels, ~check, penalty), part, 2.0)[0], 1e-6, 1 - 1e-6)
+        model = _fit(bags, labels, ~check, penalty)
+        table = model.table()
+        clean = np.concatenate([1 - _score(model, block, 2.0, table)[0] for _, _, block in blocks(part)])
+        clean = np.clip(clean, 1e-6, 1 - 1e-6)
         losses.append(-np.mean(np.where(labels[check] > 0, np.log1p(-clean), np.log(clean))))
     return _fit(bags, labels, everything, penalties[int(np.argmin(losses))])
 
