@@ -196,7 +196,7 @@ def fit_rows(texts: Texts, labels: np.ndarray, penalties=PENALTIES) -> Model:
     for penalty in penalties:
         model = _fit(bags, labels, ~check, penalty)
         table = model.table()
-        clean = np.concatenate([1 - _score(model, block, 2.0, table)[0] for _, _, block in blocks(part)])
+        clean = np.concatenate([np.ones(0), *(1 - _score(model, block, 2.0, table)[0] for _, _, block in blocks(part))])
         clean = np.clip(clean, 1e-6, 1 - 1e-6)
         losses.append(-np.mean(np.where(labels[check] > 0, np.log1p(-clean), np.log(clean))))
     return _fit(bags, labels, everything, penalties[int(np.argmin(losses))])
