@@ -71,15 +71,15 @@ def correlation_pairs(df: DataFrame, columns) -> DataFrame:
     )
 
 
-def correlation_filter(df: DataFrame, columns, threshold: float = THRESHOLD) -> tuple[list[str], list[str]]:
-    """I4: (kept, dropped) feature names.
+def correlation_filter(df: DataFrame, columns, threshold: float = THRESHOLD, min_rows: int = MIN_ROWS) -> tuple[list[str], list[str]]:
+    """I4: (kept, dropped) feature names. With fewer than ``min_rows`` rows nothing is dropped.
 
     The greedy pass runs on the driver over the pair table, whose size is fixed by the
     number of features.
     """
     columns = list(columns)
     nulls = null_counts(df, columns)
-    if nulls["__rows"] < MIN_ROWS:
+    if nulls["__rows"] < min_rows:
         return columns, []
     strong = (
         correlation_pairs(df, columns)

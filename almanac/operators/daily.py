@@ -95,14 +95,19 @@ def max_row_per_day(df: DataFrame) -> DataFrame:
     return _best_row(df, F.struct(numeric_coerce(F.col("pain")), F.col("time"), -F.col("entry_id")))
 
 
-def recent_rows(log: DataFrame, n: int = 60) -> DataFrame:
-    """The last ``n`` rows per subject by date.
+#: Log rows of a subject that serving looks back on, unless told otherwise.
+HISTORY_ROWS = 60
+
+
+def recent_rows(log: DataFrame, n: int = HISTORY_ROWS) -> DataFrame:
+    """The last ``n`` rows per subject by date; rows without a date are no history.
 
     ``row_number() <= n`` lets Spark cut each task's rows to ``n`` per subject before
     the shuffle, so a hot subject stays small.
     """
     order = Window.partitionBy("subject_id").orderBy(F.col("date").desc(), F.col("entry_id").desc())
-    return log.withColumn("recency", F.row_number().over(order)).where(F.col("recency") <= n)
+    dated = log.where(F.col("date").isNotNull())
+    return dated.withColumn("recency", F.row_number().over(order)).where(F.col("recency") <= n)
 
 
 def latest_location(log: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import cyclical, log_target, numeric_coerce, time_to_hour
 from .daily import day_window
+from .daily import HISTORY_ROWS
 from .timeseries import inference_lags, lag_columns, rolling_columns, warmup_trim, weather_fill
 
 # What serving assumes when a reading is missing.
@@ -81,13 +82,16 @@ def impute_for_training(features: DataFrame) -> DataFrame:
     return features.fillna({"sleep": SLEEP_DEFAULT, "activity": ACTIVITY_DEFAULT})
 
 
-def inference_features(log: DataFrame, targets: DataFrame, weather: DataFrame | None = None) -> DataFrame:
+def inference_features(log: DataFrame, targets: DataFrame, weather: DataFrame | None = None, history_rows: int = HISTORY_ROWS) -> DataFrame:
     """The serving feature row of each (subject, target_date).
 
+    Lags and means look at each subject's last ``history_rows`` entries; with several entries
+    a day that may be fewer days than the longest mean spans.
+
     ``targets`` has ``subject_id, target_date, location_id``. Weather defaults fill the
     derived features only; the raw columns stay null.
     """
-    rows = inference_lags(log, targets)
+    rows = inference_lags(log, targets, history_rows)
     if weather is not None:
         rows = rows.join(weather.withColumnRenamed("date", "target_date"), ["location_id", "target_date"], "left")
     else:

@@ -52,17 +52,18 @@ def flag_stored(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def import_summary(flagged: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows imported, skipped as duplicates, and stored afterwards, per subject."""
-    moved = flagged.groupBy("subject_id").agg(
-        F.count_if(~F.col("is_stored")).alias("imported_rows"), F.count_if("is_stored").alias("skipped_rows")
-    )
+def import_summary(flagged: DataFrame, stored: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """Rows imported, skipped as duplicates, rejected, and stored afterwards, per subject."""
+    moved = flagged.select("subject_id", F.col("is_stored").alias("skipped"), (~F.col("is_stored")).alias("imported"), F.lit(False).alias("rejected"))
+    if rejected is not None:
+        no, yes = F.lit(False), F.lit(True)
+        moved = moved.unionByName(rejected.select("subject_id", no.alias("skipped"), no.alias("imported"), yes.alias("rejected")))
+    counted = moved.groupBy("subject_id").agg(*[F.count_if(c).alias(f"{c}_rows") for c in ("imported", "skipped", "rejected")])
     held = stored.groupBy("subject_id").agg(F.count(F.lit(1)).alias("held"))
     zero = F.lit(0).cast("bigint")
-    return moved.join(held, "subject_id", "full").select(
+    return counted.join(held, "subject_id", "full").select(
         "subject_id",
-        F.coalesce("imported_rows", zero).alias("imported_rows"),
-        F.coalesce("skipped_rows", zero).alias("skipped_rows"),
+        *[F.coalesce(f"{c}_rows", zero).alias(f"{c}_rows") for c in ("imported", "skipped", "rejected")],
         (F.coalesce("held", zero) + F.coalesce("imported_rows", zero)).alias("total_rows"),
     )
 
@@ -73,25 +74,34 @@ def insert_entries(incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.fillna("", ["medication", "dosage"]), rejected
 
 
-def assign_entry_ids(rows: DataFrame, after: int) -> DataFrame:
-    """Fresh ids above ``after``; unique without a global ordering. Write the result
+def assign_entry_ids(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Fresh ids above every stored one; unique without a global ordering. Write the result
     before using it twice."""
-    return rows.withColumn("entry_id", F.monotonically_increasing_id() + F.lit(after + 1))
+    last = stored.select(F.coalesce(F.max("entry_id"), F.lit(0))).scalar()
+    return rows.withColumn("entry_id", F.monotonically_increasing_id() + last + 1)
 
 
-def update_entries(log: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def update_entries(log: DataFrame, changes: DataFrame, version: str | None = None, cleared: str | None = None) -> tuple[DataFrame, DataFrame]:
     """L2: apply a change set by (subject, entry); returns the log and unmatched changes.
 
-    Only the columns present in ``changes`` are touched; a null there means unchanged.
+    Only the columns present in ``changes`` are touched; a null there means unchanged, unless
+    the array column named by ``cleared`` lists that field, which then becomes null. Of several
+    changes to one row the one with the greatest ``version`` counts; without a version column,
+    or among equal ones, the greatest by its values, so the choice never depends on row order.
     """
-    supplied = [c for c in changes.columns if c in log.columns and c not in ROW_KEY]
-    renamed = changes.select(*ROW_KEY, *[F.col(c).alias(f"new_{c}") for c in supplied])
-    updated = log.join(renamed, ROW_KEY, "left").select(
-        *[
-            (F.coalesce(F.col(f"new_{c}").cast(log.schema[c].dataType), F.col(c)) if c in supplied else F.col(c)).alias(c)
-            for c in log.columns
-        ]
-    )
+    control = {c for c in (version, cleared) if c}
+    supplied = [c for c in changes.columns if c in log.columns and c not in ROW_KEY and c not in control]
+    values = F.struct(*[F.col(c) for c in supplied], *([F.col(cleared)] if cleared else []))
+    order = F.struct(F.col(version), values) if version else values
+    one = changes.groupBy(*ROW_KEY).agg(F.max_by(values, order).alias("change"))
+
+    def changed(c: str) -> Column:
+        kept = F.coalesce(F.col(f"change.{c}").cast(log.schema[c].dataType), F.col(c))
+        if cleared:
+            kept = F.when(F.coalesce(F.array_contains(F.col(f"change.{cleared}"), c), F.lit(False)), None).otherwise(kept)
+        return kept.alias(c)
+
+    updated = log.join(one, ROW_KEY, "left").select(*[changed(c) if c in supplied else F.col(c) for c in log.columns])
     return updated, changes.join(log.select(*ROW_KEY), ROW_KEY, "left_anti")
 
 
@@ -138,52 +148,30 @@ def upsert_registry(registry: DataFrame, changes: DataFrame, key: str) -> tuple[
     return result, judged.where(F.col("reason").isNotNull()).select(*ids, "op", "name", "reason")
 
 
-# A rename batch up to these sizes is carried to every log row as one map per subject.
-MAX_RENAMES_PER_SUBJECT = 1_000
-MAX_RENAMES = 100_000
-
-
 def rename_cascade(log: DataFrame, renames: DataFrame) -> DataFrame:
     """Rewrite the trigger text of every log row that holds a renamed item.
 
-    ``renames`` is ``subject_id, old_name, new_name``. The batch is counted first: a
-    small one is broadcast and the log is rewritten where it lies; a larger one meets
-    the log through the items of each row. Several renames on one row apply together.
+    ``renames`` is ``subject_id, old_name, new_name``. Several renames on one row apply
+    together; of several new names for one item the alphabetically first one counts, and
+    a null new name is none. Each distinct text of a subject is rebuilt once, with one pair
+    per item it holds, and meets its rows again by the text itself, so neither row ids nor
+    the size of the batch matter and a frequent text stays splittable.
     """
-    size = renames.groupBy("subject_id").count().agg(F.sum("count").alias("all"), F.max("count").alias("most")).first()
-    if (size["all"] or 0) <= MAX_RENAMES and (size["most"] or 0) <= MAX_RENAMES_PER_SUBJECT:
-        return _rename_in_place(log, renames)
-    return _rename_by_item(log, renames)
-
-
-def _pairs() -> Column:
-    return F.map_from_entries(F.collect_list(F.struct("old_name", strip(F.col("new_name"))))).alias("renamed")
-
-
-def _rewritten(log: DataFrame) -> DataFrame:
+    chosen = renames.groupBy("subject_id", "old_name").agg(F.min(strip(F.col("new_name"))).alias("new_name"))
+    texts = log.select("subject_id", "triggers").where("triggers is not null").distinct()
     parts = F.transform(F.split("triggers", ","), strip)
-    touched = F.col("renamed").isNotNull() & F.exists(parts, lambda t: F.map_contains_key("renamed", t))
-    text = F.array_join(F.transform(parts, lambda t: F.coalesce(F.try_element_at(F.col("renamed"), t), t)), ", ")
-    return log.withColumn("triggers", F.when(touched, text).otherwise(F.col("triggers")))
-
-
-def _rename_in_place(log: DataFrame, renames: DataFrame) -> DataFrame:
-    """For a batch whose size has been checked."""
-    maps = F.broadcast(renames.groupBy("subject_id").agg(_pairs()))
-    return _rewritten(log.join(maps, "subject_id", "left")).select(*log.columns)
-
-
-def _rename_by_item(log: DataFrame, renames: DataFrame) -> DataFrame:
-    """For a batch of any size: only rows that hold a renamed item get a map, and it has
-    at most one pair per item of the row's own text."""
-    items = F.array_distinct(F.transform(F.split("triggers", ","), strip))
-    hits = (
-        log.select(*ROW_KEY, F.explode(items).alias("old_name"))
-        .join(renames, ["subject_id", "old_name"])
-        .groupBy(*ROW_KEY)
-        .agg(_pairs())
+    rebuilt = (
+        texts.withColumn("old_name", F.explode(F.array_distinct(parts)))
+        .join(chosen.where("new_name is not null"), ["subject_id", "old_name"])
+        .groupBy("subject_id", "triggers")
+        .agg(F.map_from_entries(F.collect_list(F.struct("old_name", "new_name"))).alias("renamed"))
+        .withColumn(
+            "renamed_text", F.array_join(F.transform(parts, lambda t: F.coalesce(F.try_element_at(F.col("renamed"), t), t)), ", ")
+        )
+        .drop("renamed")
     )
-    return _rewritten(log.join(hits, ROW_KEY, "left")).select(*log.columns)
+    met = log.join(own_shuffle(rebuilt, "subject_id"), ["subject_id", "triggers"], "left")
+    return met.withColumn("triggers", F.coalesce("renamed_text", "triggers")).select(*log.columns)
 
 
 def rename_one(log: DataFrame, subject_id: int, old: str, new: str) -> DataFrame:

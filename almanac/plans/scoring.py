@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import risk_level_calibrated, risk_level_model, risk_level_rules, round_half_up
-from ..operators.daily import recent_rows
+from ..operators.daily import HISTORY_ROWS, recent_rows
 from ..operators.features import NO_HISTORY_PRIOR, circadian_prior, inference_features
 from ..operators.skew import own_shuffle
 from ..operators.weather import pressure_change_3h
@@ -220,9 +220,14 @@ def calibrate_hourly(scored: DataFrame) -> DataFrame:
     )
 
 
-def hourly_scores(hours: DataFrame, log: DataFrame, subject_location: DataFrame, recency: DataFrame | None = None) -> DataFrame:
-    """J2 over all hours of each subject's location, with default sensitivities."""
-    history = recent_rows(log.select("subject_id", "entry_id", "date", "time", "pain"))
+def hourly_scores(
+    hours: DataFrame, log: DataFrame, subject_location: DataFrame, recency: DataFrame | None = None, history_rows: int = HISTORY_ROWS
+) -> DataFrame:
+    """J2 over all hours of each subject's location, with default sensitivities.
+
+    The hour-of-day prior counts each subject's last ``history_rows`` entries.
+    """
+    history = recent_rows(log.select("subject_id", "entry_id", "date", "time", "pain"), history_rows)
     rows = own_shuffle(pressure_change_3h(hours), "location_id").join(subject_location, "location_id")
     rows = hour_prior_join(rows, circadian_prior(history)).withColumn(
         "weather_sensitivity", F.lit(PRIOR_DEFAULTS["weather_sensitivity"])
@@ -237,11 +242,18 @@ def hourly_scores(hours: DataFrame, log: DataFrame, subject_location: DataFrame,
     return scored.withColumn("risk_score", round_half_up(F.col("probability") * 100, 1))
 
 
-def hourly_forecast(hours, log, subject_location, daily, start, n_hours: int = 24, recency=None) -> DataFrame:
-    """``n_hours`` scored hours from ``start``, calibrated against the daily scores."""
+def hourly_forecast(hours, log, subject_location, daily, start, n_hours: int = 24, recency=None, history_rows: int = HISTORY_ROWS) -> DataFrame:
+    """``n_hours`` scored hours from ``start``, calibrated against the daily scores.
+
+    Only the hours from the day before on are read, so the bound reaches the scan of a stored
+    table; pressure changes look back inside that span.
+    """
     begin = F.date_trunc("hour", F.lit(start).cast("timestamp_ntz")).cast("timestamp_ntz")
-    scored = hourly_scores(hours, log, subject_location, recency)
-    window = scored.where((F.col("ts") >= begin) & (F.col("ts") < begin + F.make_dt_interval(hours=F.lit(n_hours))))
+    day_before = F.date_trunc("day", begin).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(1))
+    end = begin + F.make_dt_interval(hours=F.lit(n_hours))
+    span = hours.where((F.col("ts") >= day_before) & (F.col("ts") < end))
+    scored = hourly_scores(span, log, subject_location, recency, history_rows)
+    window = scored.where((F.col("ts") >= begin) & (F.col("ts") < end))
     return calibrate_hourly(daily_anchor_join(window, daily)).select(
         "subject_id",
         "ts",
@@ -327,69 +339,3 @@ def weekly_forecast(log, subjects: DataFrame, weather: DataFrame | None, start,
         "risk_level",
         "predicted_pain",
     )
-
-
-# --- C14, F4, J8: scenarios ------------------------------------------------------------
-
-# The documented scenario axes.
-SCENARIO_AXES = {
-    "tavg": [5.0, 15.0, 25.0, 35.0],
-    "pres": [990.0, 1000.0, 1015.0, 1030.0],
-    "average_humidity": [20.0, 50.0, 80.0],
-    "pres_change": [-5.0, -2.5, 0.0, 2.5, 5.0],
-    "sleep": [1.0, 2.0, 3.0],
-    "activity": [0.0, 1.0, 2.0, 3.0],
-    "pain_lag_1": [0.0, 3.0, 7.0, 9.0],
-    "day_of_week": [0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0],
-}
-
-
-def grid_size(axes=SCENARIO_AXES) -> int:
-    size = 1
-    for values in axes.values():
-        size *= len(values)
-    return size
-
-
-def scenario_grid(subjects: DataFrame, axes=SCENARIO_AXES) -> DataFrame:
-    """C14: every combination of axis values for each subject.
-
-    A combination is a number written in mixed radix, so each subject row expands on
-    its own task and no cross join is planned.
-    """
-    total = grid_size(axes)
-    out = subjects.repartition("subject_id").withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(total - 1))))
-    rest = total
-    for name, values in axes.items():
-        rest //= len(values)
-        digit = F.pmod(F.floor(F.col("scenario") / rest), F.lit(len(values))).cast("int")
-        out = out.withColumn(name, F.get(F.array(*[F.lit(v) for v in values]), digit))
-    return out
-
-
-def scenario_scores(grid: DataFrame, priors: DataFrame | None = None, model=None) -> DataFrame:
-    """Score of every scenario, by the model or by the rules as J6 serves them.
-
-    The rules read only the pressure change, humidity and yesterday's pain.
-    """
-    if model is not None:
-        return model.transform(grid).withColumn("score", F.col("episode_probability"))
-    inputs = DailyInputs(
-        pressure_change=F.col("pres_change"),
-        prcp=F.lit(0.0),
-        humidity=F.col("average_humidity"),
-        sleep_debt=F.lit(0.0),
-        strain=F.lit(0.0),
-        yesterday_pain=F.col("pain_lag_1"),
-    )
-    return heuristic_daily(with_priors(grid, priors), inputs).withColumn("score", F.col("raw_probability"))
-
-
-def scenario_argmax(scored: DataFrame, axes=SCENARIO_AXES) -> DataFrame:
-    """the worst scenario per subject; the lowest scenario number wins a tie."""
-    best = F.max_by(F.struct("scenario", *axes), F.struct(F.round("score", 9), -F.col("scenario")))
-    return (
-        scored.groupBy("subject_id")
-        .agg(best.alias("best"), F.max("score").alias("score"))
-        .select("subject_id", "best.*", "score")
-    )

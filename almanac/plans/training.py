@@ -214,14 +214,11 @@ def regression_metrics(scored: DataFrame, label: str, prediction: str) -> DataFr
     )
 
 
-# The documented search grid. Spark's forest caps depth at 30, which
-# also stands for "no limit", and has no minimum split size, so that axis is absent.
-FOREST_GRID = {"trees": [100, 200, 300], "depth": [10, 20, 30], "leaf": [1, 2, 4], "bootstrap": [True, False]}
+def forest_grid_search(features: DataFrame, columns=FEATURES, *, grid: dict, folds: int = 3, seed: int = 42, parallelism: int = 2):
+    """Exhaustive search over a regression forest; returns (best model, score table).
 
-
-def forest_grid_search(features: DataFrame, columns=FEATURES, grid=None, folds: int = 3, seed: int = 42, parallelism: int = 2):
-    """K6: exhaustive search over a regression forest; returns (best model, score table)."""
-    grid = {**FOREST_GRID, **(grid or {})}
+    ``grid`` lists the values of ``trees``, ``depth``, ``leaf`` and ``bootstrap``.
+    """
     prepared = PipelineModel(_stages(_feature_means(features, columns))).transform(features)
     data = materialize(prepared.select("feature_vector", "pain_log"), "forest")
     forest = RandomForestRegressor(featuresCol="feature_vector", labelCol="pain_log", seed=seed)

@@ -207,6 +207,24 @@ def medication_usage(t: Tables):
     return usage.medication_usage(t.log, AS_OF, "1y")
 
 
+def _medication_range(name: str, span: str, condition: str):
+    items = _MED_ITEMS.replace(f"and date >= {MONTHS_BACK_12}", condition)
+
+    @query(
+        name,
+        with_tables("log", extra=items)
+        + "select *, name || ' (' || cast(share_pct as varchar) || '%)' as label from (select subject_id, name, uses, "
+        "cast(sum(uses) over (partition by subject_id) as bigint) as total, "
+        f"cast({r('uses / sum(uses) over (partition by subject_id) * 100', 0)} as int) as share_pct from counts)",
+    )
+    def run(t: Tables):
+        return usage.medication_usage(t.log, AS_OF, span)
+
+
+_medication_range("d13_medication_usage_month", "1m", f"and date >= cast({DAY} - interval 1 month as date)")
+_medication_range("d13_medication_usage_all", "all", "")
+
+
 @query(
     "d14_usage_recount_triggers",
     with_tables("log", "triggers", extra=_items("") + ", counts as (select subject_id, item as name, count(*) as uses from items group by 1, 2)")

@@ -136,11 +136,3 @@ def predict_day(t: Tables):
     targets = scoring.forecast_targets(t.subject_location, "2001-07-15")
     features = inference_features(t.log, targets, t.weather_daily)
     return scoring.predict_day(features, settings_of(t), model)
-
-
-@query("k6_forest_grid_search")
-def forest_grid_search(t: Tables):
-    frame = frame_of(t)
-    small = {"trees": [5, 10], "depth": [5], "leaf": [4], "bootstrap": [True]}
-    _, table = training.forest_grid_search(frame, FEATURE_NAMES, small)
-    return table

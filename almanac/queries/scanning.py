@@ -27,13 +27,13 @@ def scan_log(t: Tables):
 
 @query(
     "a1_scan_log_missing",
-    with_tables("log") + "select subject_id, count(*) as n_days from log where date > date '2001-01-01' group by subject_id",
+    with_tables("log") + "select subject_id, count(*) as n_rows from log group by subject_id",
 )
 def scan_log_missing(t: Tables):
     # A store that is not there yet adds nothing to one that is.
     absent = log_source.scan_log(t.spark, scratch_path(t.spark, "absent"))
-    both = absent.unionByName(conform_schema(t.log, LOG)).where(F.col("date") > F.lit("2001-01-01").cast("date"))
-    return both.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_days"))
+    both = absent.unionByName(conform_schema(t.log, LOG))
+    return both.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query(
@@ -48,16 +48,17 @@ def scan_entries_range(t: Tables):
     )
 
 
-INCOMING = """checked as (
-  select *, try_cast(date as date) as day from raw_log where try_cast(pain as double) between 0 and 10),
+INCOMING = """judged as (
+  select *, case when regexp_matches(date, '^\\d{4}-\\d{2}-\\d{2}$') then try_cast(date as date) end as day,
+    coalesce(try_cast(pain as double) between 0 and 10, false) as pain_ok from raw_log),
+checked as (select * from judged where pain_ok and day is not null),
 flagged as (
   select c.*, k.time is not null as is_stored from checked c
   left join (select distinct subject_id, date, time from log) k
     on c.subject_id = k.subject_id and c.day = k.date and c.time = k.time)"""
 
 # A CSV cell cannot tell an empty text from a missing one: both come back as null.
-IMPORTED = """select subject_id, case when strptime('2000-01-01', '%Y-%m-%d') is not null
-    and regexp_matches(date, '^\\d{4}-\\d{2}-\\d{2}$') then day end as date, time,
+IMPORTED = """select subject_id, day as date, time, true as has_fresh_id,
   cast(trunc(try_cast(pain as double)) as int) as pain, nullif(medication, '') as medication, nullif(dosage, '') as dosage, medications, sleep, activity, triggers, notes,
   location, timezone, try_cast(latitude as double) as latitude, try_cast(longitude as double) as longitude
 from flagged where not is_stored"""
@@ -79,15 +80,21 @@ def _csv(t: Tables):
 
 @query("a3_ingest_csv", with_tables("raw_log", "log", extra=INCOMING) + IMPORTED)
 def ingest_csv(t: Tables):
-    incoming = t.spark.read.option("header", True).option("escape", '"').csv(_csv(t))
-    rows, _ = log_source.prepare_import(incoming, t.log)
-    return rows
+    rows, _ = log_source.ingest_csv(t.spark, _csv(t), t.log)
+    return _fresh_ids(t, rows)
+
+
+def _fresh_ids(t: Tables, rows):
+    """Whether each row has an id above all stored ones, in place of the id."""
+    last = t.log.select(F.max("entry_id")).scalar()
+    return rows.withColumn("has_fresh_id", F.coalesce(F.col("entry_id") > last, F.lit(False))).drop("entry_id")
 
 
 SUMMARY = """select i.subject_id, cast(count(*) filter (where not is_stored) as bigint) as imported_rows,
-  cast(count(*) filter (where is_stored) as bigint) as skipped_rows,
+  cast(count(*) filter (where is_stored) as bigint) as skipped_rows, cast(max(x.n) as bigint) as rejected_rows,
   cast(max(h.n) + count(*) filter (where not is_stored) as bigint) as total_rows
 from flagged i join (select subject_id, count(*) as n from log group by subject_id) h on i.subject_id = h.subject_id
+join (select subject_id, count(*) filter (where not pain_ok or day is null) as n from judged group by subject_id) x on i.subject_id = x.subject_id
 group by i.subject_id"""
 
 
@@ -100,12 +107,12 @@ def import_summary(t: Tables):
 @query(
     "a4_ingest_store",
     with_tables("log_short", "log")
-    + """select s.subject_id, s.date, s.time, s.pain, s.triggers from log_short s
+    + """select s.subject_id, s.date, s.time, s.pain, s.triggers, true as has_fresh_id from log_short s
     where not exists (select 1 from log m where m.subject_id = s.subject_id and m.date = s.date and m.time = s.time)""",
 )
 def ingest_store(t: Tables):
     rows, _ = log_source.ingest_store(t.log_short, t.log)
-    return rows.select("subject_id", "date", "time", "pain", "triggers")
+    return _fresh_ids(t, rows).select("subject_id", "date", "time", "pain", "triggers", "has_fresh_id")
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Rule scores, forecasts and scenarios."""
+"""Rule scores and forecasts."""
 
 from pyspark.sql import functions as F
 
@@ -234,59 +234,3 @@ def hourly_forecast(t: Tables):
     )
     rows = endpoints.prediction_hourly(t.weather_hourly, t.log_short, t.subject_location_short, daily, FORECAST_START)
     return rounded(rows.select("subject_id", "ts", "risk_score", "risk_level", "temp", "humidity"), "temp", "humidity")
-
-
-def _grid_sql() -> str:
-    axes = list(scoring.SCENARIO_AXES.items())
-    total, rest, columns = scoring.grid_size(), scoring.grid_size(), []
-    for name, values in axes:
-        rest //= len(values)
-        columns.append(f"cast(([{', '.join(map(str, values))}])[(scenario // {rest}) % {len(values)} + 1] as double) as {name}")
-    return (
-        "grid as (select subject_id, cast(scenario as int) as scenario, " + ", ".join(columns)
-        + f" from (select subject_id, unnest(generate_series(0, {total - 1})) as scenario from subject_location))"
-    )
-
-
-_SCENARIO_P = (
-    "least(greatest(coalesce(b.baseline_risk, 0.1) + " + weather_score("f.pres_change", 8.0, "0.0", "f.average_humidity")
-    + " * coalesce(b.weather_sensitivity, 0.5) * 0.5 + case when f.pain_lag_1 > 2 then coalesce(b.baseline_risk, 0.1) * 0.8 else 0.0 end, 0.0), 1.0)"
-)
-
-
-@query(
-    "c14_scenario_grid",
-    with_tables("subject_location", extra=_grid_sql())
-    + "select subject_id, tavg, pres, average_humidity, count(*) as n, sum(pres_change) as sum_change, sum(pain_lag_1) as sum_lag, "
-    "sum(day_of_week) as sum_day, sum(sleep * 10 + activity) as sum_habit from grid group by 1, 2, 3, 4",
-)
-def scenario_grid(t: Tables):
-    grid = scoring.scenario_grid(t.subject_location.select("subject_id"))
-    return grid.groupBy("subject_id", "tavg", "pres", "average_humidity").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("pres_change").alias("sum_change"), F.sum("pain_lag_1").alias("sum_lag"),
-        F.sum("day_of_week").alias("sum_day"), F.sum(F.col("sleep") * 10 + F.col("activity")).alias("sum_habit"),
-    )
-
-
-@query(
-    "j8_scenario_scoring",
-    with_tables("subject_location", "settings_changes", extra=SETTINGS + ", " + _grid_sql())
-    + f"select subject_id, {r('p')} as score, count(*) as n_scenarios from (select f.subject_id, {_SCENARIO_P} as p from grid f "
-    "left join priors b on b.subject_id = f.subject_id) group by 1, 2",
-)
-def scenario_scoring(t: Tables):
-    scored = scoring.scenario_scores(scoring.scenario_grid(t.subject_location.select("subject_id")), settings_of(t))
-    return rounded(scored, "score").groupBy("subject_id", "score").agg(F.count(F.lit(1)).alias("n_scenarios"))
-
-
-@query(
-    "f4_scenario_argmax",
-    with_tables("subject_location", "settings_changes", extra=SETTINGS + ", " + _grid_sql())
-    + f"select subject_id, scenario, tavg, pres_change, pain_lag_1, {r('p')} as score from (select f.*, {_SCENARIO_P} as p, "
-    f"row_number() over (partition by f.subject_id order by round({_SCENARIO_P}, 9) desc, f.scenario) as rn from grid f "
-    "left join priors b on b.subject_id = f.subject_id) where rn = 1",
-)
-def scenario_argmax(t: Tables):
-    scored = scoring.scenario_scores(scoring.scenario_grid(t.subject_location.select("subject_id")), settings_of(t))
-    best = scoring.scenario_argmax(scored)
-    return rounded(best.select("subject_id", "scenario", "tavg", "pres_change", "pain_lag_1", "score"), "score")

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from ..functions import numeric_coerce
 from ..operators.clean import conform_schema, require_columns, valid_pain
-from ..operators.maintain import flag_stored, import_summary
-from ..schemas import EXPORT_NAMES, LOG, RAW_LOG, REQUIRED_IMPORT_COLUMNS
+from ..operators.maintain import assign_entry_ids, flag_stored, import_summary
+from ..schemas import EXPORT_NAMES, LOG, REQUIRED_IMPORT_COLUMNS
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -44,34 +44,67 @@ def history_sort(log: DataFrame, limit: int) -> DataFrame:
     return log.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
 
 
-def prepare_import(incoming: DataFrame, stored: DataFrame, subject_id: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows of an exported file -> (rows to append, D20 summary).
+def judge_import(incoming: DataFrame, subject_id: int | None = None) -> DataFrame:
+    """Rows of an exported file as text, with ``reject_reason`` (null for good rows).
 
-    Checks the required columns, drops rows with invalid pain (they count neither as
-    imported nor as skipped), drops unknown columns and the foreign row id, and removes
-    rows whose (date, time) is stored. Unreadable dates are kept out of the typed log.
+    Checks the required columns. A row is rejected for a pain that is no number from 0 to 10
+    or a date that is no ``YYYY-MM-DD`` day; its text stays as it was read.
     """
     renamed = incoming.withColumnsRenamed({k: v for k, v in EXPORT_NAMES.items() if k in incoming.columns})
     require_columns(renamed, REQUIRED_IMPORT_COLUMNS)
     if subject_id is not None:
-        renamed = renamed.withColumn("subject_id", F.lit(subject_id))
-    checked = renamed.where(valid_pain(F.col("pain"))).drop("entry_id")
-    typed = conform_schema(checked.withColumn("pain", numeric_coerce(F.col("pain"))), LOG).drop("entry_id")
+        renamed = renamed.withColumn("subject_id", F.lit(subject_id).cast("bigint"))
+    day = F.col("date").cast("string")
+    readable = day.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(day, "yyyy-MM-dd").isNotNull()
+    return renamed.withColumn(
+        "reject_reason",
+        F.when(~F.coalesce(valid_pain(F.col("pain")), F.lit(False)), "invalid pain").when(~F.coalesce(readable, F.lit(False)), "invalid date"),
+    )
+
+
+def prepare_import(incoming: DataFrame, stored: DataFrame, subject_id: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of an exported file -> (rows to append, D20 summary).
+
+    Rejected rows (see :func:`judge_import`) are only counted, so the stored log never gets a
+    null date; unknown columns and the foreign row id are dropped, and so are rows whose
+    (date, time) is stored. What remains gets fresh ids. Pain is cut to a whole number.
+    """
+    judged = judge_import(incoming, subject_id)
+    good = judged.where("reject_reason is null").drop("entry_id", "reject_reason")
+    typed = conform_schema(good.withColumn("pain", numeric_coerce(F.col("pain"))), LOG).drop("entry_id")
+    rejected = judged.where("reject_reason is not null").select(F.col("subject_id").try_cast("bigint").alias("subject_id"))
     flagged = flag_stored(typed, stored)
-    return flagged.where(~F.col("is_stored")).drop("is_stored"), import_summary(flagged, stored)
+    return _fresh(flagged, stored), import_summary(flagged, stored, rejected)
 
 
-def ingest_csv(spark: SparkSession, path: str, stored: DataFrame, subject_id: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """A3: read everything as text, so times and ids are never re-typed by guesswork."""
-    return prepare_import(spark.read.option("header", True).csv(path), stored, subject_id)
+def _fresh(flagged: DataFrame, stored: DataFrame) -> DataFrame:
+    rows = assign_entry_ids(flagged.where(~F.col("is_stored")).drop("is_stored"), stored)
+    return rows.select(*[f.name for f in LOG])
+
+
+def ingest_csv(
+    spark: SparkSession, path: str, stored: DataFrame, subject_id: int | None = None, line_breaks: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """A3: read everything as text, so times and ids are never re-typed by guesswork.
+
+    Quotes inside a cell are doubled, and a quoted cell may contain line breaks; reading those
+    makes each file one task. ``line_breaks=False`` declares files without any, which
+    then stay splittable. Inner blanks are kept.
+    """
+    return prepare_import(read_csv(spark, path, line_breaks), stored, subject_id)
+
+
+def read_csv(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    return spark.read.options(header=True, escape='"', multiLine=line_breaks).csv(path)
 
 
 def ingest_store(incoming: DataFrame, stored: DataFrame, subject_id: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """A4: merge another log store; its rows get new ids on append."""
+    """A4: merge another log store under fresh ids; rows without a date are only counted as rejected."""
     if subject_id is not None:
         incoming = incoming.withColumn("subject_id", F.lit(subject_id).cast("bigint"))
-    flagged = flag_stored(conform_schema(incoming, LOG).drop("entry_id"), stored)
-    return flagged.where(~F.col("is_stored")).drop("is_stored"), import_summary(flagged, stored)
+    typed = conform_schema(incoming, LOG).drop("entry_id")
+    flagged = flag_stored(typed.where("date is not null"), stored)
+    return _fresh(flagged, stored), import_summary(flagged, stored, typed.where("date is null").select("subject_id"))
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -95,7 +128,3 @@ def list_stores(spark: SparkSession, root: str) -> DataFrame:
 def write_timeline(timeline: DataFrame, path: str) -> None:
     """One folder per year, so date filters skip folders."""
     timeline.withColumn("year", F.year("date")).write.mode("overwrite").partitionBy("year").parquet(path)
-
-
-def raw_log_schema() -> T.StructType:
-    return RAW_LOG

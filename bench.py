@@ -36,7 +36,6 @@ HEADLINE = [
     "j1_heuristic_daily",
     "j5_hourly_forecast",
     "j7_weekly_forecast",
-    "f4_scenario_argmax",
     "l5_rename_cascade",
     "k1_train_hurdle",
 ]

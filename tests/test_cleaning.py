@@ -1,8 +1,11 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from almanac import functions as fn
 from almanac.operators import clean, maintain
+from almanac.operators.timeseries import inference_lags
 from almanac.schemas import LOG
 from almanac.sources import log as source
 
@@ -183,6 +186,32 @@ def test_csv_roundtrip(spark, make_log, tmp_path):
     assert rows(summary, "imported_rows", "skipped_rows", "total_rows") == [(1, 0, 1)]
 
 
+def test_csv_with_quotes_line_breaks_and_bad_dates_twice(spark, make_log, tmp_path):
+    path, store = str(tmp_path / "log.csv"), str(tmp_path / "store")
+    with open(path, "w") as f:
+        f.write('Date,Time,Pain Level,Medications,Notes\n')
+        f.write('2024-01-01,08:00,4,"[{""name"": ""A"", ""dosage"": ""1""}]","two\nlines, one cell"\n')
+        f.write("01.02.2024,09:00,3,,\n2024-02-30,09:00,3,,\n2024-01-03,09:00,5,,plain\n")
+    make_log([{"entry_id": 5, "date": "2023-01-01", "time": "08:00", "pain": 1}]).write.parquet(store)
+    counts = []
+    for _ in range(2):
+        new, summary = source.ingest_csv(spark, path, source.scan_log(spark, store), subject_id=1)
+        counts += rows(summary, "imported_rows", "skipped_rows", "rejected_rows", "total_rows")
+        source.append_log(new, store)
+    assert counts == [(2, 0, 2, 3), (0, 2, 2, 3)]
+    log = source.scan_log(spark, store)
+    assert rows(log.where("date >= '2024-01-01'"), "medications", "notes") == [(None, "plain"), ('[{"name": "A", "dosage": "1"}]', "two\nlines, one cell")]
+    ids = [r.entry_id for r in log.collect()]
+    assert len(set(ids)) == 3 and min(ids) == 5
+    assert {r.reject_reason for r in source.judge_import(source.read_csv(spark, path), 1).collect()} == {None, "invalid date"}
+
+
+def test_a_row_without_a_date_does_not_stop_serving(spark, make_log):
+    log = make_log([{"date": None, "pain": 9}, {"date": None, "pain": 8}, {"date": "2024-01-01", "pain": 5}])
+    targets = spark.createDataFrame([(1, dt.date(2024, 1, 2))], "subject_id long, target_date date")
+    assert rows(inference_lags(log, targets), "pain_lag_1", "pain_lag_2") == [(5.0, 0.0)]
+
+
 def test_missing_log_is_empty(spark, tmp_path):
     assert source.scan_log(spark, str(tmp_path / "nothing")).count() == 0
 
@@ -198,7 +227,7 @@ def test_stores_union_and_refuse_overwrite(spark, make_log, tmp_path):
 
 
 def test_fresh_ids_are_unique_and_above(make_log):
-    out = maintain.assign_entry_ids(make_log([{} for _ in range(20)]).repartition(5), after=100)
+    out = maintain.assign_entry_ids(make_log([{} for _ in range(20)]).repartition(5), make_log([{"entry_id": 100}, {"entry_id": 3}]))
     ids = [r.entry_id for r in out.collect()]
     assert len(set(ids)) == 20 and min(ids) > 100
 

@@ -44,13 +44,33 @@ def test_registry_changes(spark):
 def test_rename_cascade_handles_several_names_per_row(spark, make_log):
     log = make_log([{"triggers": "a, b,c"}, {"triggers": "ab"}, {"triggers": None}, {"subject_id": 2, "entry_id": 0, "triggers": "a"}])
     renames = spark.createDataFrame([(1, "a", "x "), (1, "b", "a")], "subject_id long, old_name string, new_name string")
-    for rename in (maintain.rename_cascade, maintain._rename_by_item):
-        assert rows(rename(log, renames), "subject_id", "entry_id", "triggers") == [
-            (1, 0, "x, a, c"), (1, 1, "ab"), (1, 2, None), (2, 0, "a"),
-        ]
+    assert rows(maintain.rename_cascade(log, renames), "subject_id", "entry_id", "triggers") == [
+        (1, 0, "x, a, c"), (1, 1, "ab"), (1, 2, None), (2, 0, "a"),
+    ]
     assert rows(maintain.rename_one(log, 1, "c", "z"), "subject_id", "entry_id", "triggers")[0] == (1, 0, "a, b, z")
 
 
+def test_rename_is_the_same_with_null_ids_repeats_and_large_batches(spark, make_log):
+    log = make_log([{"entry_id": None, "triggers": "a, b"}, {"entry_id": None, "triggers": "a, b"}, {"entry_id": 7, "triggers": "b"}])
+    few = [(1, "a", "y"), (1, "a", "x"), (1, "b", None), (None, "a", "z"), (1, None, "z")]
+    many = few + [(1, f"other {i}", "z") for i in range(3000)] + [(i, "a", "w") for i in range(2, 2000)]
+    for batch in (few, many):
+        renames = spark.createDataFrame(batch, "subject_id long, old_name string, new_name string")
+        assert rows(maintain.rename_cascade(log, renames), "triggers", "entry_id") == [("b", 7), ("x, b", None), ("x, b", None)]
+
+
+def test_update_takes_one_change_a_row_and_clears_fields(spark, make_log):
+    log = make_log([{"entry_id": 1, "pain": 3, "notes": "a"}, {"entry_id": 2, "pain": 4, "notes": "b"}])
+    changes = spark.createDataFrame(
+        [(1, 1, 9, "x", 1, None), (1, 1, 8, None, 2, ["notes"]), (1, 2, None, None, 1, [])],
+        "subject_id long, entry_id long, pain int, notes string, at int, wiped array<string>",
+    )
+    updated, _ = maintain.update_entries(log, changes, version="at", cleared="wiped")
+    assert rows(updated, "entry_id", "pain", "notes") == [(1, 8, None), (2, 4, "b")]
+    plain, _ = maintain.update_entries(log, changes.drop("at", "wiped"))
+    assert rows(plain, "entry_id", "pain", "notes") == [(1, 9, "x"), (2, 4, "b")]
+
+
 def test_increment_ignores_unknown_names(spark):
     registry = spark.createDataFrame([(1, 1, "a", 2), (1, 2, "b", 0)], "subject_id long, med_id long, name string, usage_count long")
     names = spark.createDataFrame([(1, " a "), (1, "a"), (1, "z")], "subject_id long, name string")

@@ -131,14 +131,3 @@ def test_weekly_forecast_has_seven_days(make_log, spark):
     out = scoring.weekly_forecast(log, subjects, None, "2024-01-02")
     assert out.columns == ["subject_id", "date", "risk_probability", "risk_level", "predicted_pain"]
     assert [r.risk_probability for r in out.orderBy("date").collect()] == [18.0] + [10.0] * 6
-
-
-def test_scenario_grid_is_complete(spark):
-    axes = {"pres_change": [-5.0, 0.0, 5.0], "average_humidity": [50.0, 80.0], "pain_lag_1": [0.0, 9.0]}
-    subjects = spark.createDataFrame([(1,), (2,)], "subject_id long")
-    grid = scoring.scenario_grid(subjects, axes)
-    assert grid.select("subject_id", *axes).distinct().count() == 24
-    assert "CartesianProduct" not in grid._jdf.queryExecution().toString()
-    best = scoring.scenario_argmax(scoring.scenario_scores(grid), axes)
-    assert rows(best, "pres_change", "average_humidity", "pain_lag_1") == [(-5.0, 80.0, 9.0)] * 2
-    assert scoring.grid_size() == 80640
