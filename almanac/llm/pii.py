@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import ensure_checkpoint_dir, materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: Candidates that train and calibrate at most, chosen by a hash of their text and place.
+#: Candidates that the trees see at most, in equal shares for each kind and label, chosen by a
+#: hash of their text and place. Thresholds are set by all others.
 MAX_CANDIDATES = 8000
 TREES, DEPTH = 10, 3
 #: Share of spans above a threshold that must be right by their weak labels.
@@ -142,16 +143,20 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, max_candidates: int = MAX_CANDIDATES) -> Model:
-    """Trees and thresholds from all texts of ``docs``; of their candidates at most ``max_candidates`` are used.
+    """Trees from at most ``max_candidates`` candidates of ``docs``, and thresholds from all that they have not seen.
 
-    Without candidates of both labels nothing is added to the base spans.
+    A kind and label with few candidates leaves its share to the others, so up to the bound all
+    are drawn; three quarters of what is drawn trains. Without candidates of both labels nothing
+    is added to the base spans.
     """
     found = _candidates(_texts(docs.select("text"))).select(F.explode(F.expr(_FEATURES)).alias("c"))
     rows = found.select(
         F.expr(_LABEL).cast("double").alias("label"), F.col("c.k").alias("k"), F.col("c.f").alias("f"), F.xxhash64("c.v", "c.start").alias("place")
     )
-    rows = materialize(rows.orderBy("place", "label", "k").limit(max_candidates), "candidates")
-    counts = rows.groupBy("label").count().collect()
+    turn = F.row_number().over(Window.partitionBy("k", "label").orderBy("place", "f"))
+    drawn = rows.withColumn("turn", turn).where(F.col("turn") <= max_candidates)
+    drawn = materialize(drawn.orderBy("turn", "k", "label").limit(max_candidates).orderBy("place", "label", "k", "f"), "candidates")
+    counts = drawn.groupBy("label").count().collect()
     if len(counts) < 2:
         return Model("0D", (NEVER,) * len(KINDS))
     from pyspark.ml.classification import GBTClassifier
@@ -159,14 +164,17 @@ def fit(docs: DataFrame, max_candidates: int = MAX_CANDIDATES) -> Model:
 
     ensure_checkpoint_dir(docs.sparkSession)
     check = F.pmod("place", F.lit(4)) == 3
-    train = rows.where(~check).select("label", array_to_vector("f").alias("features")).coalesce(1)
+    train = drawn.where(~check).select("label", array_to_vector("f").alias("features")).coalesce(1)
     if train.select("label").distinct().count() < 2:
         return Model("0D", (NEVER,) * len(KINDS))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, checkpointInterval=-1).fit(train)
     terms = [f"{weight!r}D * ({_tree(tree._call_java('rootNode'))})" for weight, tree in zip(model.treeWeights, model.trees)]
     sql = f"1D / (1D + exp(-2D * ({' + '.join(terms)})))"
-    scored = rows.where(check).select("k", "label", F.expr(sql.replace("c.f", "f")).alias("score"))
-    return Model(sql, _thresholds(scored))
+    # Up to the last place drawn of its kind and label a candidate was drawn, after it none was.
+    lasts = drawn.groupBy("k", "label").agg(F.max("place").alias("last")).collect()
+    last = "case " + " ".join(f"when k = {r['k']} and label = {r['label']!r}D then {r['last']}L" for r in lasts) + " end"
+    seen = F.coalesce(~check & (F.col("place") <= F.expr(last)), F.lit(False))
+    return Model(sql, _thresholds(rows.select("k", "label", F.expr(sql.replace("c.f", "f")).alias("score"), seen.alias("seen"))))
 
 
 def _tree(node) -> str:
@@ -177,14 +185,17 @@ def _tree(node) -> str:
 
 
 def _thresholds(scored: DataFrame) -> tuple[float, ...]:
-    """For each kind the lowest score from which on at least ``PRECISION`` of the candidates are right."""
-    levels: dict[int, list] = {}
-    for r in scored.groupBy("k", "score").agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("n")).collect():
-        levels.setdefault(r["k"], []).append((r["score"], r["right"], r["n"]))
+    """For each kind the lowest score from which on at least ``PRECISION`` of the unseen candidates are right.
+
+    A kind of which the trees have seen every candidate is judged by those.
+    """
+    levels: dict[tuple, list] = {}
+    for r in scored.groupBy("k", "score", "seen").agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("n")).collect():
+        levels.setdefault((r["k"], r["seen"]), []).append((r["score"], r["right"], r["n"]))
     out = []
     for number in range(len(KINDS)):
         best, right, n = NEVER, 0.0, 0
-        for score, more, count in sorted(levels.get(number, []), reverse=True):
+        for score, more, count in sorted(levels.get((number, False), levels.get((number, True), [])), reverse=True):
             right, n = right + more, n + count
             if right >= PRECISION * n:
                 best = score

@@ -36,6 +36,17 @@ def test_the_model_adds_disguised_spans_only(spark):
             assert spans(found[i], "spans") == []
 
 
+def test_a_rare_kind_among_many_candidates_keeps_its_spans(spark):
+    texts = [f"sum {10**13 + 7919 * i} and 300.{i % 200}.1.2 done" for i in range(3000)]
+    texts += [f"ref 4111-1111-1111-{1000 + i} paid" for i in range(60)]
+    texts += [f"write to user{i} (at) mail{i}.org now" for i in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    model = pii.fit(docs, max_candidates=400)
+    assert model.thresholds[0] < pii.NEVER
+    rare = pii.detect(docs.where("text like '%(at)%'"), model).collect()
+    assert [len(r.spans) for r in rare] == [1] * 4
+
+
 def test_redaction_and_listing(spark):
     text = "é a@b.cc, 10.0.0.1 and +1 (017) 555-7713."
     docs = spark.createDataFrame([(1, text), (2, None), (3, "clean"), (1, text)], "doc_id int, text string")
