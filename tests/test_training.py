@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from almanac.operators import features as feats
 from almanac.plans import training
+from almanac.queries import models
 from almanac.session import scratch_path
 
 from conftest import rows
@@ -83,6 +84,27 @@ def test_cross_validation_has_a_row_per_fold(frame):
     assert all(0 <= r.accuracy <= 1 and r.mae >= 0 and r.threshold in [*training.THRESHOLDS, 0.5] for r in out)
 
 
+def test_registered_queries_train_the_full_run(monkeypatch):
+    used = []
+
+    class Stop(Exception):
+        pass
+
+    def stop(features, config=training.TrainingConfig(), columns=None):
+        used.append(config)
+        raise Stop
+
+    monkeypatch.setattr(models, "features_of", lambda t: None)
+    monkeypatch.setattr(models, "frame_of", lambda t: None)
+    monkeypatch.setattr(training, "training_frame", lambda features: None)
+    monkeypatch.setattr(training, "train_hurdle", stop)
+    monkeypatch.setattr(training, "cross_validate", stop)
+    for run in (models.train_hurdle, models.cross_validate, models.predict_day):
+        with pytest.raises(Stop):
+            run(None)
+    assert [(c.max_iter, c.folds) for c in used] == [(100, 5)] * 3
+
+
 def test_retention_and_retraining(spark, make_log):
     registry = spark.createDataFrame([("m", 1), ("m", 3), ("m", 2), ("n", 1)], "model_name string, version long")
     assert rows(training.model_retention(registry).where("is_kept"), "model_name", "version") == [("m", 2), ("m", 3), ("n", 1)]
