@@ -41,17 +41,14 @@ class Policy:
 
 POLICY = Policy(1, tuple(RULES))
 
-# Three-word windows as hashes. Each is packed with its position (16 bits, or 31 in very long
-# texts), so that one sort of plain longs makes equal windows neighbours; neighbours are then
-# compared by the full hash. Kept starts in order add three words each, less what overlaps.
+# Three-word windows as hashes. One sort of pairs of full hash and position makes equal windows
+# neighbours at every size. Kept starts in order add three words each, less what overlaps.
 _KEYS = """if(__n < 3, cast(array() as array<bigint>), transform(sequence(0, __n - 3),
     i -> xxhash64(get(__hash, i), get(__hash, i + 1), get(__hash, i + 2))))"""
-_PACKED = "sort_array(transform(__keys, (k, i) -> (k & shiftleft(-1L, __width)) | i))"
-_AT = "cast({x} & (shiftleft(1L, __width) - 1) as int)"
-_SAME = f"get(__keys, {_AT.format(x='x')}) = get(__keys, {_AT.format(x='{y}')})"
-_STARTS = f"""sort_array(transform(filter(__packed, (x, i) ->
-    (i > 0 and {_SAME.format(y='get(__packed, i - 1)')}) or
-    (i < size(__packed) - 1 and {_SAME.format(y='get(__packed, i + 1)')})), x -> {_AT.format(x='x')}))"""
+_PAIRS = "sort_array(transform(__keys, (k, i) -> named_struct('k', k, 'i', i)))"
+_STARTS = """sort_array(transform(filter(__pairs, (x, i) ->
+    (i > 0 and x.k = get(__pairs, i - 1).k) or
+    (i < size(__pairs) - 1 and x.k = get(__pairs, i + 1).k)), x -> x.i))"""
 _COVERED = """aggregate(transform(__starts, (s, i) -> if(i = 0, 3, least(3, s - get(__starts, i - 1)))), 0L, (a, b) -> a + b)"""
 
 
@@ -77,12 +74,12 @@ def measure(docs: DataFrame) -> DataFrame:
             "__hash": F.expr("transform(__words, w -> xxhash64(w))"),
             "__lines": F.filter(F.split("__text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
         }
-    ).withColumns({"__width": F.expr("if(__n <= 65536, 16, 31)"), "__keys": F.expr(_KEYS)})
-    packed = hashed.withColumn(
-        "__packed",
-        F.expr(f"if(size(array_distinct(__keys)) = size(__keys), cast(array() as array<bigint>), {_PACKED})"),
+    ).withColumn("__keys", F.expr(_KEYS))
+    paired = hashed.withColumn(
+        "__pairs",
+        F.expr(f"if(size(array_distinct(__keys)) = size(__keys), cast(array() as array<struct<k: bigint, i: int>>), {_PAIRS})"),
     )
-    started = packed.withColumn("__starts", F.expr(_STARTS))
+    started = paired.withColumn("__starts", F.expr(_STARTS))
     return started.select(
         *kept,
         F.col("__n").cast("long").alias("n_words"),

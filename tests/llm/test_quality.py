@@ -2,6 +2,7 @@ import random
 
 import pytest
 from brute import quality as plain
+from pyspark.sql import functions as F
 
 from almanac.llm import quality
 
@@ -16,6 +17,17 @@ def test_measures_match_a_plain_version(spark):
         assert tuple(row[m] for m in quality.MEASURES) == plain(TEXTS[row.doc_id]), row.doc_id
 
 
+def test_windows_that_agree_in_leading_hash_bits_do_not_hide_repeats(spark):
+    # Two windows "first x y" whose hashes share their upper 33 bits, in turn and far apart in a long text.
+    keys = spark.range(400_000).selectExpr("concat('w', id) as w").selectExpr("w", "xxhash64(xxhash64(w), xxhash64('x'), xxhash64('y')) as k")
+    pairs = keys.selectExpr("w", "k & shiftleft(-1L, 31) as bits").groupBy("bits").agg(F.sort_array(F.collect_list("w")).alias("w")).where("size(w) = 2")
+    a, b = pairs.orderBy("bits").first()["w"]
+    text = " ".join(f"{first} x y " + " ".join(f"f{n}_{i}" for i in range(17_000)) for n, first in enumerate((a, b, a, b)))
+    found = quality.measure(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert found["n_repeat_words"] == 12
+    assert tuple(found[m] for m in quality.MEASURES) == plain(text)
+
+
 def test_verdicts_follow_bits_and_policy(spark):
     good = " ".join(f"word{i}" for i in range(80))
     rows = [(1, good), (2, "short"), (3, None), (4, "spam eggs ham " * 40), (5, " ".join(f"w{i}$$$" for i in range(80))), (1, good)]
