@@ -9,7 +9,7 @@ from almanac.operators.timeseries import inference_lags
 from almanac.schemas import LOG
 from almanac.sources import log as source
 
-from conftest import rows
+from helpers import rows
 
 
 def text(spark, values):

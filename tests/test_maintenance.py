@@ -9,7 +9,7 @@ from almanac.session import scratch_path
 from almanac.sources import log as source
 from almanac.streaming.incremental import schema_with_batch
 
-from conftest import rows
+from helpers import rows
 
 D = dt.date
 

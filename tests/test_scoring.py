@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from almanac.plans import scoring
 
-from conftest import rows
+from helpers import rows
 
 D = dt.date
 DEFAULTS = dict(baseline_risk=0.1, weather_sensitivity=0.5, sleep_sensitivity=0.5, strain_sensitivity=0.5)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from almanac.operators import daily, gaps, stats, usage
 
-from conftest import rows
+from helpers import rows
 
 D = dt.date
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from almanac.operators import correlation, daily, features, timeseries, weather
 
-from conftest import rows
+from helpers import rows
 
 D = dt.date
 

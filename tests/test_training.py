@@ -9,7 +9,7 @@ from almanac.plans import training
 from almanac.queries import models
 from almanac.session import scratch_path
 
-from conftest import rows
+from helpers import rows
 
 D = dt.date
 CONFIG = training.TrainingConfig(max_iter=2, max_depth=2, folds=2, features=("f1", "f2", "empty"))
