@@ -62,7 +62,7 @@ def measure(docs: DataFrame) -> DataFrame:
     """
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (*MEASURES, "failures") and not c.startswith("__")]
     trimmed = docs.select(*kept, F.expr("coalesce(text, '') as __text")).withColumn(
-        "__trimmed", F.expr(r"trim(both ' \t\n\u000B\f\r' from __text)")
+        "__trimmed", F.expr(r"trim(both ' \t\n\u000B\u000C\r' from __text)")
     )
     words = trimmed.withColumn(
         "__words",

@@ -9,6 +9,7 @@ from almanac.llm import quality
 random.seed(5)
 TEXTS = [" ".join(random.choice(["a", "b", "c#", "\n", "dd|", "\n\t"]) for _ in range(random.randint(0, 60))) for _ in range(150)]
 TEXTS += [None, "", "   ", "x", "\n\n", "a b a b", "a a a a", "w " * 70_000, "line one\nline one\n line one"]
+TEXTS += ["fluffy fox and a leaf", "f f f f", "\x0cabc def\x0c", "\x0b\x0cff\x0c f", "\x0c", "f", "\r\nfff \x0c\t"]
 
 
 def test_measures_match_a_plain_version(spark):
