@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from ..session import materialize
 from .textbytes import SpanHash, Texts, blocks, texts_of
 
 STOP = np.zeros(256, bool)
@@ -23,6 +24,8 @@ LETTER[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(o
 
 #: Labelled rows, and bytes of their texts, that the fit may use at most.
 MAX_ROWS, MAX_BYTES = 6000, 48 << 20
+#: Share of those bytes above which a text is taken only if there is room after all others.
+SHARE = 1 / 64
 MIN_DOCS = 3
 #: Bytes of word beginnings that are features beside the whole word.
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -39,11 +42,16 @@ MADE = ("score", "predicted", "n_sentences", "offending")
 
 @dataclass(frozen=True)
 class Model:
-    """Feature hashes in order with their weights, and the bias of every sentence."""
+    """Feature hashes in order with their weights, and the bias of every sentence.
+
+    A fit that has not seen both labels tells no sentences apart: it has a ``rate``, the score of
+    every document whatever its sentences.
+    """
 
     features: np.ndarray
     weights: np.ndarray
     bias: float
+    rate: float | None = None
 
     def table(self) -> np.ndarray:
         """Which leading bits any feature has; most tokens are dismissed by it."""
@@ -160,7 +168,7 @@ def _fit(bags: Bags, labels: np.ndarray, chosen: np.ndarray, l1: float, rounds:
     bias = float(np.log(np.expm1(-np.log1p(-share) / max(n / max(docs, 1), 1.0))))
     weights = np.zeros(len(bags.vocabulary))
     if n == 0 or positive.all() or not positive.any():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), bias)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), bias, None if n == 0 and positive.any() and not positive.all() else float(share))
     moment, square = np.zeros(len(weights) + 1), np.zeros(len(weights) + 1)
     for step in range(1, rounds + 1):
         odds = bias + np.bincount(sentence, weights[feature], minlength=n)
@@ -185,7 +193,8 @@ def _fit(bags: Bags, labels: np.ndarray, chosen: np.ndarray, l1: float, rounds:
 def fit_rows(texts: Texts, labels: np.ndarray, penalties=PENALTIES) -> Model:
     """The model with the penalty that predicts every fourth row best when fitted to the others.
 
-    Without rows of both labels it knows no features and its bias is the label rate.
+    Without rows of both labels it knows no features and gives every document the label rate,
+    which is a half without any row.
     """
     bags = Bags(texts, labels)
     everything, check = np.ones(len(texts), bool), np.arange(len(texts)) % 4 == 3
@@ -205,9 +214,11 @@ def fit_rows(texts: Texts, labels: np.ndarray, penalties=PENALTIES) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
     """Model from the documents of ``labels`` (``doc_id``, ``toxic``); rows held out must be left out before.
 
-    Uses at most ``max_rows`` labelled rows, chosen by a hash of the id, whose texts together
-    have at most ``max_bytes``. A document with several labels counts as toxic if any says so;
-    null ids and labels are ignored.
+    Uses at most ``max_rows`` labelled documents, chosen by a hash of the id, whose texts together
+    have at most ``max_bytes``. Texts above ``SHARE`` of those bytes come after all others, the
+    shorter ones first, so that none of them ends the sample while others fit. A document with
+    several labels counts as toxic if any says so; of rows that repeat an id, the least text is
+    taken. Null ids and labels are ignored.
     """
     chosen = (
         labels.where("doc_id is not null and toxic is not null")
@@ -217,21 +228,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes:
         .orderBy("place", "doc_id")
         .limit(max_rows)
     )
-    running = Window.orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")
-        .withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
-        .withColumn("total", F.sum("size").over(running))
-        .where(F.col("total") <= max_bytes)
-        .select("text", F.col("toxic").cast("int").alias("toxic"))
-        .toArrow()
-    )
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= max_bytes)
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "place").agg(F.min("text").alias("text"))
+    # from here on there are at most max_rows rows
+    rows = materialize(rows.withColumn("size", F.octet_length("text")), "labelled")
+    long = F.when(F.col("size") > max_bytes * SHARE, F.col("size")).otherwise(0)
+    running = Window.orderBy("long", "place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fitting = rows.select("doc_id", "place", "size", long.alias("long")).withColumn("total", F.sum("size").over(running))
+    fitting = fitting.where(F.col("total") <= max_bytes).select("doc_id", "long", "place")
+    ordered = rows.drop("place").join(F.broadcast(fitting), "doc_id").orderBy("long", "place", "doc_id")
+    rows = ordered.select("text", F.col("toxic").cast("int").alias("toxic")).toArrow()
     return fit_rows(texts_of(rows["text"]), rows["toxic"].to_numpy().astype(float))
 
 
 def _score(model: Model, texts: Texts, threshold: float, table: np.ndarray | None = None):
     found = Sentences(texts)
+    if model.rate is not None:
+        none = np.zeros(0, np.int64)
+        return np.full(len(texts), model.rate), np.diff(found.first), none, none, none, np.zeros(0)
     odds = model.odds(found, model.table() if table is None else table)
     counts = np.diff(found.first)
     # without a sentence there is still one instance: the empty one

@@ -58,3 +58,36 @@ def test_training_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
     toxicity.fit(docs, labels, max_rows=10, max_bytes=100)
+
+
+def test_one_long_text_or_one_repeated_id_does_not_end_the_sample(spark):
+    rows = made(300)
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    plain = toxicity.fit(docs, labels, max_bytes=100_000)
+    assert len(plain.features)
+    # whichever id comes first by its hash, make its text too long, then repeat it
+    first = docs.selectExpr("doc_id", "xxhash64(cast(doc_id as string)) as h").orderBy("h").first().doc_id
+    for size in (30_000, 200_000):
+        longer = docs.selectExpr("doc_id", f"if(doc_id = {first}, repeat('balan ', {size} div 6), text) as text")
+        assert len(toxicity.fit(longer, labels, max_bytes=100_000).features) > 0
+    again = docs.unionByName(docs.where(f"doc_id = {first}").crossJoin(spark.range(2000)).select("doc_id", "text"))
+    repeated = toxicity.fit(again, labels, max_bytes=100_000)
+    assert np.array_equal(repeated.features, plain.features) and np.allclose(repeated.weights, plain.weights)
+
+
+def test_without_both_labels_every_document_gets_the_rate(spark):
+    docs = spark.createDataFrame([(1, "one. two. three."), (2, ""), (3, "four")], "doc_id long, text string")
+    for told, rate in (([], 0.5), ([(1, 0), (2, 0)], 0.25), ([(3, 1)], 2 / 3)):
+        model = toxicity.fit(docs, spark.createDataFrame(told, "doc_id long, toxic int"))
+        found = toxicity.score(docs, model).collect()
+        assert all(abs(r.score - rate) < 1e-9 and r.predicted == 0 and r.offending == [] for r in found)
+    assert [r.n_sentences for r in found] == [3, 0, 1]
+
+
+def test_a_very_long_text(spark):
+    rows = made(200)
+    model = toxicity.fit_rows(texts_of(pa.array([t for _, t, _ in rows])), np.array([x for _, _, x in rows], float))
+    docs = spark.createDataFrame([(1, "balan tor. " * 200_000 + "grunk"), (2, "balan tor")], "doc_id long, text string")
+    found = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert found[1].n_sentences == 200_001 and found[1].score >= found[2].score
