@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import decontaminate, jaccard, language, packing, pii, quality, substring, tokenfile, tokens, toxicity, urls
+from . import decontaminate, interaction, jaccard, language, packing, pii, quality, substring, tokenfile, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -180,3 +180,36 @@ def op7(spark, sf_dir):
         F.sha2(pii.listed("base"), 256).alias("base_sha256"),
         pii.listed("spans").alias("spans"),
     )
+
+
+OP11_SQL = rf"""
+with recursive w as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, {_WORDS} as w,
+    min(doc_id) over (partition by coalesce(text, '')) as lowest from documents),
+m as (select doc_id, part, (case when len(w) < 100 then 1 else 0 end)
+    + (case when 100 * len(list_distinct(w)) < 80 * len(w) then 2 else 0 end)
+    + (case when 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) then 4 else 0 end)
+    + (case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end) + (case when doc_id > lowest then 16 else 0 end) as mask from w),
+c as (select part, mask, count(*) as n, count(*) filter (where quality = 1) as good, count(*) filter (where toxic = 1) as tox
+  from m left join labels using (doc_id) group by part, mask),
+letters(letter, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+p(prefix, before, letter, bit) as (select letter, 0, letter, bit from letters
+  union all select prefix || l.letter, before | p.bit, l.letter, l.bit from p join letters l on (before | p.bit) & l.bit = 0),
+s as (select part, prefix, letter,
+    coalesce(sum(n) filter (where mask & (before | bit) = 0), 0) as kept,
+    coalesce(sum(n) filter (where mask & bit <> 0 and mask & before = 0), 0) as removed,
+    coalesce(sum(n) filter (where mask & bit <> 0 and mask & before <> 0), 0) as redundant,
+    coalesce(sum(n) filter (where mask = bit), 0) as unique_fails,
+    coalesce(sum(good) filter (where mask & bit <> 0 and mask & before = 0), 0) as good_lost,
+    coalesce(sum(tox) filter (where mask & bit <> 0 and mask & before = 0), 0) as toxic_lost
+  from c, p group by part, prefix, letter, before, bit),
+o as (select prefix as filter_order from p where length(prefix) = 5)
+select part, filter_order, cast(length(prefix) as integer) as step, letter as filter, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+  cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+  cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, letter) as bigint) as shapley
+from o join s on starts_with(filter_order, prefix)"""
+
+
+@query("op11_filter_interaction", OP11_SQL)
+def op11(spark, sf_dir):
+    counted = interaction.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return interaction.audit(counted)
