@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import decontaminate, interaction, jaccard, language, packing, pii, quality, substring, tokenfile, tokens, toxicity, urls
+from . import alignment, decontaminate, interaction, jaccard, language, packing, pii, quality, substring, tokenfile, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -213,3 +213,9 @@ from o join s on starts_with(filter_order, prefix)"""
 def op11(spark, sf_dir):
     counted = interaction.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return interaction.audit(counted)
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, tokens.tokenizer_path("byte_bpe_50k.json"), tokens.tokenizer_path("piece_bpe_32k.model"))
