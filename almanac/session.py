@@ -65,6 +65,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Written:
+    """A frame written once to the shared folder, which can be removed when nothing reads it any more."""
+
+    def __init__(self, df: DataFrame, label: str):
+        spark = df.sparkSession
+        self._spark, self.path = spark, scratch_path(spark, label)
+        df.write.mode("error").parquet(self.path)
+        self.frame = spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        folder = self._spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Give RDD checkpoints (used by the boosting trees) the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
