@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import alignment, decontaminate, interaction, jaccard, language, packing, pii, quality, substring, tokenfile, tokens, toxicity, urls
+from . import alignment, decontaminate, interaction, jaccard, language, minhash, packing, pii, quality, substring, tokenfile, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,11 +115,11 @@ def op2(spark, sf_dir):
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _shingle_sql(table_name: str, key: str) -> str:
-    """Distinct five-word shingles of a table's texts; a shorter text is one shingle."""
-    return rf"""select distinct {key}, case when len(w) < 5 then array_to_string(w, ' ')
-      else array_to_string(w[i:i+4], ' ') end as s
-    from (select {key}, w, unnest(range(1, greatest(len(w) - 3, 2))) as i
+def _shingle_sql(table_name: str, key: str, width: int = 5) -> str:
+    """Distinct shingles of a table's texts; a shorter text is one shingle."""
+    return rf"""select distinct {key}, case when len(w) < {width} then array_to_string(w, ' ')
+      else array_to_string(w[i:i+{width - 1}], ' ') end as s
+    from (select {key}, w, unnest(range(1, greatest(len(w) - {width - 2}, 2))) as i
       from (select {key}, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from {table_name}) where len(w) > 0)"""
 
 
@@ -154,8 +154,10 @@ def op1(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-OP6_SQL = f"""
-with recursive s as ({_shingle_sql('documents', 'doc_id')}),
+
+def _component_sql(width: int) -> str:
+    return f"""
+with recursive s as ({_shingle_sql('documents', 'doc_id', width)}),
 n as (select doc_id, count(*) as n from s group by doc_id),
 i as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b using (s) where a.doc_id < b.doc_id group by all),
 l as (select x, y from i join n p on p.doc_id = x join n q on q.doc_id = y where 100 * k >= 80 * (p.n + q.n - k)),
@@ -165,7 +167,7 @@ select doc_id, cast(coalesce(any_value(n.n), 0) as bigint) as n_shingles, min(z)
 from r left join n using (doc_id) group by doc_id"""
 
 
-@query("op6_ngram_jaccard_join", OP6_SQL)
+@query("op6_ngram_jaccard_join", _component_sql(5))
 def op6(spark, sf_dir):
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -219,3 +221,8 @@ def op11(spark, sf_dir):
 def op13(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return alignment.align(docs, tokens.tokenizer_path("byte_bpe_50k.json"), tokens.tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op12_minhash_near_dedup", f"select *, doc_id = component_id as kept from ({_component_sql(4)})")
+def op12(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
