@@ -17,6 +17,8 @@ from .stats import NO_MEDICATION
 
 UNCATEGORIZED = "Uncategorized"
 SPAN_MONTHS = {"1m": 1, "1y": 12}
+#: Letters in the runs by which names are found inside texts.
+GRAM = 3
 
 
 def since(log: DataFrame, as_of, span: str) -> DataFrame:
@@ -168,26 +170,49 @@ def display_name_join(names: DataFrame, registry: DataFrame) -> DataFrame:
     return names.join(shown, ["subject_id", "name"], "left").withColumn("shown", F.coalesce("shown", "name"))
 
 
+def _grams(chars: Column, size: int) -> Column:
+    """Distinct runs of ``size`` characters of a split text, in time linear in its length."""
+    runs = chars
+    for k in range(1, size):
+        rest = F.slice(chars, k + 1, F.size(chars))
+        runs = F.zip_with(runs, rest, lambda run, letter: F.concat(run, letter))
+    return F.array_distinct(F.array_compact(runs))
+
+
+def rarest_gram(registry: DataFrame) -> DataFrame:
+    """Each registry name with the one of its runs of ``GRAM`` letters that fewest names of the subject have.
+
+    A shorter name is its own run, so it meets texts by runs of its own length.
+    """
+    names = registry.where(F.col("name") != "").select("subject_id", "name").distinct()
+    chars = F.split("name", "")
+    runs = F.when(F.size(chars) < GRAM, F.array("name")).otherwise(_grams(chars, GRAM))
+    each = names.select("subject_id", "name", F.explode(runs).alias("gram"))
+    spread = each.groupBy("subject_id", "gram").agg(F.count(F.lit(1)).alias("names"))
+    filed = each.join(spread, ["subject_id", "gram"]).groupBy("subject_id", "name")
+    return filed.agg(F.min_by("gram", F.struct("names", "gram")).alias("gram"))
+
+
 def _substring_hits(log: DataFrame, registry: DataFrame) -> DataFrame:
-    """Legacy text that contains a registry name anywhere, as an equality join.
+    """Legacy text that contains a registry name anywhere, through an index by rare letter runs.
 
-    Each distinct text is cut into its substrings of the lengths that occur among the
-    subject's registry names; joining those to the names yields true hits only and no
-    text-by-name product.
+    A text asks with its distinct runs of one to ``GRAM`` letters, so it is at most ``GRAM`` rows a
+    letter, whatever the names; only names filed under one of them are looked for in it.
+    Texts stay behind while their runs meet the index, and come back to their candidates.
     """
     texts = (
         log.where(F.col("medication") != "")
         .groupBy("subject_id", F.col("medication").alias("text"))
         .agg(F.max("date").alias("last_use"))
+        .withColumn("text_id", F.xxhash64("text"))
     )
-    lengths = registry.where(F.col("name") != "").select("subject_id", F.length("name").alias("len")).distinct()
-    # Each text meets each name length once; the number of lengths is bounded by the
-    # longest name, not by the number of names.
-    cut = texts.join(lengths, "subject_id").where(F.length("text") >= F.col("len"))
-    starts = F.sequence(F.lit(1), F.length("text") - F.col("len") + 1)
-    pieces = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.col("len"))))
+    chars = F.split("text", "")
+    runs = F.flatten(F.array(*[_grams(chars, size) for size in range(1, GRAM + 1)]))
+    asked = texts.select("subject_id", "text_id", F.explode(runs).alias("gram"))
+    candidates = asked.join(rarest_gram(registry), ["subject_id", "gram"]).select("subject_id", "text_id", "name")
     return (
-        cut.select("subject_id", "last_use", F.explode(pieces).alias("name"))
+        candidates.join(texts, ["subject_id", "text_id"])
+        .where(F.contains("text", "name"))
         .groupBy("subject_id", "name")
         .agg(F.max("last_use").alias("last_use"))
     )

@@ -161,6 +161,24 @@ def test_last_use_matches_substrings_like_brute_force(spark, make_log):
     assert dict(rows(usage.last_use_join(log, registry), "name", "last_use")) == expected
 
 
+def test_last_use_in_long_texts_and_by_short_names(spark, make_log):
+    import random
+
+    random.seed(8)
+    long = "".join(random.choice("abcde é,") for _ in range(100_000))
+    texts = [long, "zzz", "é", "aé", long[:50] + "XyZ" + long[50:90]]
+    names = ["a", "é", "q", "zz", "aé", "xyz", "XyZ", "", long[4_000:4_030], long[-7:], "abcdeabcdeabcde", "日本", "zzzz"]
+    log = make_log([{"date": f"2024-01-{i + 1:02d}", "medication": t} for i, t in enumerate(texts)])
+    registry = spark.createDataFrame([(1, i, n) for i, n in enumerate(names)] + [(2, 99, "a"), (1, 98, None)], "subject_id long, med_id long, name string")
+    expected = {n: max(D(2024, 1, i + 1) for i, t in enumerate(texts) if n in t) for n in names if n and any(n in t for t in texts)}
+    assert dict(rows(usage.last_use_join(log, registry), "name", "last_use")) == expected
+
+
+def test_names_are_filed_under_their_rarest_run(spark):
+    registry = spark.createDataFrame([(1, n) for n in ("med1", "med2", "med12", "xy")], "subject_id long, name string")
+    assert dict(rows(usage.rarest_gram(registry), "name", "gram")) == {"med1": "ed1", "med2": "ed2", "med12": "d12", "xy": "xy"}
+
+
 def test_med_due_window(spark, make_log):
     log = make_log([{"date": "2024-01-01", "medications": '[{"name":"a"},{"name":"b"},{"name":"c"}]'}])
     registry = spark.createDataFrame(
