@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .clean import location_valid
 
@@ -44,10 +44,9 @@ def explode_forecast_daily(payloads: DataFrame) -> DataFrame:
     return rows.select("location_id", F.to_date("time").alias("date"), *DAILY_FIELDS)
 
 
-def weather_daily_rollup(hourly: DataFrame, daily: DataFrame | None = None) -> DataFrame:
-    """A day's hours to one feature row; daily extremes win over hourly ones."""
-    noon = F.max(F.when(F.hour("ts") == 12, F.col("relative_humidity_2m")))
-    rolled = hourly.groupBy("location_id", F.to_date("ts").alias("date")).agg(
+def rollup_columns() -> list[Column]:
+    """D17's aggregates over the hours of a day, batch or stream; ``midday_humidity`` may still be null."""
+    return [
         F.count(F.lit(1)).alias("n_hours"),
         F.coalesce(F.avg("temperature_2m"), F.lit(0.0)).alias("tavg"),
         F.coalesce(F.min("temperature_2m"), F.lit(0.0)).alias("tmin"),
@@ -56,8 +55,12 @@ def weather_daily_rollup(hourly: DataFrame, daily: DataFrame | None = None) -> D
         F.coalesce(F.avg("wind_speed_10m"), F.lit(0.0)).alias("wspd"),
         F.coalesce(F.avg("surface_pressure"), F.lit(DEFAULT_PRESSURE)).alias("pres"),
         F.coalesce(F.avg("relative_humidity_2m"), F.lit(DEFAULT_HUMIDITY)).alias("average_humidity"),
-        noon.alias("midday_humidity"),
-    )
+        F.max(F.when(F.hour("ts") == 12, F.col("relative_humidity_2m"))).alias("midday_humidity"),
+    ]
+
+
+def finish_rollup(rolled: DataFrame, daily: DataFrame | None = None) -> DataFrame:
+    """The rest of D17: the noon humidity falls back to the mean, daily extremes win over hourly ones."""
     rolled = rolled.withColumn("midday_humidity", F.coalesce("midday_humidity", "average_humidity"))
     if daily is None:
         return rolled.withColumn("tsun", F.lit(0.0))
@@ -74,6 +77,11 @@ def weather_daily_rollup(hourly: DataFrame, daily: DataFrame | None = None) -> D
     )
 
 
+def weather_daily_rollup(hourly: DataFrame, daily: DataFrame | None = None) -> DataFrame:
+    """A day's hours to one feature row; daily extremes win over hourly ones."""
+    return finish_rollup(hourly.groupBy("location_id", F.to_date("ts").alias("date")).agg(*rollup_columns()), daily)
+
+
 def humidity_daily(hourly: DataFrame) -> DataFrame:
     """Mean humidity and the noon reading; null when there is none."""
     return hourly.groupBy("location_id", F.to_date("ts").alias("date")).agg(

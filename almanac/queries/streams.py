@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from .. import streaming
-from ..session import scratch_path
-from ..sources.log import append_log
-from ..streaming.incremental import schema_with_batch
+from ..session import Written, scratch_path
+from ..streaming.incremental import schema_with_batch, write_partitions
 from .base import Tables, query, r, rounded, with_tables
 from .bindings import LOG_SHORT
+from .weather import COLUMNS, ROLLUP, TABLES
 
 
 def event_stream(t: Tables):
@@ -23,8 +23,7 @@ def log_stream(t: Tables):
 
 def _store(t: Tables, path: str):
     """What is stored before the stream starts: the clicks of the same log."""
-    stored = t.log_short.where(F.col("triggers") == "click").withColumn("batch", F.lit(-1))
-    append_log(stored.drop("batch"), f"{path}/batch=-1")
+    write_partitions(t.log_short.where(F.col("triggers") == "click"), path, -1)
 
 
 @query(
@@ -65,22 +64,18 @@ def stream_daily_max(t: Tables):
     return streaming.drain(streaming.daily_max(log_stream(t)), "append", "daily-max")
 
 
+# The newest hour, less the delay, has passed the end of a closed day.
+_HOURS_CLOSED = "date + 1 <= (select max(ts) - interval 1 day from weather_hourly)"
+
+
 @query(
     "m4_stream_weather_rollup",
-    with_tables("weather_hourly")
-    + "select location_id, date, n_hours, " + ", ".join(f"{r(c)} as {c}" for c in ("tavg", "tmin", "tmax")) + " from ("
-    "select user_id % 3 as location_id, cast(ts as date) as date, count(*) as n_hours, avg(cents) / 500 as tavg, min(cents) / 500.0 as tmin, "
-    "max(cents) / 500.0 as tmax from (select *, cast(floor(value * 100 + 0.5) as bigint) as cents from events) group by 1, 2) "
-    f"where {_CLOSED}",
+    with_tables(*TABLES, extra=ROLLUP)
+    + "select location_id, date, n_hours, " + ", ".join(f"{r(c)} as {c}" for c in COLUMNS) + f" from rollup where {_HOURS_CLOSED}",
 )
 def stream_weather_rollup(t: Tables):
-    cents = F.floor(F.col("value") * 100 + 0.5)
-    readings = event_stream(t).select(
-        F.pmod("user_id", F.lit(3)).alias("location_id"),
-        "ts",
-        (cents / 500.0).alias("temperature_2m"),
-        F.lit(1000.0).alias("surface_pressure"),
-        F.lit(0.0).alias("precipitation"),
-    )
-    emitted = streaming.drain(streaming.weather_rollup(readings), "append", "weather")
-    return rounded(emitted.select("location_id", "date", "n_hours", "tavg", "tmin", "tmax"), "tavg", "tmin", "tmax")
+    hours = Written(t.weather_hourly, "hours")
+    readings = t.spark.readStream.schema(hours.frame.schema).parquet(hours.path)
+    emitted = streaming.drain(streaming.weather_rollup(readings, t.weather_day_fields), "append", "weather")
+    hours.drop()
+    return rounded(emitted.select("location_id", "date", "n_hours", *COLUMNS), *COLUMNS)

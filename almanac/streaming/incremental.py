@@ -6,11 +6,12 @@ in the shared folder, never through the driver's memory.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import numeric_coerce, split_list
 from ..operators.maintain import anti_join_dedup
+from ..operators.weather import finish_rollup, rollup_columns
 from ..session import scratch_path
 from ..sources.log import read_or_empty
 
@@ -28,19 +29,37 @@ def window_date() -> Column:
     return F.to_date(F.to_utc_timestamp("window.start", F.current_timezone()))
 
 
+def write_partitions(rows: DataFrame, store_path: str, number: int) -> None:
+    """Put rows into the store's folders by day and batch; the folders they fall into are replaced."""
+    numbered = rows.withColumn("batch", F.lit(number))
+    writer = numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("date", "batch").parquet(store_path)
+
+
+def stored_on(spark: SparkSession, store_path: str, schema: T.StructType, days: list) -> DataFrame:
+    """The store's rows on some days; the other days' folders are not listed for reading."""
+    return read_or_empty(spark, store_path, schema_with_batch(schema)).where(F.col("date").isin(days))
+
+
 def ingest_dedup(stream: DataFrame, store_path: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
     """M1: append rows whose (subject, date, time) is neither in the stream nor stored.
 
-    The watermark bounds the state; the anti-join against the store catches what is
-    older than the watermark. Each batch writes to a folder of its own number, so a
-    replayed batch replaces its own output and cannot append twice.
+    The watermark bounds the state; the anti-join against the store catches what is older than
+    the watermark. The store has a folder for every day and batch, and a batch meets only the
+    folders of its own days, so its cost follows what arrives and not what is kept; the list of
+    those days is at most the calendar. A replayed batch sees the batches before it as it did at
+    first and replaces its own folders, so it cannot append twice. Rows without a date are
+    always new.
     """
     schema = stream.schema
     fresh = with_event_time(stream, delay).dropDuplicatesWithinWatermark(DEDUP_KEY).drop("event_time")
 
     def append(batch: DataFrame, number: int) -> None:
-        stored = read_or_empty(batch.sparkSession, store_path, schema_with_batch(schema)).where(F.col("batch") < number)
-        anti_join_dedup(batch, stored.drop("batch")).write.mode("overwrite").parquet(f"{store_path}/batch={number}")
+        batch = batch.persist()
+        days = [r["date"] for r in batch.where("date is not null").select("date").distinct().collect()]
+        stored = stored_on(batch.sparkSession, store_path, schema, days).where(F.col("batch") < number)
+        write_partitions(anti_join_dedup(batch, stored.select(*schema.names)), store_path, number)
+        batch.unpersist()
 
     return (
         fresh.writeStream.foreachBatch(append)
@@ -50,9 +69,7 @@ def ingest_dedup(stream: DataFrame, store_path: str, checkpoint: str, delay: str
     )
 
 
-def schema_with_batch(schema):
-    from pyspark.sql import types as T
-
+def schema_with_batch(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
 
 
@@ -75,21 +92,20 @@ def daily_max(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
-def weather_rollup(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """M4: hourly readings to daily features, per location and day."""
-    return (
+def weather_rollup(stream: DataFrame, daily: DataFrame | None = None, delay: str = "1 day") -> DataFrame:
+    """M4: hourly readings to D17's daily row, per location, emitted once the day is past the watermark.
+
+    The aggregates, with their defaults for readings that are missing, are D17's own; the daily
+    extremes and sunshine (``daily``) are a static table that each closed day meets by key.
+    """
+    rolled = (
         with_event_time(stream, delay)
         .groupBy("location_id", F.window("event_time", "1 day"))
-        .agg(
-            F.count(F.lit(1)).alias("n_hours"),
-            F.avg("temperature_2m").alias("tavg"),
-            F.min("temperature_2m").alias("tmin"),
-            F.max("temperature_2m").alias("tmax"),
-            F.avg("surface_pressure").alias("pres"),
-            F.sum("precipitation").alias("prcp"),
-        )
-        .select("location_id", window_date().alias("date"), "n_hours", "tavg", "tmin", "tmax", "pres", "prcp")
+        .agg(*rollup_columns())
+        .withColumn("date", window_date())
+        .drop("window")
     )
+    return finish_rollup(rolled, daily)
 
 
 def drain(result: DataFrame, mode: str, label: str) -> DataFrame:

@@ -7,7 +7,7 @@ from almanac.operators import maintain
 from almanac.schemas import LOG
 from almanac.session import scratch_path
 from almanac.sources import log as source
-from almanac.streaming.incremental import schema_with_batch
+from almanac.streaming.incremental import schema_with_batch, stored_on, write_partitions
 
 from helpers import rows
 
@@ -108,7 +108,8 @@ def drop(spark, path, number, data):
 
 def test_stream_ingest_is_exact_across_batches(spark, tmp_path):
     inbox, store = str(tmp_path / "in"), str(tmp_path / "store")
-    spark.createDataFrame([(1, D(2024, 1, 1), "08:00", dt.datetime(2024, 1, 1, 8), 1, "x")], STREAM).write.parquet(f"{store}/batch=-1")
+    spark.createDataFrame([(1, D(2024, 1, 1), "08:00", dt.datetime(2024, 1, 1, 8), 1, "x")], STREAM).write.parquet(f"{tmp_path}/seed")
+    write_partitions(spark.read.parquet(f"{tmp_path}/seed"), store, -1)
     drop(spark, inbox, 1, [("2024-01-01", "08:00", 1, "x"), ("2024-01-09", "09:00", 2, "x"), ("2024-01-09", "09:00", 3, "x")])
 
     def run():
@@ -124,6 +125,55 @@ def test_stream_ingest_is_exact_across_batches(spark, tmp_path):
     assert rows(out, "date", "time") == [(D(2024, 1, 1), "08:00"), (D(2024, 1, 9), "09:00"), (D(2024, 1, 10), "10:00")]
 
 
+def test_a_batch_reads_only_the_days_it_brings(spark, tmp_path):
+    store = str(tmp_path / "store")
+    drop(spark, str(tmp_path / "in"), 1, [(f"2024-01-{d:02}", "08:00", 1, "x") for d in range(1, 20)])
+    write_partitions(spark.read.parquet(str(tmp_path / "in")).drop("part"), store, -1)
+    schema = spark.createDataFrame([], STREAM).schema
+    days = stored_on(spark, store, schema, [D(2024, 1, 3), D(2024, 1, 5)]).where(F.col("batch") < 4)
+    plan = days._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert len(days.inputFiles()) >= 2 and days.count() == 2
+    read = days._jdf.queryExecution().executedPlan().toString()
+    assert "DataFilters: []" in read
+
+
+def test_replayed_batch_and_late_rows_change_nothing(spark, tmp_path):
+    inbox, store = str(tmp_path / "in"), str(tmp_path / "store")
+    data = [("2024-01-01", "08:00", 1, "x"), ("2024-01-20", "09:00", 2, "x")]
+    drop(spark, inbox, 1, data)
+
+    def run(state):
+        stream = spark.readStream.schema(STREAM).parquet(f"{inbox}/*")
+        streaming.ingest_dedup(stream, store, str(tmp_path / state), delay="1 day").awaitTermination()
+        return rows(spark.read.schema(schema_with_batch(stream.schema)).parquet(store), "date", "time", "batch")
+
+    first = run("state")
+    # the same batch number again, as after a failure before its commit
+    assert run("lost state") == first
+    # late rows: far past the watermark the state drops them; inside an old date the store knows them
+    drop(spark, inbox, 2, [("2024-01-01", "08:00", 9, "x"), ("2024-01-20", "09:00", 9, "x"), ("2024-01-20", "10:00", 3, "x")])
+    assert [(d, t) for d, t, _ in run("state")] == [(D(2024, 1, 1), "08:00"), (D(2024, 1, 20), "09:00"), (D(2024, 1, 20), "10:00")]
+
+
+def test_stream_rollup_equals_the_batch_row_of_a_closed_day(spark, tmp_path):
+    from almanac.operators.weather import weather_daily_rollup
+
+    hourly = "location_id long, ts timestamp_ntz, temperature_2m double, relative_humidity_2m double, surface_pressure double, precipitation double, wind_speed_10m double"
+    at = dt.datetime(2024, 1, 1)
+    data = [(loc, at + dt.timedelta(hours=h), 10.0 + h % 24, None if loc == 2 else 40.0 + h, None if h < 24 else 990.0 + h, 0.5, None if loc else 3.0) for loc in range(3) for h in range(96)]
+    spark.createDataFrame(data, hourly).repartition(2).write.parquet(str(tmp_path / "in"))
+    days = spark.createDataFrame(
+        [(0, D(2024, 1, 1), 99.0, -9.0, 7200.0), (1, D(2024, 1, 2), None, 1.0, None)],
+        "location_id long, date date, temperature_2m_max double, temperature_2m_min double, sunshine_duration double",
+    )
+    stream = spark.readStream.schema(hourly).parquet(str(tmp_path / "in"))
+    out = streaming.drain(streaming.weather_rollup(stream, days), "append", "t")
+    want = weather_daily_rollup(spark.read.parquet(str(tmp_path / "in")), days).where("date < date '2024-01-03'")
+    columns = sorted(want.columns)
+    assert len(rows(want, *columns)) == 6 and rows(out, *columns) == rows(want, *columns)
+
+
 def test_stream_daily_max_drops_late_rows_and_waits_for_the_watermark(spark, tmp_path):
     inbox = str(tmp_path / "in")
     drop(spark, inbox, 1, [("2024-01-01", "08:00", 3, "x"), ("2024-01-05", "08:00", 1, "x")])
