@@ -65,17 +65,20 @@ select user_id as subject_id, event_id as entry_id, cast(ts as date) as date,
 from {events}
 """
 
+# A day's pressure change is against the day before, 0 where that day has no reading.
 WEATHER_DAILY = """
+select *, coalesce(case when lag(date) over (partition by location_id order by date) = date - 1
+  then pres - lag(pres) over (partition by location_id order by date) end, 0.0) as pres_change from (
 select cast(s_nationkey as bigint) as location_id, cast(l_shipdate as date) as date,
   10 + avg(l_quantity) / 4 as tavg, 5 + min(l_quantity) / 4 as tmin, 15 + max(l_quantity) / 2 as tmax,
-  1000 + avg(l_quantity) as pres, cast(null as double) as pres_change,
+  1000 + avg(l_quantity) as pres,
   cast(sum(cast(floor(l_tax * 100 + 0.5) as bigint)) as double) / 10 as prcp,
   avg(cast(l_linenumber as double)) as wspd, cast(count(*) as double) * 30 as tsun,
   40 + 5 * avg(cast(floor(l_discount * 100 + 0.5) as bigint)) as average_humidity,
   cast(40 + 5 * max(cast(floor(l_discount * 100 + 0.5) as bigint)) as double) as midday_humidity,
   cast(cast(s_nationkey as bigint) as double) / 2 - 5 as latitude, cast(cast(s_nationkey as bigint) as double) * 4 - 50 as longitude
 from {lineitem} join {supplier} on l_suppkey = s_suppkey
-group by cast(s_nationkey as bigint), cast(l_shipdate as date)
+group by cast(s_nationkey as bigint), cast(l_shipdate as date)) daily
 """
 
 WEATHER_HOURLY = """

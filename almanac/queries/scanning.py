@@ -215,12 +215,13 @@ def append_weather(t: Tables):
 
 @query(
     "g1_union_weather",
-    with_tables("weather_daily", "weather_hourly") + "select location_id, date, tmin, pres_change, latitude from ("
+    with_tables("weather_daily", "weather_hourly") + f"select location_id, date, tmin, {r('pres_change')} as pres_change, latitude from ("
     + "select location_id, date, tmin, pres_change, latitude from weather_daily union all "
     "select location_id, cast(ts as date), min(temperature_2m), null, null from weather_hourly group by 1, 2)",
 )
 def union_weather_query(t: Tables):
-    return union_weather(t.weather_daily, _fresh(t)).select("location_id", "date", "tmin", "pres_change", "latitude")
+    both = union_weather(t.weather_daily, _fresh(t)).select("location_id", "date", "tmin", "pres_change", "latitude")
+    return rounded(both, "pres_change")
 
 
 @query("a10_scan_settings", with_tables("settings_changes", extra=SETTINGS) + "select * from priors")
