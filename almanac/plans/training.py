@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -19,12 +21,16 @@ from ..operators.correlation import correlation_filter
 from ..operators.features import FEATURES, impute_for_training, sample_weights, with_training_weights
 from ..operators.stats import entries_since_training
 from ..operators.timeseries import pooled_folds
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import Written, ensure_checkpoint_dir, materialize
 
 # The 16 decision thresholds tried, 0.10 to 0.85.
 THRESHOLDS = [round(0.1 + 0.05 * i, 2) for i in range(16)]
 DEFAULT_THRESHOLD = 0.5
 KEEP_VERSIONS = 2
+#: Rows that one task of a boosting round folds; fewer tasks would idle cores, more only add scheduling.
+ROWS_PER_TASK = 32_768
+#: Folds that are fitted at a time, each with its two ensembles side by side.
+FOLDS_AT_A_TIME = 5
 
 
 @dataclass(frozen=True)
@@ -78,20 +84,30 @@ def _stages(means: dict[str, float]):
     ]
 
 
+def _side_by_side(spark: SparkSession, calls):
+    """Results of independent pieces of work, run from one thread each so that their jobs overlap."""
+    with ThreadPoolExecutor(max_workers=len(calls)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(call)) for call in calls]]
+
+
 def train_hurdle(features: DataFrame, config: TrainingConfig = TrainingConfig(), columns=None) -> HurdleModel:
     """K1: weighted boosting for "any pain" and for ``log(1 + pain)`` over all rows.
 
-    Features are assembled once and materialised, because boosting reads them many times;
-    pass a materialised frame, since means and class sizes are read from it first.
+    Features are assembled once and written, because boosting reads them many times; pass a
+    written frame, since means and class sizes are read from it first. Both ensembles are fitted
+    at once: a round is a chain of small jobs, and the other's fill the gaps between them.
     """
-    ensure_checkpoint_dir(features.sparkSession)
+    spark = features.sparkSession
+    ensure_checkpoint_dir(spark)
     means = _feature_means(features, list(columns or config.features))
     columns = list(means)
     prepared = with_training_weights(features).withColumn("label", F.col("pain_binary").cast("double"))
     prep = PipelineModel(_stages(means))
-    data = materialize(
+    written = Written(
         prep.transform(prepared).select("feature_vector", "label", "pain_log", "sample_weight", "train_weight"), "training"
     )
+    tasks = max(1, -(-written.frame.count() // ROWS_PER_TASK))
+    data = written.frame.coalesce(tasks)
     common = dict(
         featuresCol="feature_vector",
         maxIter=config.max_iter,
@@ -99,15 +115,48 @@ def train_hurdle(features: DataFrame, config: TrainingConfig = TrainingConfig(),
         stepSize=config.step_size,
         seed=config.seed,
         checkpointInterval=10,
+        cacheNodeIds=True,
     )
     classifier = GBTClassifier(labelCol="label", weightCol="train_weight", predictionCol="class_prediction", **common)
-    clf = classifier.setProbabilityCol("class_probability").setRawPredictionCol("class_raw").fit(data)
-    reg = GBTRegressor(
-        labelCol="pain_log", weightCol="sample_weight", predictionCol="log_prediction", **common
-    ).fit(data)
+    classifier = classifier.setProbabilityCol("class_probability").setRawPredictionCol("class_raw")
+    regressor = GBTRegressor(labelCol="pain_log", weightCol="sample_weight", predictionCol="log_prediction", **common)
+    clf, reg = _side_by_side(spark, [lambda: classifier.fit(data), lambda: regressor.fit(data)])
+    written.drop()
     return HurdleModel(PipelineModel(prep.stages + [clf]), PipelineModel([reg]), columns)
 
 
+def _tree_sql(node, names) -> str:
+    if node.getClass().getSimpleName() == "LeafNode":
+        return f"{node.prediction()!r}D"
+    split = node.split()
+    left, right = (_tree_sql(child, names) for child in (node.leftChild(), node.rightChild()))
+    return f"if({names[split.featureIndex()]} <= {split.threshold()!r}D, {left}, {right})"
+
+
+def _ensemble_sql(model, names) -> str:
+    terms = (f"{weight!r}D * {_tree_sql(tree._call_java('rootNode'), names)}" for weight, tree in zip(model.treeWeights, model.trees))
+    return " + ".join(terms)
+
+
+def export_sql(model: HurdleModel) -> dict[str, str]:
+    """K1: the trained model as plain SQL over the feature columns: ``episode_probability``,
+    ``log_severity`` and ``severity``, with every gap filled as in training.
+
+    The expressions need no model file and run wherever SQL does; all ``model.features`` must be columns.
+    """
+    statement = model.classifier.stages[0].getStatement()
+    filled = statement[len("select *, ") : -len(" from __THIS__")].split(", coalesce(")
+    filled = [filled[0], *(f"coalesce({f}" for f in filled[1:])]
+    names = [f"({f[: f.rindex(' as ')]})" for f in filled]
+    margin = _ensemble_sql(model.classifier.stages[-1], names)
+    log_pain = f"greatest({_ensemble_sql(model.regressor.stages[-1], names)}, 0D)"
+    return {
+        "episode_probability": f"1D / (1D + exp(-2D * ({margin})))",
+        "log_severity": log_pain,
+        "severity": f"least(expm1({log_pain}), 10D)",
+    }
+
+
 def _f1(tp, fp, fn):
     return F.coalesce(2 * tp / F.nullif(2 * tp + fp + fn, F.lit(0)), F.lit(0.0))
 
@@ -179,29 +228,51 @@ def apply_threshold(scored: DataFrame, threshold) -> DataFrame:
     )
 
 
+def fold_days(features: DataFrame, folds: int) -> list[tuple]:
+    """First test day and first day after of every fold of a written frame."""
+    span = features.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
+    return [] if span["lo"] is None else pooled_folds(span["lo"], span["hi"], folds)
+
+
+def validate_fold(data: DataFrame, days: tuple, number: int, config: TrainingConfig = TrainingConfig()) -> tuple:
+    """K3, one fold: fit on the days before ``days``, choose the threshold on them, and measure there.
+
+    ``data`` is a written frame that all folds share; a fold is nothing but a filter on its days.
+    """
+    start, end = days
+    train = data.where(F.col("date") < F.lit(start))
+    test = data.where((F.col("date") >= F.lit(start)) & (F.col("date") < F.lit(end)))
+    kept, _ = correlation_filter(train, config.features)
+    model = train_hurdle(train, config, kept)
+    scored = Written(model.transform(test).select("pain", "pain_binary", "episode_probability", "log_severity"), "fold")
+    chosen = threshold_sweep(scored.frame).first()["threshold"]
+    row = hurdle_metrics(apply_threshold(scored.frame, chosen)).first()
+    scored.drop()
+    return number, chosen, *row
+
+
+FOLD_METRICS = (
+    "fold int, threshold double, n long, accuracy double, baseline_accuracy double, precision double, recall double, "
+    "f1 double, mae double, mae_painful double"
+)
+
+
 def cross_validate(features: DataFrame, config: TrainingConfig = TrainingConfig()) -> DataFrame:
-    """K3: expanding-window validation; one row of metrics per fold.
+    """K3: expanding-window validation; one row of metrics per fold, none without days.
 
-    The loop only schedules folds; selecting features, fitting and scoring are Spark
-    jobs over a written copy of the features.
+    Features are written once for all folds. Folds are fitted side by side: their rounds are
+    chains of small jobs that leave most cores idle one at a time. Selecting features, fitting
+    and scoring are Spark jobs; the driver keeps one row a fold.
     """
-    data = materialize(impute_for_training(features), "folds")
-    span = data.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
-    out = None
-    for number, (start, end) in enumerate(pooled_folds(span["lo"], span["hi"], config.folds), start=1):
-        train = data.where(F.col("date") < F.lit(start))
-        test = data.where((F.col("date") >= F.lit(start)) & (F.col("date") < F.lit(end)))
-        kept, _ = correlation_filter(train, config.features)
-        model = train_hurdle(train, config, kept)
-        scored = materialize(
-            model.transform(test).select("pain", "pain_binary", "episode_probability", "log_severity"), "fold"
-        )
-        chosen = threshold_sweep(scored).first()["threshold"]
-        metrics = hurdle_metrics(apply_threshold(scored, chosen)).select(
-            F.lit(number).alias("fold"), F.lit(chosen).alias("threshold"), "*"
-        )
-        out = metrics if out is None else out.unionByName(metrics)
-    return out
+    spark = features.sparkSession
+    written = Written(impute_for_training(features), "folds")
+    folds = list(enumerate(fold_days(written.frame, config.folds), start=1))
+    rows = []
+    for first in range(0, len(folds), FOLDS_AT_A_TIME):
+        some = folds[first : first + FOLDS_AT_A_TIME]
+        rows += _side_by_side(spark, [lambda n=n, days=days: validate_fold(written.frame, days, n, config) for n, days in some])
+    written.drop()
+    return spark.createDataFrame(rows, FOLD_METRICS)
 
 
 def regression_metrics(scored: DataFrame, label: str, prediction: str) -> DataFrame:

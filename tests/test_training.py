@@ -84,6 +84,34 @@ def test_cross_validation_has_a_row_per_fold(frame):
     assert all(0 <= r.accuracy <= 1 and r.mae >= 0 and r.threshold in [*training.THRESHOLDS, 0.5] for r in out)
 
 
+def test_each_fold_equals_a_fit_on_that_fold_alone(frame):
+    together = {r.fold: tuple(r) for r in training.cross_validate(frame, CONFIG).collect()}
+    data = feats.impute_for_training(frame)
+    for number, days in enumerate(training.fold_days(data, CONFIG.folds), start=1):
+        assert training.validate_fold(data, days, number, CONFIG) == together[number]
+    assert training.cross_validate(frame.limit(0), CONFIG).count() == 0
+
+
+def test_exported_sql_equals_the_model(spark, frame):
+    model = training.train_hurdle(frame, training.TrainingConfig(max_iter=12, max_depth=4, features=("f1", "f2", "empty")))
+    gaps = frame.select("date", F.when(F.dayofyear("date") % 5 > 0, F.col("f1")).alias("f1"), "f2")
+    sql = training.export_sql(model)
+    plain = gaps.select("date", *[F.expr(e).alias(f"sql_{c}") for c, e in sql.items()])
+    for r in model.transform(gaps).join(plain, "date").collect():
+        for c in sql:
+            assert r[c] == pytest.approx(r[f"sql_{c}"], abs=1e-12)
+
+
+def test_written_tables_of_training_are_removed(spark, frame):
+    import os
+
+    from almanac.session import shared_dir
+
+    training.cross_validate(frame, CONFIG)
+    left = os.listdir(f"{shared_dir(spark)}/almanac")
+    assert not [name for name in left if name.startswith(("fold", "training"))]
+
+
 def test_registered_queries_train_the_full_run(monkeypatch):
     used = []
 
