@@ -6,88 +6,113 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import nan_to_null
 
 MIN_ROWS = 30
 THRESHOLD = 0.90
-_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+_SUMS = ("n", "mx", "my", "sxx", "syy", "sxy")
 _PARTIAL = "i int, j int, " + ", ".join(f"{c} double" for c in _SUMS)
 
 
-def null_counts(df: DataFrame, columns) -> dict[str, int]:
-    """Rows and missing values per column, as one small driver-side row."""
-    row = df.agg(
-        F.count(F.lit(1)).alias("__rows"),
-        *[F.count_if(nan_to_null(F.col(c).cast("double")).isNull()).alias(c) for c in columns],
-    ).first()
-    return row.asDict()
+def _moments(df: DataFrame, columns) -> DataFrame:
+    """Per pair of columns (``i`` <= ``j``, and row count under ``i`` = ``j`` = the number of columns) and task: rows with
+    both values, their means, and their sums of squares and products about those means.
 
-
-def correlation_pairs(df: DataFrame, columns) -> DataFrame:
-    """Pearson |r| of every feature pair over the rows where both are present.
-
-    One pass: each task folds its rows into a few numbers per pair (masked matrix
-    products per Arrow batch), then one aggregation adds them up. What is shuffled
-    depends on the number of features and tasks, not of rows. Values are shifted by
-    the column mean first, which keeps the sums of squares well conditioned.
+    Every Arrow batch is folded about its own means, so large offsets cancel before anything is
+    squared, and batches are merged by the pairwise update of moments.
     """
-    columns = list(columns)
     cleaned = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
-    means = cleaned.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    shift = np.array([means[c] if means[c] is not None else 0.0 for c in columns])
-    left, right = np.triu_indices(len(columns), k=1)
+    left, right = np.triu_indices(len(columns) + 1)
+
+    def moments(x):
+        mask = ~np.isnan(x)
+        m = mask.astype(float)
+        count = m.sum(0)
+        origin = np.where(mask, x, 0.0).sum(0) / np.maximum(count, 1.0)
+        x = np.where(mask, x - origin, 0.0)
+        n = m.T @ m
+        safe = np.maximum(n, 1.0)
+        mx, my = x.T @ m / safe, m.T @ x / safe
+        square = x * x
+        sxx, syy, sxy = square.T @ m - n * mx * mx, m.T @ square - n * my * my, x.T @ x - n * mx * my
+        return n, mx + origin[:, None], my + origin[None, :], sxx, syy, sxy
+
+    def merge(a, b):
+        n = a[0] + b[0]
+        share = a[0] * b[0] / np.maximum(n, 1.0)
+        dx, dy = b[1] - a[1], b[2] - a[2]
+        part = b[0] / np.maximum(n, 1.0)
+        return n, a[1] + dx * part, a[2] + dy * part, a[3] + b[3] + share * dx * dx, a[4] + b[4] + share * dy * dy, a[5] + b[5] + share * dx * dy
 
     def fold(batches):
         totals = None
         for batch in batches:
-            x = batch.to_numpy(dtype=float)
-            mask = ~np.isnan(x)
-            x = np.where(mask, x - shift, 0.0)
-            m = mask.astype(float)
-            square = x * x
-            parts = (m.T @ m, x.T @ m, m.T @ x, square.T @ m, m.T @ square, x.T @ x)
-            totals = parts if totals is None else tuple(a + b for a, b in zip(totals, parts))
+            x = np.column_stack([batch.to_numpy(dtype=float), np.ones(len(batch))])
+            parts = moments(x)
+            totals = parts if totals is None else merge(totals, parts)
         if totals is not None:
-            yield pd.DataFrame(
-                {"i": left, "j": right, **{name: t[left, right] for name, t in zip(_SUMS, totals)}}
-            )
-
-    sums = cleaned.mapInPandas(fold, _PARTIAL).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS])
-    n = F.col("n")
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    var_x = F.col("sxx") - F.col("sx") * F.col("sx") / n
-    var_y = F.col("syy") - F.col("sy") * F.col("sy") / n
-    # A column that is constant on the shared rows has no correlation.
-    tiny = F.lit(1e-12)
-    usable = (n > 1) & (var_x > tiny * F.greatest(F.col("sxx"), tiny)) & (var_y > tiny * F.greatest(F.col("syy"), tiny))
+            yield pd.DataFrame({"i": left, "j": right, **{name: t[left, right] for name, t in zip(_SUMS, totals)}})
+
+    return cleaned.mapInPandas(fold, _PARTIAL)
+
+
+def _pairs(df: DataFrame, columns) -> DataFrame:
+    """All pairs of :func:`_moments`, merged over the tasks, with ``abs_r``."""
+    both = Window.partitionBy("i", "j")
+    n = F.sum("n").over(both)
+    means = {f"all_{c}": F.sum(F.col("n") * F.col(c)).over(both) / F.nullif(n, F.lit(0.0)) for c in ("mx", "my")}
+    spread = _moments(df, columns).withColumns(means)
+    dx, dy = F.col("mx") - F.col("all_mx"), F.col("my") - F.col("all_my")
+    sums = spread.groupBy("i", "j").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.col("sxx") + F.col("n") * dx * dx).alias("sxx"),
+        F.sum(F.col("syy") + F.col("n") * dy * dy).alias("syy"),
+        F.sum(F.col("sxy") + F.col("n") * dx * dy).alias("sxy"),
+        F.max(F.abs("all_mx")).alias("mx"),
+        F.max(F.abs("all_my")).alias("my"),
+    )
+
+    # A column that is constant on the shared rows has no correlation; rounding may leave it a trace.
+    def varies(total: str, mean: str) -> Column:
+        return F.col(total) > F.lit(1e-24) * F.col("n") * F.greatest(F.col(mean) * F.col(mean), F.lit(1.0))
+
+    usable = (F.col("n") > 1) & varies("sxx", "mx") & varies("syy", "my")
+    return sums.select("i", "j", F.col("n").cast("bigint").alias("n"), F.when(usable, F.abs(F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy")))).alias("abs_r"))
+
+
+def correlation_pairs(df: DataFrame, columns) -> DataFrame:
+    """Pearson |r| of every feature pair over the rows where both are present.
+
+    One read: each task folds its rows into a few numbers per pair (masked matrix products per
+    Arrow batch), then one aggregation merges them. What is shuffled depends on the number of
+    features and tasks, not of rows.
+    """
+    columns = list(columns)
     names = F.array(*[F.lit(c) for c in columns])
-    return sums.select(
-        F.get(names, F.col("i")).alias("feature_a"),
-        F.get(names, F.col("j")).alias("feature_b"),
-        n.cast("bigint").alias("n_pairs"),
-        F.when(usable, F.abs(cov / F.sqrt(var_x * var_y))).alias("abs_r"),
+    return _pairs(df, columns).where((F.col("i") < F.col("j")) & (F.col("j") < len(columns))).select(
+        F.get(names, F.col("i")).alias("feature_a"), F.get(names, F.col("j")).alias("feature_b"), F.col("n").alias("n_pairs"), "abs_r"
     )
 
 
 def correlation_filter(df: DataFrame, columns, threshold: float = THRESHOLD, min_rows: int = MIN_ROWS) -> tuple[list[str], list[str]]:
     """I4: (kept, dropped) feature names. With fewer than ``min_rows`` rows nothing is dropped.
 
-    The greedy pass runs on the driver over the pair table, whose size is fixed by the
-    number of features.
+    One read yields the pairs, how many values each feature lacks and the row count. The greedy
+    pass runs on the driver over the pair table, whose size is fixed by the number of features.
     """
     columns = list(columns)
-    nulls = null_counts(df, columns)
-    if nulls["__rows"] < min_rows:
+    last = len(columns)
+    found = {(r["i"], r["j"]): r for r in _pairs(df, columns).collect()}
+    total = found[last, last]["n"] if found else 0
+    if total < min_rows:
         return columns, []
-    strong = (
-        correlation_pairs(df, columns)
-        .where(F.round("abs_r", 12) > threshold)
-        .select("feature_a", "feature_b")
-        .collect()
-    )
-    dropped = greedy_drop([(r.feature_a, r.feature_b) for r in strong], nulls)
+    nulls = {c: total - found[k, k]["n"] for k, c in enumerate(columns)}
+    strong = [
+        (columns[i], columns[j]) for (i, j), r in found.items() if i < j < last and r["abs_r"] is not None and round(r["abs_r"], 12) > threshold
+    ]
+    dropped = greedy_drop(strong, nulls)
     return [c for c in columns if c not in dropped], sorted(dropped)
 
 

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ..operators import correlation, features
-from ..session import materialize
 from .base import FEATURES, Tables, query, r, rounded, with_tables
 from .timeline import RECENT, TABLES, combined_of, inference_targets
 
@@ -55,24 +54,37 @@ def inference_features(t: Tables):
     )
 
 
-@query(
-    "i3_correlation_pairs",
-    with_tables(*TABLES, extra=FEATURES)
-    + " union all ".join(
+def _pair_sql(value: str) -> str:
+    return " union all ".join(
         f"select '{a}' as feature_a, '{b}' as feature_b, count(*) filter (where {a} is not null and {b} is not null) as n_pairs, "
-        f"{r(f'abs(corr({a}, {b}))')} as abs_r from features"
+        f"{value.format(f'abs(corr({a}, {b}))')} as abs_r from features"
         for a, b in correlation.pair_names(features.FEATURES)
-    ),
-)
+    )
+
+
+@query("i3_correlation_pairs", with_tables(*TABLES, extra=FEATURES) + _pair_sql(r("{}")))
 def correlation_pairs(t: Tables):
-    # Two passes over the features: written once, read twice.
-    data = materialize(features_of(t).select(*features.FEATURES), "features")
-    return rounded(correlation.correlation_pairs(data, features.FEATURES), "abs_r")
+    return rounded(correlation.correlation_pairs(features_of(t).select(*features.FEATURES), features.FEATURES), "abs_r")
+
+
+# The greedy pass walks the strong pairs in name order and carries what is dropped so far.
+_GREEDY = f"""pairs as ({_pair_sql('{}')}),
+nulls as ({" union all ".join(f"select '{c}' as feature, count(*) - count({c}) as k, count(*) as n from features" for c in features.FEATURES)}),
+strong as (select row_number() over (order by feature_a, feature_b) as i, feature_a as a, feature_b as b, x.k as ka, y.k as kb from pairs
+  join nulls x on x.feature = feature_a join nulls y on y.feature = feature_b where isfinite(abs_r) and round(abs_r, 12) > 0.9 and x.n >= 30),
+walk(i, dropped) as (select cast(0 as bigint), cast([] as varchar[]) union all
+  select s.i, case when list_contains(dropped, a) or list_contains(dropped, b) then dropped
+    else list_append(dropped, case when ka > kb or (ka = kb and a > b) then a else b end) end
+  from walk join strong s on s.i = walk.i + 1)"""
 
 
-@query("i4_correlation_filter")
+@query(
+    "i4_correlation_filter",
+    "with recursive" + with_tables(*TABLES, extra=FEATURES + ",\n" + _GREEDY).removeprefix("with")
+    + "select feature, not list_contains((select arg_max(dropped, i) from walk), feature) as is_kept from nulls",
+)
 def correlation_filter(t: Tables):
-    kept, dropped = correlation.correlation_filter(materialize(features_of(t), "features"), features.FEATURES)
+    kept, dropped = correlation.correlation_filter(features_of(t), features.FEATURES)
     rows = [(c, True) for c in kept] + [(c, False) for c in dropped]
     return t.spark.createDataFrame(rows, "feature string, is_kept boolean")
 
