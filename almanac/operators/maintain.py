@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions import rename_in_list, strip
+from ..functions import rename_in_list, split_list, strip, to_meds_json
 from .clean import sanitize_entries, split_valid
 from .skew import own_shuffle
 from .usage import registry_anti_ci
 
 LOG_KEY = ["subject_id", "date", "time"]
 ROW_KEY = ["subject_id", "entry_id"]
+#: Buckets in which new rows are numbered, each by one task at a time.
+ID_BUCKETS = 1 << 16
 
 
 def _spread_time(df: DataFrame) -> Column:
@@ -71,14 +73,44 @@ def import_summary(flagged: DataFrame, stored: DataFrame, rejected: DataFrame |
 def insert_entries(incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """L1: cleaned rows ready to append, and the rejected rows with reasons."""
     good, rejected = split_valid(sanitize_entries(incoming))
-    return good.fillna("", ["medication", "dosage"]), rejected
+    legacy = {c: F.coalesce(F.col(c), F.lit("")) if c in good.columns else F.lit("") for c in ("medication", "dosage")}
+    return good.withColumns(legacy), rejected
+
+
+def encode_entries(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """L1: rows with their medication list as JSON text (H3), and the names whose use they count.
+
+    Returns (rows, medication names, trigger names), one name a use. Only a list given as such
+    counts medications; text in that column stays as it is and counts none.
+    """
+    absent = [c for c in ("medications", "triggers") if c not in rows.columns]
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in absent}) if absent else rows
+    listed = isinstance(rows.schema["medications"].dataType, T.ArrayType)
+    given = F.col("medications") if listed else F.array().cast("array<struct<name: string, dosage: string>>")
+    names = F.filter(F.transform(given, lambda m: m["name"]), lambda n: n != "")
+    meds = rows.select("subject_id", F.explode(names).alias("name"))
+    triggers = rows.select("subject_id", F.explode(split_list(F.col("triggers"))).alias("name"))
+    encoded = rows.withColumn("medications", to_meds_json(F.col("medications"))) if listed else rows
+    return encoded, meds, triggers
 
 
 def assign_entry_ids(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """Fresh ids above every stored one; unique without a global ordering. Write the result
-    before using it twice."""
+    """Fresh ids above every stored one, which depend on the rows' values alone.
+
+    Distinct rows are dealt to buckets by a hash and numbered inside each; a row's number times
+    the number of buckets, plus its bucket, is its id. So no task orders all rows, equal rows are
+    counted before they are shuffled, and a second read, another partitioning or a repeated task
+    gives every row the same id. Ids have gaps. Columns must be of types that can be grouped.
+    """
     last = stored.select(F.coalesce(F.max("entry_id"), F.lit(0))).scalar()
-    return rows.withColumn("entry_id", F.monotonically_increasing_id() + last + 1)
+    given = [c for c in rows.columns if c != "entry_id"]
+    counted = rows.groupBy(*given).agg(F.count(F.lit(1)).alias("__copies"))
+    dealt = counted.withColumn("__bucket", F.pmod(F.xxhash64(*given), F.lit(ID_BUCKETS)))
+    earlier = Window.partitionBy("__bucket").orderBy(*given).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = dealt.withColumn("__before", F.coalesce(F.sum("__copies").over(earlier), F.lit(0)))
+    each = numbered.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__copies") - 1)))
+    number = (F.col("__before") + F.col("__copy")) * ID_BUCKETS + F.col("__bucket")
+    return each.withColumn("entry_id", number + last + 1).select(*given, "entry_id")
 
 
 def update_entries(log: DataFrame, changes: DataFrame, version: str | None = None, cleared: str | None = None) -> tuple[DataFrame, DataFrame]:

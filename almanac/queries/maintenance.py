@@ -2,8 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from .. import functions as fn
 from ..operators import maintain
-from .base import SETTINGS, Tables, legacy_names, query, with_tables
+from ..plans import entries
+from ..schemas import LOG, MEDICATIONS, TRIGGERS
+from ..session import scratch_path
+from ..sources.commits import REPLACE, TableSet
+from .base import SETTINGS, Tables, json_names, legacy_names, query, with_tables
+from .cleaning import REASONS
 
 # Change batches derived from the tables themselves.
 CHANGES = (
@@ -164,3 +170,42 @@ def increment_usage(t: Tables):
 @query("l8_upsert_settings", with_tables("settings_changes", extra=SETTINGS) + "select subject_id, key, value from settings")
 def upsert_settings(t: Tables):
     return maintain.upsert_settings(t.settings_changes)
+
+
+def _names_sql(table: str) -> str:
+    return f"select subject_id, unnest({json_names('medications')}) as name from {table}"
+
+
+_SAVED = REASONS + f""",
+valid as (select * from reasons where reject_reason is null),
+med_uses as (select subject_id, trim(name) as name, count(*) as uses from ({_names_sql('valid')}) where name <> '' group by 1, 2),
+trigger_uses as (select subject_id, name, count(*) as uses from (
+  select subject_id, unnest({legacy_names('triggers')}) as name from valid) group by 1, 2)"""
+
+
+@query(
+    "l1_add_entries",
+    with_tables("raw_log", "log", "medications", "triggers", extra=_SAVED)
+    + "select 'log' as part, subject_id, coalesce(triggers, '') as name, count(*) as n from ("
+    "select subject_id, triggers from log union all select subject_id, triggers from valid) group by 2, 3 "
+    f"union all select 'listed', subject_id, name, count(*) from ({_names_sql('log')} union all {_names_sql('valid')}) group by 2, 3 "
+    "union all select 'medications', m.subject_id, m.name, usage_count + coalesce(uses, 0) from medications m "
+    "left join med_uses u on u.subject_id = m.subject_id and u.name = m.name "
+    "union all select 'triggers', t.subject_id, t.name, usage_count + coalesce(uses, 0) from triggers t "
+    "left join trigger_uses u on u.subject_id = t.subject_id and u.name = t.name",
+)
+def add_entries(t: Tables):
+    store = TableSet(t.spark, scratch_path(t.spark, "store"))
+    store.commit({"log": (t.log, REPLACE), "medications": (t.medications, REPLACE), "triggers": (t.triggers, REPLACE)})
+    entries.add_entries(store, t.raw_log.withColumn("medications", fn.parse_meds(F.col("medications"))))
+    log = store.read("log", LOG)
+    listed = log.select("subject_id", F.explode(fn.med_names(F.col("medications"))).alias("name"))
+    counted = [
+        rows.groupBy("subject_id", "name").agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "subject_id", "name", "n")
+        for part, rows in (("log", log.select("subject_id", F.coalesce("triggers", F.lit("")).alias("name"))), ("listed", listed))
+    ]
+    registries = [
+        store.read(part, schema).select(F.lit(part).alias("part"), "subject_id", "name", F.col("usage_count").alias("n"))
+        for part, schema in (("medications", MEDICATIONS), ("triggers", TRIGGERS))
+    ]
+    return counted[0].unionByName(counted[1]).unionByName(registries[0]).unionByName(registries[1])

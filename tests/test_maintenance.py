@@ -1,12 +1,15 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from almanac import streaming
 from almanac.operators import maintain
-from almanac.schemas import LOG
+from almanac.plans import entries
+from almanac.schemas import LOG, MEDICATIONS, TRIGGERS
 from almanac.session import scratch_path
 from almanac.sources import log as source
+from almanac.sources.commits import REPLACE, TableSet
 from almanac.streaming.incremental import schema_with_batch, stored_on, write_partitions
 
 from helpers import rows
@@ -94,6 +97,97 @@ def test_dedup_with_one_hot_incomplete_key_keeps_all_rows(make_log):
     assert maintain.anti_join_dedup(incoming, stored).count() == 500
 
 
+# --- one write for several tables ---------------------------------------------------------
+
+
+def stored(spark, root, make_log):
+    store = TableSet(spark, root)
+    meds = spark.createDataFrame([(1, 1, "Advil", None, None, "daily", None, 4), (1, 2, "Nope", None, None, "daily", None, 0)], MEDICATIONS)
+    triggers = spark.createDataFrame([(1, 1, "Stress", 2, False, None), (2, 2, "Stress", 0, False, None)], TRIGGERS)
+    store.commit({"log": (make_log([{"entry_id": 7, "date": "2024-01-01", "time": "08:00"}]), REPLACE), "medications": (meds, REPLACE), "triggers": (triggers, REPLACE)})
+    return store
+
+
+def incoming_rows(spark):
+    schema = "subject_id long, Date string, time string, Pain_Level string, medications array<struct<name: string, dosage: string>>, triggers string, latitude string"
+    data = [
+        (1, "2024-02-01", "09:00", "4", [("Advil", "5mg"), ("Advil", None), ("New", ""), ("", "x")], "Stress, Rain,,Stress", "Unknown"),
+        (1, "2024-13-01", "09:00", "4", [("Advil", None)], "Stress", "1.5"),
+        (2, "2024-02-01", "10:00", "0", None, None, "[]"),
+    ]
+    return spark.createDataFrame(data, schema).withColumnRenamed("Pain_Level", "pain").withColumnRenamed("Date", "date")
+
+
+def state(store):
+    return (
+        rows(store.read("log", LOG), "subject_id", "date", "medications", "triggers"),
+        rows(store.read("medications", MEDICATIONS), "name", "usage_count"),
+        rows(store.read("triggers", TRIGGERS), "subject_id", "name", "usage_count"),
+    )
+
+
+def test_entries_and_counters_become_visible_together(spark, make_log, tmp_path):
+    store = stored(spark, str(tmp_path / "s"), make_log)
+    number, rejected = entries.add_entries(store, incoming_rows(spark))
+    assert number == 2 and rows(rejected, "date", "reject_reason") == [("2024-13-01", "invalid date")]
+    log, meds, triggers = state(store)
+    assert log == [
+        (1, D(2024, 1, 1), None, None),
+        (1, D(2024, 2, 1), '[{"name":"Advil","dosage":"5mg"},{"name":"Advil"},{"name":"New","dosage":""},{"name":"","dosage":"x"}]', "Stress, Rain,,Stress"),
+        (2, D(2024, 2, 1), None, None),
+    ]
+    assert meds == [("Advil", 6), ("Nope", 0)] and triggers == [(1, "Stress", 4), (2, "Stress", 0)]
+    ids = [r.entry_id for r in store.read("log", LOG).collect()]
+    assert len(set(ids)) == 3 and sum(i > 7 for i in ids) == 2
+    assert store.read("log", LOG, 1).count() == 1
+
+
+def test_a_write_that_dies_half_way_leaves_the_old_state(spark, make_log, tmp_path, monkeypatch):
+    store = stored(spark, str(tmp_path / "s"), make_log)
+    before = state(store)
+    stage = TableSet.stage
+
+    def die(self, table, frame):
+        if table == "triggers":
+            raise OSError("lost")
+        return stage(self, table, frame)
+
+    monkeypatch.setattr(TableSet, "stage", die)
+    with pytest.raises(OSError):
+        entries.add_entries(store, incoming_rows(spark))
+    assert state(store) == before and store.version() == 1
+    monkeypatch.setattr(TableSet, "stage", stage)
+    entries.add_entries(store, incoming_rows(spark))
+    assert store.version() == 2 and state(store) != before
+
+
+def test_a_commit_on_old_rows_is_refused(spark, make_log, tmp_path):
+    store = stored(spark, str(tmp_path / "s"), make_log)
+    folder = store.stage("log", make_log([{"entry_id": 8}]))
+    store.commit({"log": (make_log([{"entry_id": 9}]), "append")})
+    with pytest.raises(RuntimeError):
+        store.publish({"log": (folder, REPLACE)}, 1)
+    assert rows(store.read("log", LOG), "entry_id") == [(7,), (9,)]
+
+
+def test_changes_are_cleaned_and_encoded(spark, make_log, tmp_path):
+    store = stored(spark, str(tmp_path / "s"), make_log)
+    schema = "subject_id long, entry_id long, Physical_Activity string, medications array<struct<name: string, dosage: string>>, latitude string"
+    number, unmatched = entries.change_entries(store, spark.createDataFrame([(1, 7, "2", [("a", None)], "unknown"), (1, 99, None, None, None)], schema))
+    assert number == 2 and rows(unmatched, "entry_id") == [(99,)]
+    assert rows(store.read("log", LOG), "entry_id", "medications", "latitude") == [(7, '[{"name":"a"}]', None)]
+
+
+def test_new_ids_depend_on_the_rows_alone(spark, make_log):
+    data = [{"date": "2024-01-01", "time": f"{i % 24:02}:00", "notes": f"n{i % 40}"} for i in range(200)]
+    held = make_log([{"entry_id": 500}])
+    first = maintain.assign_entry_ids(make_log(data).drop("entry_id").repartition(7), held)
+    again = maintain.assign_entry_ids(make_log(data[::-1]).drop("entry_id").coalesce(1), held)
+    assert rows(first, "entry_id", "time", "notes") == rows(again, "entry_id", "time", "notes")
+    ids = [r.entry_id for r in first.collect()]
+    assert len(set(ids)) == 200 and min(ids) > 500
+
+
 # --- streaming ---------------------------------------------------------------------------
 
 
