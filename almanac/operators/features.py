@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import cyclical, log_target, numeric_coerce, time_to_hour
-from .daily import day_window
-from .daily import HISTORY_ROWS
+from .daily import HISTORY_ROWS, day_window, dense_timeline
 from .timeseries import inference_lags, lag_columns, rolling_columns, warmup_trim, weather_fill
 
 # What serving assumes when a reading is missing.
@@ -77,6 +76,28 @@ def build_features(combined: DataFrame, warmup: int = 30) -> DataFrame:
     )
 
 
+def features_as_of(
+    log: DataFrame, weather: DataFrame, subject_location: DataFrame, targets: DataFrame, as_of, warmup: int = 30
+) -> DataFrame:
+    """I1 for serving: the feature row of each (``subject_id``, ``target_date``) with the entries up to ``as_of``.
+
+    The same builder as in training, over the timeline that was known on that day: a training row
+    is this row as of the day before it. Entries after ``as_of`` are not read, days without one up to
+    the target have no pain, and weather is read up to the last target. Pressure changes and
+    temperature lags are those of the subject's own place. Sleep and activity of a day to come
+    are the serving defaults. Subjects with ``warmup`` days of history or fewer have no row.
+    """
+    known = log.where(F.col("date") <= F.lit(as_of).cast("date"))
+    last = targets.select(F.max("target_date")).scalar()
+    forecast = weather.where(F.col("date") <= last)
+    asked = targets.select("subject_id", F.col("target_date").alias("date")).distinct()
+    marks = asked.select("subject_id", "date", *[F.lit(None).cast(known.schema[c].dataType).alias(c) for c in ("pain", "sleep", "activity")])
+    days = dense_timeline(known.select(*marks.columns).unionByName(marks), forecast, subject_location)
+    built = build_features(timeline_weather_join(days, forecast, subject_location), warmup)
+    served = built.join(asked, ["subject_id", "date"], "left_semi").withColumnRenamed("date", "target_date")
+    return served.withColumns({"sleep": F.lit(SLEEP_DEFAULT), "activity": F.lit(ACTIVITY_DEFAULT)})
+
+
 def impute_for_training(features: DataFrame) -> DataFrame:
     """Sleep and activity take the serving defaults on unlogged days."""
     return features.fillna({"sleep": SLEEP_DEFAULT, "activity": ACTIVITY_DEFAULT})

@@ -242,9 +242,20 @@ def hourly_scores(
     return scored.withColumn("risk_score", round_half_up(F.col("probability") * 100, 1))
 
 
-def hourly_forecast(hours, log, subject_location, daily, start, n_hours: int = 24, recency=None, history_rows: int = HISTORY_ROWS) -> DataFrame:
+def with_default_place(log: DataFrame, subject_location: DataFrame, default_location: int) -> DataFrame:
+    """The place of every subject that has one, and the default one for subjects that only have a log."""
+    subjects = log.select("subject_id").distinct().join(subject_location, "subject_id", "full")
+    return subjects.select("subject_id", F.coalesce("location_id", F.lit(default_location)).alias("location_id"))
+
+
+def hourly_forecast(
+    hours, log, subject_location, daily, start, n_hours: int = 24, recency=None, history_rows: int = HISTORY_ROWS, default_location: int | None = None
+) -> DataFrame:
     """``n_hours`` scored hours from ``start``, calibrated against the daily scores.
 
+    With a ``default_location``, subjects of the log without a place get the weather there; without
+    one they get no rows.
+
     Only the hours from the day before on are read, so the bound reaches the scan of a stored
     table; pressure changes look back inside that span.
     """
@@ -252,6 +263,8 @@ def hourly_forecast(hours, log, subject_location, daily, start, n_hours: int = 2
     day_before = F.date_trunc("day", begin).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(1))
     end = begin + F.make_dt_interval(hours=F.lit(n_hours))
     span = hours.where((F.col("ts") >= day_before) & (F.col("ts") < end))
+    if default_location is not None:
+        subject_location = with_default_place(log, subject_location, default_location)
     scored = hourly_scores(span, log, subject_location, recency, history_rows)
     window = scored.where((F.col("ts") >= begin) & (F.col("ts") < end))
     return calibrate_hourly(daily_anchor_join(window, daily)).select(

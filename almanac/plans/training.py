@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -27,6 +29,7 @@ from ..session import Written, ensure_checkpoint_dir, materialize
 THRESHOLDS = [round(0.1 + 0.05 * i, 2) for i in range(16)]
 DEFAULT_THRESHOLD = 0.5
 KEEP_VERSIONS = 2
+MANIFEST = "manifest.json"
 #: Rows that one task of a boosting round folds; fewer tasks would idle cores, more only add scheduling.
 ROWS_PER_TASK = 32_768
 #: Folds that are fitted at a time, each with its two ensembles side by side.
@@ -343,37 +346,62 @@ def _hadoop_fs(spark: SparkSession, path: str):
 
 
 def list_versions(spark: SparkSession, root: str) -> list[int]:
-    """Saved versions, newest first."""
+    """Complete versions, newest first: those with a manifest."""
     fs, target = _hadoop_fs(spark, root)
     if not fs.exists(target):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(target)]
-    return sorted((int(n.split("=")[1]) for n in names if n.startswith("version=")), reverse=True)
+    found = (int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+    return sorted((v for v in found if fs.exists(_hadoop_fs(spark, _manifest(root, v))[1])), reverse=True)
+
+
+def _manifest(root: str, version: int) -> str:
+    return f"{root}/version={version}/{MANIFEST}"
 
 
 def save_model(model: HurdleModel, root: str, version: int | None = None, keep: int = KEEP_VERSIONS) -> int:
-    """Save both stages under a new version and drop all but the newest ``keep``."""
+    """Save both stages under a new version and drop all but the newest ``keep``.
+
+    The manifest, which names the features, is written aside and renamed into the version's
+    folder last, so a version is seen whole or not at all. What an earlier try left in the
+    folder is replaced; a complete version is never overwritten.
+    """
     spark = SparkSession.active()
     version = version if version is not None else int(time.time())
     base = f"{root}/version={version}"
-    model.classifier.write().save(f"{base}/classifier")
-    model.regressor.write().save(f"{base}/regressor")
-    spark.createDataFrame([(c,) for c in model.features], "feature string").coalesce(1).write.json(f"{base}/features")
+    fs, final = _hadoop_fs(spark, _manifest(root, version))
+    if fs.exists(final):
+        raise ValueError(f"version {version} exists")
+    model.classifier.write().overwrite().save(f"{base}/classifier")
+    model.regressor.write().overwrite().save(f"{base}/regressor")
+    draft = _hadoop_fs(spark, f"{base}/{MANIFEST}.{uuid.uuid4().hex}")[1]
+    stream = fs.create(draft, False)
+    stream.write(bytearray(json.dumps({"version": version, "features": model.features}).encode()))
+    stream.close()
+    if not fs.rename(draft, final):
+        raise ValueError(f"version {version} exists")
     for old in list_versions(spark, root)[keep:]:
-        fs, target = _hadoop_fs(spark, f"{root}/version={old}")
-        fs.delete(target, True)
+        # hidden first, so that no reader meets it half gone
+        fs.delete(_hadoop_fs(spark, _manifest(root, old))[1], False)
+        fs.delete(_hadoop_fs(spark, f"{root}/version={old}")[1], True)
     return version
 
 
 def load_latest(spark: SparkSession, root: str) -> HurdleModel | None:
-    """The newest saved model, or ``None`` when there is none."""
+    """The newest complete model, with its ``version``, or ``None`` when there is none."""
     versions = list_versions(spark, root)
     if not versions:
         return None
     base = f"{root}/version={versions[0]}"
-    # One row per feature name, a fixed small number.
-    names = [r.feature for r in spark.read.schema("feature string").json(f"{base}/features").collect()]
-    return HurdleModel(PipelineModel.load(f"{base}/classifier"), PipelineModel.load(f"{base}/regressor"), names)
+    fs, manifest = _hadoop_fs(spark, _manifest(root, versions[0]))
+    stream = fs.open(manifest)
+    try:
+        told = json.loads(bytes(stream.readAllBytes()))
+    finally:
+        stream.close()
+    model = HurdleModel(PipelineModel.load(f"{base}/classifier"), PipelineModel.load(f"{base}/regressor"), told["features"])
+    model.version = told["version"]
+    return model
 
 
 def training_frame(features: DataFrame) -> DataFrame:

@@ -54,6 +54,24 @@ def inference_features(t: Tables):
     )
 
 
+# A past day inside every subject's history: serving it must give what training saw.
+PARITY_DAY = "2001-03-14"
+_SERVED = [c for c in MEASURED if c not in ("sleep", "activity")]
+
+
+@query(
+    "i2_serving_parity",
+    with_tables(*TABLES, extra=FEATURES)
+    + "select subject_id, date as target_date, cast(day_of_week as int) as day_of_week, cast(month as int) as month, "
+    + ", ".join(f"{r(c)} as {c}" for c in _SERVED)
+    + f" from features where date = date '{PARITY_DAY}'",
+)
+def serving_parity(t: Tables):
+    targets = t.subject_location.select("subject_id", F.lit(PARITY_DAY).cast("date").alias("target_date"))
+    rows = features.features_as_of(t.log, t.weather_daily, t.subject_location, targets, F.date_sub(F.lit(PARITY_DAY).cast("date"), 1))
+    return rounded(rows.select("subject_id", "target_date", "day_of_week", "month", *_SERVED), *_SERVED)
+
+
 def _pair_sql(value: str) -> str:
     return " union all ".join(
         f"select '{a}' as feature_a, '{b}' as feature_b, count(*) filter (where {a} is not null and {b} is not null) as n_pairs, "

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import round_half_up
 from ..operators.features import FEATURES as FEATURE_NAMES
-from ..operators.features import inference_features
+from ..operators.features import features_as_of
 from ..plans import scoring, training
-from ..session import materialize
+from ..session import materialize, scratch_path
 from .base import Tables, query, r, rounded, with_tables
+from .bindings import AS_OF
 from .features import features_of
 from .scoring import settings_of
 
@@ -98,11 +99,11 @@ def regression_metrics(t: Tables):
     "k7_needs_retrain",
     with_tables("log", "model_registry", extra="latest as (select subject_id, max(trained_at) as last_trained from model_registry group by subject_id)")
     + "select l.subject_id, count(*) filter (where t.last_trained is null or l.date > t.last_trained) as entries_since_training, "
-    "count(*) filter (where t.last_trained is null or l.date > t.last_trained) >= 20 as needs_retraining "
+    "count(*) filter (where t.last_trained is null or l.date > t.last_trained) >= 5 as needs_retraining "
     "from log l left join latest t on l.subject_id = t.subject_id group by l.subject_id",
 )
 def needs_retrain(t: Tables):
-    return training.needs_retrain(t.log, t.model_registry, threshold=20)
+    return training.needs_retrain(t.log, t.model_registry)
 
 
 def frame_of(t: Tables):
@@ -132,6 +133,19 @@ def cross_validate(t: Tables):
 @query("j6_predict_day")
 def predict_day(t: Tables):
     _, model = trained_of(t)
-    targets = scoring.forecast_targets(t.subject_location, "2001-07-15")
-    features = inference_features(t.log, targets, t.weather_daily)
+    targets = scoring.forecast_targets(t.subject_location, AS_OF)
+    features = features_as_of(t.log, t.weather_daily, t.subject_location, targets, F.date_sub(F.lit(AS_OF).cast("date"), 1))
     return scoring.predict_day(features, settings_of(t), model)
+
+
+@query("a11_save_load_predict")
+def save_load_predict(t: Tables):
+    """Trains, saves twice, loads the newest complete version and predicts the coming week with it."""
+    _, model = trained_of(t)
+    root = scratch_path(t.spark, "models")
+    for version in (1, 2):
+        training.save_model(model, root, version)
+    loaded = training.load_latest(t.spark, root)
+    targets = scoring.forecast_targets(t.subject_location, AS_OF)
+    features = features_as_of(t.log, t.weather_daily, t.subject_location, targets, F.date_sub(F.lit(AS_OF).cast("date"), 1))
+    return scoring.predict_day(features, None, loaded).withColumn("version", F.lit(loaded.version))

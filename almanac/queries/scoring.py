@@ -78,12 +78,12 @@ RECENT60 = """recent60 as (select * from (select *, row_number() over (partition
 _W = weather_score("h.pressure_change_3h", 3.0, "h.precipitation", "h.relative_humidity_2m") + " * 0.5"
 
 
-def _scored(factor: str = "1.0", join: str = "") -> str:
+def _scored(factor: str = "1.0", join: str = "", places: str = "subject_location_short") -> str:
     return f"""scored as (select *, {r(r("p", 2) + " * 100", 1)} as risk_score, {rules_level('p')} as risk_level from (
   select subject_id, location_id, ts, temperature_2m, relative_humidity_2m, w, prior, factor,
     least(greatest((w * 0.6 + prior * 0.4 + case when w > 0.5 and prior > 0.5 then 0.2 else 0.0 end) * factor, 0.0), 1.0) as p from (
     select s.subject_id, h.*, coalesce(p.prior, 0.1) as prior, {_W} as w, {factor} as factor
-    from hourly h join subject_location_short s on s.location_id = h.location_id
+    from hourly h join {places} s on s.location_id = h.location_id
     left join hour_priors p on p.subject_id = s.subject_id and p.hour = hour(h.ts) {join})))"""
 
 
@@ -218,19 +218,37 @@ def calibrate_hourly(t: Tables):
     return scoring.calibrate_hourly(rows).select("subject_id", "ts", "risk_score", "risk_level")
 
 
-@query(
-    "j5_hourly_forecast",
-    with_tables(
-        *SHORT_ALL,
-        extra=HOURS + ", " + ROLLUP + ", " + SETTINGS + ", " + anchors_sql("2024-01-20", "2024-01-21") + ", " + _scored()
-        + f", windowed as (select s.*, a.daily_score from scored s left join anchors a on a.subject_id = s.subject_id and a.target_date = cast(s.ts as date) "
-        f"where s.ts >= timestamp '{FORECAST_START}' and s.ts < timestamp '{FORECAST_START}' + interval 24 hour), " + _CALIBRATED,
+def _forecast_sql(places: str = "subject_location_short", extra: str = "") -> str:
+    return (
+        with_tables(
+            *SHORT_ALL,
+            extra=extra + HOURS + ", " + ROLLUP + ", " + SETTINGS + ", " + anchors_sql("2024-01-20", "2024-01-21") + ", " + _scored(places=places)
+            + f", windowed as (select s.*, a.daily_score from scored s left join anchors a on a.subject_id = s.subject_id and a.target_date = cast(s.ts as date) "
+            f"where s.ts >= timestamp '{FORECAST_START}' and s.ts < timestamp '{FORECAST_START}' + interval 24 hour), " + _CALIBRATED,
+        )
+        + _FINAL
+        + f", {r('temperature_2m')} as temp, {r('relative_humidity_2m')} as humidity from calibrated"
     )
-    + _FINAL + f", {r('temperature_2m')} as temp, {r('relative_humidity_2m')} as humidity from calibrated",
-)
-def hourly_forecast(t: Tables):
+
+
+def _forecast(t: Tables, places, default_location: int | None = None):
     daily = scoring.predict_day(short_features(t, "2024-01-20", 2), settings_of(t)).select(
         "subject_id", F.col("target_date").alias("date"), F.col("probability").alias("daily_score")
     )
-    rows = endpoints.prediction_hourly(t.weather_hourly, t.log_short, t.subject_location_short, daily, FORECAST_START)
+    rows = endpoints.prediction_hourly(t.weather_hourly, t.log_short, places, daily, FORECAST_START, default_location=default_location)
     return rounded(rows.select("subject_id", "ts", "risk_score", "risk_level", "temp", "humidity"), "temp", "humidity")
+
+
+@query("j5_hourly_forecast", _forecast_sql())
+def hourly_forecast(t: Tables):
+    return _forecast(t, t.subject_location_short)
+
+
+# Every fourth subject has not told where it is.
+_PLACED = """placed as (select distinct l.subject_id, case when l.subject_id % 4 = 0 then 1 else s.location_id end as location_id
+  from log_short l left join subject_location_short s on s.subject_id = l.subject_id), """
+
+
+@query("j5_hourly_forecast_default_place", _forecast_sql("placed", _PLACED))
+def hourly_forecast_default_place(t: Tables):
+    return _forecast(t, t.subject_location_short.where("subject_id % 4 <> 0"), default_location=1)

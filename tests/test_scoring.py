@@ -131,3 +131,39 @@ def test_weekly_forecast_has_seven_days(make_log, spark):
     out = scoring.weekly_forecast(log, subjects, None, "2024-01-02")
     assert out.columns == ["subject_id", "date", "risk_probability", "risk_level", "predicted_pain"]
     assert [r.risk_probability for r in out.orderBy("date").collect()] == [18.0] + [10.0] * 6
+
+
+def test_model_branch_equals_the_exported_expression(spark):
+    """Forced rules, too little history and the model side by side."""
+    import math
+
+    from almanac.plans import training
+
+    data = [(1, D(2022, 1, 1) + dt.timedelta(days=i), float(i % 5), int(i % 5 > 0), math.log1p(i % 5), float(i % 5) + math.sin(i), 1000.0 + i % 9) for i in range(90)]
+    schema = "subject_id long, date date, pain double, pain_binary int, pain_log double, pain_lag_1 double, pres_change double"
+    model = training.train_hurdle(spark.createDataFrame(data, schema), training.TrainingConfig(max_iter=4, max_depth=3, features=("pain_lag_1", "pres_change")))
+    asked = [(s, D(2024, 1, 2), 0.0 if s % 2 else None, 0.0, 50.0, float(s)) for s in range(1, 9)]
+    features = spark.createDataFrame(asked, "subject_id long, target_date date, pres_change double, prcp double, average_humidity double, pain_lag_1 double")
+    forced = scoring.scan_settings(settings(spark, ("force_heuristic_mode", "true")))  # subject 1
+    history = spark.createDataFrame([(s, 10 if s == 2 else 100) for s in range(1, 8)], "subject_id long, n_days long")  # 2 too short, 8 unknown
+    out = {r.subject_id: r for r in scoring.predict_day(features, forced, model, history, min_history=60).collect()}
+    assert {s for s, r in out.items() if r.source == "Heuristic"} == {1, 2, 8} and len(out) == 8
+    sql = training.export_sql(model)
+    for r in features.select("subject_id", *[F.expr(e).alias(c) for c, e in sql.items()]).collect():
+        if out[r.subject_id].source == "ML":
+            p = r.episode_probability
+            assert out[r.subject_id].probability == pytest.approx(math.floor(p * 1000 + 0.5) / 10)
+            assert out[r.subject_id].predicted_pain == pytest.approx(math.floor(r.severity * 10 + 0.5) / 10 if p > 0.2 else 0.0)
+
+
+def test_subjects_without_a_place_get_the_default_one(spark, make_log):
+    hours = spark.createDataFrame(
+        [(loc, dt.datetime(2024, 1, 1, h), 10.0 * loc, 50.0, 1000.0, 0.0, 1.0) for loc in (1, 2) for h in range(24)],
+        "location_id long, ts timestamp_ntz, temperature_2m double, relative_humidity_2m double, surface_pressure double, precipitation double, wind_speed_10m double",
+    )
+    log = make_log([{"subject_id": s, "date": "2023-12-30", "time": "08:00", "pain": 3} for s in (1, 2)])
+    places = spark.createDataFrame([(2, 2), (3, 2)], "subject_id long, location_id long")
+    daily = spark.createDataFrame([], "subject_id long, date date, daily_score double")
+    out = scoring.hourly_forecast(hours, log, places, daily, "2024-01-01 06:00:00", n_hours=2, default_location=1)
+    assert rows(out, "subject_id", "temp") == [(1, 10.0)] * 2 + [(2, 20.0)] * 2 + [(3, 20.0)] * 2
+    assert scoring.hourly_forecast(hours, log, places, daily, "2024-01-01 06:00:00", n_hours=2).where("subject_id = 1").count() == 0

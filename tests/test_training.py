@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from almanac.operators import features as feats
+from almanac.operators.daily import dense_timeline
 from almanac.plans import training
 from almanac.queries import models
 from almanac.session import scratch_path
@@ -74,8 +75,54 @@ def test_model_scores_saves_and_keeps_two_versions(spark, frame):
     for version in (1, 2, 3):
         training.save_model(model, root, version)
     assert training.list_versions(spark, root) == [3, 2]
-    loaded = training.load_latest(spark, root).transform(frame.drop("f2"))
-    assert rows(loaded, "episode_probability", "severity") == rows(scored, "episode_probability", "severity")
+    loaded = training.load_latest(spark, root)
+    assert loaded.version == 3 and loaded.features == ("f1", "f2")
+    assert rows(loaded.transform(frame.drop("f2")), "episode_probability", "severity") == rows(scored, "episode_probability", "severity")
+
+
+def test_half_a_version_is_never_loaded(spark, frame, monkeypatch):
+    model = training.train_hurdle(frame, CONFIG)
+    root = scratch_path(spark, "models")
+    training.save_model(model, root, 1)
+
+    class Dies:
+        features = model.features
+        classifier = model.classifier
+
+        @property
+        def regressor(self):
+            raise OSError("lost")
+
+    with pytest.raises(OSError):
+        training.save_model(Dies(), root, 2)
+    assert training.list_versions(spark, root) == [1] and training.load_latest(spark, root).version == 1
+    # the same number again, and then never anew
+    training.save_model(model, root, 2)
+    assert training.load_latest(spark, root).version == 2
+    with pytest.raises(ValueError):
+        training.save_model(model, root, 2)
+
+
+def test_serving_features_are_those_of_training_as_of_the_day_before(spark, make_log):
+    days = [D(2023, 1, 1) + dt.timedelta(days=i) for i in range(80)]
+    log = make_log([{"date": str(d), "time": "08:00", "pain": i % 4, "entry_id": i} for i, d in enumerate(days) if i % 3])
+    weather = spark.createDataFrame(
+        [(5, d, 10.0 + i % 7, 5.0, 20.0 + i % 5, 1000.0 + (i * 37) % 11, float(i % 2), 3.0, 60.0, 50.0, 55.0, 1.0, 2.0) for i, d in enumerate(days) if i % 10 != 9],
+        "location_id long, date date, tavg double, tmin double, tmax double, pres double, prcp double, wspd double, tsun double, average_humidity double, midday_humidity double, latitude double, longitude double",
+    )
+    place = spark.createDataFrame([(1, 5)], "subject_id long, location_id long")
+    combined = feats.timeline_weather_join(dense_timeline(log, weather, place), weather, place)
+    trained = {r.date: r for r in feats.build_features(combined).collect()}
+    columns = [c for c in feats.FEATURES if c not in ("sleep", "activity")]
+    for i in (40, 55, 59, 79):
+        target = spark.createDataFrame([(1, days[i])], "subject_id long, target_date date")
+        (row,) = feats.features_as_of(log, weather, place, target, days[i - 1]).collect()
+        assert [row[c] for c in columns] == [trained[days[i]][c] for c in columns]
+        assert row.pres_change is not None and row.tavg_lag1 is not None and (row.sleep, row.activity) == (2.0, 1.5)
+    # seven days ahead: entries after as_of are unknown, so their days count as painless
+    week = spark.createDataFrame([(1, days[60] + dt.timedelta(days=k)) for k in range(7)], "subject_id long, target_date date")
+    ahead = {r.target_date: r for r in feats.features_as_of(log, weather, place, week, days[59]).collect()}
+    assert len(ahead) == 7 and ahead[days[66]].pain_lag_3 == 0.0 and ahead[days[66]].pain_lag_7 == trained[days[66]].pain_lag_7
 
 
 def test_cross_validation_has_a_row_per_fold(frame):
@@ -127,10 +174,10 @@ def test_registered_queries_train_the_full_run(monkeypatch):
     monkeypatch.setattr(training, "training_frame", lambda features: None)
     monkeypatch.setattr(training, "train_hurdle", stop)
     monkeypatch.setattr(training, "cross_validate", stop)
-    for run in (models.train_hurdle, models.cross_validate, models.predict_day):
+    for run in (models.train_hurdle, models.cross_validate, models.predict_day, models.save_load_predict):
         with pytest.raises(Stop):
             run(None)
-    assert [(c.max_iter, c.folds) for c in used] == [(100, 5)] * 3
+    assert [(c.max_iter, c.folds) for c in used] == [(100, 5)] * 4
 
 
 def test_retention_and_retraining(spark, make_log):
