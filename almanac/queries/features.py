@@ -64,10 +64,11 @@ _SERVED = [c for c in MEASURED if c not in ("sleep", "activity")]
     with_tables(*TABLES, extra=FEATURES)
     + "select subject_id, date as target_date, cast(day_of_week as int) as day_of_week, cast(month as int) as month, "
     + ", ".join(f"{r(c)} as {c}" for c in _SERVED)
-    + f" from features where date = date '{PARITY_DAY}'",
+    + f" from features where date = date '{PARITY_DAY}' and subject_id in (select subject_id from log where date >= date '{PARITY_DAY}')",
 )
 def serving_parity(t: Tables):
-    targets = t.subject_location.select("subject_id", F.lit(PARITY_DAY).cast("date").alias("target_date"))
+    logging = t.log.where(F.col("date") >= F.lit(PARITY_DAY).cast("date")).select("subject_id").distinct()
+    targets = logging.withColumn("target_date", F.lit(PARITY_DAY).cast("date"))
     rows = features.features_as_of(t.log, t.weather_daily, t.subject_location, targets, F.date_sub(F.lit(PARITY_DAY).cast("date"), 1))
     return rounded(rows.select("subject_id", "target_date", "day_of_week", "month", *_SERVED), *_SERVED)
 
