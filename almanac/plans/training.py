@@ -31,7 +31,7 @@ DEFAULT_THRESHOLD = 0.5
 KEEP_VERSIONS = 2
 MANIFEST = "manifest.json"
 #: Rows that one task of a boosting round folds; fewer tasks would idle cores, more only add scheduling.
-ROWS_PER_TASK = 32_768
+ROWS_PER_TASK = 16_384
 #: Folds that are fitted at a time, each with its two ensembles side by side.
 FOLDS_AT_A_TIME = 5
 
@@ -118,7 +118,6 @@ def train_hurdle(features: DataFrame, config: TrainingConfig = TrainingConfig(),
         stepSize=config.step_size,
         seed=config.seed,
         checkpointInterval=10,
-        cacheNodeIds=True,
     )
     classifier = GBTClassifier(labelCol="label", weightCol="train_weight", predictionCol="class_prediction", **common)
     classifier = classifier.setProbabilityCol("class_probability").setRawPredictionCol("class_raw")
