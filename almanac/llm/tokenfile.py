@@ -20,6 +20,8 @@ from .tokens import encoder
 
 #: Ids after which a record ends; a longer document is a record of its own.
 RECORD_IDS = 1 << 20
+#: Documents whose places are selected at a time.
+SELECTED = 1 << 14
 #: Text bytes that one sorted partition should have.
 PARTITION_BYTES = 16 << 20
 END = np.zeros(1, np.uint32)
@@ -90,25 +92,33 @@ def write(docs: DataFrame, path: str, tokenizer: str, words: bool = False) -> No
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files: ``doc_id``, ``start`` (ids of all documents before), ``n_tokens``
-    (with the end id) and ``ids_crc32`` (of its ids as little-endian unsigned 32-bit integers)."""
+    (with the end id) and ``ids_crc32`` (of its ids as little-endian unsigned 32-bit integers).
+
+    Places come from each record's select directory, some documents at a time; the boundaries are
+    never decoded as a whole.
+    """
     records = spark.read.schema(RECORD).parquet(path)
     nothing = np.iinfo(np.int64).min
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                bounds = elias_fano.Sequence(row["bounds"]).all()
-                ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
-                crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
-                names = np.frombuffer(row["doc_ids"], "<i8")
-                n = len(names)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, row["part"], np.int32)), pa.array(np.full(n, row["seq"], np.int32)), pa.array(names, mask=names == nothing),
-                        pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64()),
-                    ],
-                    names=["part", "seq", "doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                bounds = elias_fano.Sequence(row["bounds"])
+                ids = np.frombuffer(row["ids"], f"<u{row['width']}")
+                all_names = np.frombuffer(row["doc_ids"], "<i8")
+                for first in range(0, len(all_names), SELECTED):
+                    names = all_names[first : first + SELECTED]
+                    n = len(names)
+                    # where these documents begin, and where the last one ends
+                    edges = bounds.many(np.arange(first, first + n + 1))
+                    crcs = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(edges[:-1], edges[1:])]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(n, row["part"], np.int32)), pa.array(np.full(n, row["seq"], np.int32)), pa.array(names, mask=names == nothing),
+                            pa.array(edges[:-1]), pa.array(np.diff(edges)), pa.array(crcs, pa.int64()),
+                        ],
+                        names=["part", "seq", "doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
 
     rows = records.select("part", "seq", "width", "ids", "bounds", "doc_ids").mapInArrow(
         run, "part int, seq int, doc_id long, start long, n_tokens long, ids_crc32 long"

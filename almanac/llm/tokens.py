@@ -115,6 +115,11 @@ class Encoder:
             pieces = [raw[a:b].decode() for a, b in zip(start[one] - spaced[one], end[one])]
             ids, sizes = self._new(pieces)
             if self._used + len(ids) > POOL_IDS:
+                if self._used == 1:
+                    # more new ids than the empty table holds: the tokenizer itself gives every text's ids
+                    raw = data.tobytes()
+                    parts = self._whole([raw[a:b].decode() for a, b in zip(texts.offsets[:-1], texts.offsets[1:])])
+                    return np.concatenate([np.zeros(0, np.uint32), *parts]), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
                 self._clear()
                 return self(texts)
             places = self._used + np.concatenate(([0], np.cumsum(np.maximum(sizes, 0))))[:-1]

@@ -32,6 +32,29 @@ def test_ids_are_those_of_the_whole_text(name, words):
         assert a.tolist() == b.tolist(), text[:80]
 
 
+def test_a_text_with_more_new_ids_than_the_table_holds(monkeypatch):
+    from almanac.llm import tokens
+
+    monkeypatch.setattr(tokens, "POOL_IDS", 64)
+    texts = ["few words", " ".join(f"word{i}x{i * 7}" for i in range(300)), "few words again"]
+    for name, words in FILES:
+        encode = Encoder(tokenizer_path(name), words)
+        for _ in range(2):
+            ids, begin = encode(texts_of(pa.array(texts)))
+            assert [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:])] == [x.tolist() for x in direct(name, texts)]
+
+
+def test_reading_never_decodes_all_boundaries(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "SELECTED", 3)
+    monkeypatch.delattr(elias_fano.Sequence, "all")
+    path = scratch_path(spark, "test")
+    docs = spark.createDataFrame([(i, "w " * (i % 5)) for i in range(20)], "doc_id long, text string").coalesce(1)
+    tokenfile.write(docs, path, tokenizer_path("byte_bpe_50k.json"))
+    got = sorted(tuple(r) for r in tokenfile.read(spark, path).select("doc_id", "start", "n_tokens").collect())
+    sizes = [len(x) + 1 for x in direct("byte_bpe_50k.json", ["w " * (i % 5) for i in range(20)])]
+    assert got == [(i, sum(sizes[:i]), sizes[i]) for i in range(20)]
+
+
 def test_elias_fano_select():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 127, 128, 129, 1000):
@@ -40,6 +63,11 @@ def test_elias_fano_select():
             coded = elias_fano.Sequence(elias_fano.encode(values))
             assert (coded.all() == values).all()
             assert [coded.select(i) for i in range(n)] == values.tolist()
+            places = rng.permutation(n)
+            assert (coded.many(places) == values[places]).all()
+    # long gaps: many empty bytes between two numbers
+    values = np.array([0, 3, 3, 3, 10**12, 10**12 + 1, 2**55])
+    assert (elias_fano.Sequence(elias_fano.encode(values)).many(np.arange(7)) == values).all()
     assert len(elias_fano.encode(np.arange(0, 10**7, 100))) < 10**5 * 10 / 8 + 10**5
 
 
