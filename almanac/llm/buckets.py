@@ -5,8 +5,9 @@ them, the hub; then those that are still in another component with a second one,
 few rounds, so a group of near copies of any size costs some comparisons a member and not one a
 pair. Before features travel, a parity sketch of both sets must allow the link. What is still apart
 in a bucket after that is compared in blocks of bounded size: every member outside the bucket's
-largest component with all others, sketch by sketch, so that no pair becomes a row unless its
-sketches allow the link. No link that joins two components is left out.
+largest component with all others, first by sketches alone; members for which a sketch allows a
+link then get their features, and the same blocks find the links. Rows are members and links that
+join parts of a block, never pairs. No link that joins two components is left out.
 
 Members are ``key``, ``set``, ``n`` (size), ``weight`` (the first hub has most); features are ``set``, ``n``,
 ``features`` (packed ascending numbers) and ``sketch``.
@@ -94,8 +95,20 @@ def linked(pairs: DataFrame, features: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "u long, v long")
 
 
-def connect(members: DataFrame, features: DataFrame) -> DataFrame:
-    """``node`` and ``root`` of every set that links with another. Both frames should be written tables."""
+def once(members: DataFrame) -> DataFrame:
+    """Members without buckets of one set, and without buckets that hold the same sets as another."""
+    content = [F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("set")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "set")).alias("y")]
+    kept = members.groupBy("key").agg(*content).where("c > 1").groupBy("c", "x", "y").agg(F.min("key").alias("key"))
+    return members.join(kept.select("key"), "key", "left_semi").select("key", "set", "n", "weight")
+
+
+def connect(members: DataFrame, features: DataFrame, wider: DataFrame | None = None) -> DataFrame:
+    """``node`` and ``root`` of every set that links with another. Frames should be written tables.
+
+    ``wider`` has fewer and larger buckets (``key``, ``set``) in which all that share a bucket of ``members``
+    meet as well; what the hubs leave apart is compared there, so that a pair with many buckets
+    in common is looked at a few times only.
+    """
     alive, used = members.withColumn("root", F.col("set")), None
     near = tried = roots = None
     for number in range(ROUNDS):
@@ -122,8 +135,10 @@ def connect(members: DataFrame, features: DataFrame) -> DataFrame:
             near = more if near is None else near.unionByName(more)
             roots = components(near)
         alive, used = _still_apart(alive, roots, used)
-    last = Written(_in_blocks(alive, features, tried), "pairs").frame
-    more = Written(linked(last, features), "links").frame
+    if wider is not None:
+        apart = Written(alive.select("set", "n", "root").distinct(), "sets").frame
+        alive, _ = _still_apart(wider.join(apart, "set").select("key", "set", "n", F.lit(0).alias("weight"), "root"), None, None)
+    more = Written(_in_blocks(alive, features), "links").frame
     if near is None or not more.isEmpty():
         roots = components(more if near is None else near.unionByName(more))
     return roots
@@ -142,8 +157,8 @@ def _still_apart(alive: DataFrame, roots: DataFrame | None, used: Written | None
     return written.frame, written
 
 
-def _in_blocks(alive: DataFrame, features: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """Pairs (``a``, ``b``) of sets in one bucket and different components that their sketches allow and that are not ``tried``."""
+def _in_blocks(alive: DataFrame, features: DataFrame) -> DataFrame:
+    """Links (``u``, ``v``) enough to connect what sets of one bucket and different components link."""
     parts = alive.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     buckets = parts.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("major"))
     buckets = buckets.where("all > major.c").select(
@@ -154,15 +169,21 @@ def _in_blocks(alive: DataFrame, features: DataFrame, tried: DataFrame | None) -
     )
     rest = alive.join(buckets, "key").join(features.select("set", "sketch"), "set")
     deal = [F.pmod(F.xxhash64("set"), F.col(c)).cast("int") for c in ("outside", "blocks")]
-    held = ["key", "set", "n", "root", "sketch"]
     # members outside the largest component meet every block; every member meets all blocks of those
     left = rest.where(F.col("root") != F.col("major")).select(
-        *held, deal[0].alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("asks")
+        *HELD, deal[0].alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("asks")
     )
-    right = rest.select(*held, F.explode(F.sequence(F.lit(0), F.col("outside") - 1)).alias("i"), deal[1].alias("j"), F.lit(False).alias("asks"))
-    found = left.unionByName(right).groupBy("key", "i", "j").applyInArrow(_compare, "x long, y long").distinct()
-    fresh = found if tried is None else found.join(tried, ["x", "y"], "left_anti")
-    return fresh.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    right = rest.select(*HELD, F.explode(F.sequence(F.lit(0), F.col("outside") - 1)).alias("i"), deal[1].alias("j"), F.lit(False).alias("asks"))
+    # a block is small and costly: as many tasks as the session has, whatever the bytes
+    tasks = int(alive.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.unionByName(right).repartition(tasks, "key", "i", "j").groupBy("key", "i", "j")
+    allowed = Written(dealt.applyInArrow(_allowed_members, MEMBER), "allowed").frame
+    held = allowed.join(features.select("set", "features"), "set").repartition(tasks, "key", "i", "j")
+    return held.groupBy("key", "i", "j").applyInArrow(_links, "u long, v long").distinct()
+
+
+HELD = ["key", "set", "n", "root", "sketch"]
+MEMBER = "key long, set long, n long, root long, sketch array<long>, i int, j int, asks boolean"
 
 
 class _Side:
@@ -178,10 +199,8 @@ class _Side:
         return chosen, np.array(rows, np.uint64).reshape(len(chosen), longs)
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    asks = table["asks"].to_numpy()
-    left, right = _Side(table.filter(pa.array(asks))), _Side(table.filter(pa.array(~asks)))
-    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _possible(left: _Side, right: _Side):
+    """Places (in each side) of the pairs of different components that sizes and sketches allow, some at a time."""
     for longs in np.unique(np.concatenate((left.longs, right.longs))).tolist():
         own, own_bits = left.of(longs)
         others, other_bits = right.of(longs)
@@ -193,6 +212,53 @@ def _compare(table: pa.Table) -> pa.Table:
             least = np.minimum(left.n[some], right.n[others])
             fits = (9 * differ <= total) & (100 * least >= THRESHOLD * (total - least)) & (left.root[some] != right.root[others])
             i, j = np.nonzero(fits)
-            a, b = left.set[some[i, 0]], right.set[others[j]]
-            x.append(np.maximum(a, b)), y.append(np.minimum(a, b))
-    return pa.table({"x": np.concatenate(x), "y": np.concatenate(y)})
+            yield some[i, 0], others[j]
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, _Side, _Side]:
+    asks = table["asks"].to_numpy()
+    own, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+    return own, others, _Side(table.take(own)), _Side(table.take(others))
+
+
+def _allowed_members(table: pa.Table) -> pa.Table:
+    """The members of a block that have a possible pair."""
+    own, others, left, right = _sides(table)
+    used = np.zeros(len(table), bool)
+    for i, j in _possible(left, right):
+        used[own[i]] = used[others[j]] = True
+    names = [field.split()[0] for field in MEMBER.split(", ")]
+    return table.filter(pa.array(used)).select(names)
+
+
+def _links(table: pa.Table) -> pa.Table:
+    """Links between parts of a block: a pair that earlier ones already connect is not looked at."""
+    own, others, left, right = _sides(table)
+    data = table["features"].to_pylist()
+    sets: dict[int, np.ndarray] = {}
+    parent: dict[int, int] = {}
+
+    def features(row: int) -> np.ndarray:
+        if row not in sets:
+            sets[row] = unpack(data[row])
+        return sets[row]
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    u, v = [], []
+    for i, j in _possible(left, right):
+        for a, b in zip(i.tolist(), j.tolist()):
+            # components are connected already
+            one, two = find(int(left.root[a])), find(int(right.root[b]))
+            if one == two:
+                continue
+            x, y = features(int(own[a])), features(int(others[b]))
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            common = int((y[at] == x).sum())
+            if 100 * common >= THRESHOLD * int(left.n[a] + right.n[b] - common):
+                parent[one] = two
+                u.append(int(left.set[a])), v.append(int(right.set[b]))
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})

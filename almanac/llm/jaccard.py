@@ -8,11 +8,9 @@ leave out one signature less than that: it leaves out those that most sets have,
 that all sets agree on. No pair that links is lost.
 
 Equal sets are one class before any signature is made. How often a signature occurs is found by
-sending sorted, packed hashes to ranges of the hash space. Classes that share a signature are
-compared exactly with one of them, the one with most in common with others; those that are then
-still in another component, with a second one, and so on for a few rounds; what is apart after
-that is compared pair by pair, as far as a parity sketch of the sets allows a link. A group of near copies of any size so costs some comparisons a
-class, not one a pair, and no link that joins two components is left out.
+sending sorted, packed hashes to ranges of the hash space. Classes that share a signature are a
+bucket of candidates, whose links ``buckets`` finds by exact comparison without making a row of
+every pair; no link that joins two components is left out.
 """
 
 from __future__ import annotations
@@ -20,10 +18,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..session import materialize
-from .components import components
+from ..session import Written, materialize
+from . import buckets
 from .ranges import cuts, pack, unpack
 from .textbytes import blocks, mix, pair, shingles, texts_of
 
@@ -36,12 +34,6 @@ SPREAD = 0.7
 BAND_RATIO = 1.5
 KEY_BITS = 48
 GROUP_BYTES, RANGE_BYTES = 8 << 20, 24 << 20
-#: Rounds in which classes are compared with one of those that share a signature.
-ROUNDS = 4
-#: Longs in the parity sketch of a set.
-SKETCH = 16
-#: Comparisons with one class that a task makes for it at a time.
-SHARE = 256
 
 
 def _bands(largest: int) -> np.ndarray:
@@ -170,19 +162,6 @@ class Group:
         self.signatures = Signatures(self.hashes, self.begin)
         self.keys, self.place = np.unique(self.signatures.hash >> np.uint64(64 - KEY_BITS), return_inverse=True)
 
-    def sketches(self, chosen: np.ndarray) -> np.ndarray:
-        """Of each set, the parity of its features in each of 64 * SKETCH parts of the domain, as bits.
-
-        A feature that only one of two sets has changes one bit at most, so sets with more
-        different bits than the features they may differ in can't link.
-        """
-        size = np.diff(self.begin)[chosen]
-        after = np.concatenate(([0], np.cumsum(size)))
-        source = np.repeat(self.begin[chosen] - after[:-1], size) + np.arange(after[-1])
-        part = (mix(self.hashes[source] + np.uint64(3)) % np.uint64(64 * SKETCH)).astype(np.int64)
-        cells = np.bincount(np.repeat(np.arange(len(chosen)), size) * 64 * SKETCH + part, minlength=len(chosen) * 64 * SKETCH)
-        return np.packbits((cells & 1).astype(np.uint8)).view(np.int64).reshape(len(chosen), SKETCH)
-
 
 def _count(table: pa.Table) -> pa.Table:
     """One range: the logarithm of how many sets have each signature, to every group that asked."""
@@ -238,7 +217,7 @@ def _shared(docs: DataFrame, told: DataFrame) -> DataFrame:
         own = signatures.set[signatures.entry[kept]]
         used = np.unique(own)
         features = [pack(np.unique(group.hashes[a:b] >> np.uint64(16))) for a, b in zip(group.begin[used], group.begin[used + 1])]
-        sketches = pa.FixedSizeListArray.from_arrays(pa.array(group.sketches(used).ravel()), SKETCH).cast(pa.list_(pa.int64()))
+        sketches = pa.array([buckets.sketch(group.hashes[a:b]) for a, b in zip(group.begin[used], group.begin[used + 1])], pa.list_(pa.int64()))
         none = pa.nulls(len(used), pa.int64())
         return pa.table(
             {
@@ -255,96 +234,45 @@ def _shared(docs: DataFrame, told: DataFrame) -> DataFrame:
     return dealt.groupBy("dealt").cogroup(replies.groupBy("dealt")).applyInArrow(choose, FOUND)
 
 
-def _linked(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    """The ``pairs`` (``a``, ``b``) of sets that link, by exact comparison.
+def components_of(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """``node`` and ``root`` of the classes that link with another."""
+    found = Written(_shared(docs, told), "signatures")
+    features = Written(found.frame.where("signature is null").select("set", "n", "features", "sketch"), "features")
+    members = found.frame.where("signature is not null").select(F.col("signature").alias("key"), "set", "n", "weight")
+    kept = Written(buckets.once(members), "members")
+    found.drop()
+    roots = buckets.connect(kept.frame, features.frame)
+    features.drop()
+    kept.drop()
+    return roots
 
-    Features of every ``a`` travel to its ``b``. A ``b`` with very many is met in several places.
-    """
-    per = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("places"))
-    dealt = pairs.join(per, "b").withColumn("place", F.pmod(F.xxhash64("a"), F.col("places")).cast("int"))
-    others = dealt.join(features.withColumnRenamed("set", "a"), "a").select("b", "place", "a", "n", "features")
-    hubs = (
-        per.select("b", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
-        .join(features.withColumnRenamed("set", "b"), "b")
-        .select("b", "place", F.lit(None).cast("long").alias("a"), "n", "features")
-    )
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = others.unionByName(hubs).repartition(parts, "b", "place").sortWithinPartitions("b", "place", F.col("a").asc_nulls_first())
+
+def with_class(docs: DataFrame) -> DataFrame:
+    """Adds the two hashes ``one``, ``two`` of each row's set, zero for an empty one; columns of these names are replaced."""
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("one", "two")])
+    schema = T.StructType([*kept.schema.fields, T.StructField("one", T.LongType()), T.StructField("two", T.LongType())])
 
     def run(batches):
-        hub, hub_n, hub_set = None, 0, None
         for batch in batches:
-            left, right = [], []
-            for b, place, a, n, data in zip(*(batch.column(c).to_pylist() for c in ("b", "place", "a", "n", "features"))):
-                if a is None:
-                    hub, hub_n, hub_set = b, n, unpack(data)
-                    continue
-                own = unpack(data)
-                at = np.minimum(np.searchsorted(hub_set, own), len(hub_set) - 1)
-                common = int((hub_set[at] == own).sum())
-                if 100 * common >= THRESHOLD * (n + hub_n - common):
-                    left.append(a), right.append(hub)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["u", "v"])
-
-    return met.mapInArrow(run, "u long, v long")
-
-
-def _near(a: str, b: str) -> F.Column:
-    """Whether two sizes allow a link."""
-    return (F.col(a) * 100 >= F.col(b) * THRESHOLD) & (F.col(b) * 100 >= F.col(a) * THRESHOLD)
-
-
-def _placed(signed: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``signed`` with the component of each class, only of signatures found in several components."""
-    if roots is None:
-        placed = signed.withColumn("root", F.col("set"))
-    else:
-        placed = signed.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    return placed
-
-
-def links(docs: DataFrame, told: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links between classes that are enough for all components, and ``node``, ``root`` of the linked ones."""
-    found = materialize(_shared(docs, told), "signatures")
-    features = found.where("signature is null").select("set", "n", "features", "sketch")
-    signed = found.where("signature is not null").select("signature", "set", "n", "weight")
-    near = tried = roots = None
-    for number in range(ROUNDS):
-        order = F.struct("weight", "set") if number == 0 else F.struct(F.xxhash64("set", F.lit(number)), F.col("set"))
-        placed = _placed(signed, roots)
-        hub = placed.groupBy("signature").agg(
-            F.max_by(F.struct(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")), order).alias("hub"),
-            F.min("root").alias("low"),
-            F.max("root").alias("high"),
-        )
-        hub = hub.where("low <> high").select("signature", "hub.*")
-        met = placed.join(hub, "signature").where((F.col("root") != F.col("root_b")) & _near("n", "n_b"))
-        pairs = met.select(F.greatest("set", "b").alias("a"), F.least("set", "b").alias("other"), F.col("b").alias("hub")).distinct()
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "other"], "left_anti")
-        pairs = materialize(pairs.dropDuplicates(["a", "other"]), "pairs")
-        more = _linked(pairs.select(F.when(F.col("a") == F.col("hub"), F.col("other")).otherwise(F.col("a")).alias("a"), F.col("hub").alias("b")), features)
-        more = materialize(more, "links")
-        seen = pairs.select("a", "other")
-        near, tried = (more, seen) if near is None else (near.unionByName(more), tried.unionByName(seen))
-        if more.isEmpty() and number:
-            break
-        roots = components(near)
-    # what shares a signature and is still apart: all pairs of different components
-    placed = _placed(signed, roots)
-    apart = placed.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rest = placed.join(apart.select("signature"), "signature").join(features.select("set", "sketch"), "set")
-    left, right = (
-        rest.select("signature", F.col("set").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("root", "n", "sketch")]) for name in ("a", "other")
-    )
-    differ = " + ".join(f"bit_count(get(sketch_a, {i}) ^ get(sketch_other, {i}))" for i in range(SKETCH))
-    apart = (F.col("a") > F.col("other")) & (F.col("root_a") != F.col("root_other")) & _near("n_a", "n_other")
-    last = left.join(right, "signature").where(apart & F.expr(f"9 * ({differ}) <= n_a + n_other"))
-    last = last.select("a", "other").distinct().join(tried, ["a", "other"], "left_anti")
-    more = materialize(_linked(last.withColumnRenamed("other", "b"), features), "links")
-    if more.isEmpty():
-        return near, roots
-    near = near.unionByName(more)
-    return near, components(near)
+            for low, high, texts in blocks(texts_of(batch.column("text"))):
+                names = _class_of(*shingles(*texts.lowered().words(), WIDTH))
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(n) for n in names)], names=[*batch.schema.names, "one", "two"])
+
+    return kept.mapInArrow(run, schema)
+
+
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of :func:`classes`, written, and for each class (``one``, ``two``) of them its ``root``, the same for all
+    classes of a component, and ``component_id``."""
+    rows = materialize(classes(docs), "classes")
+    told = rows.where("doc_id is not null and n_shingles > 0").groupBy("one", "two").agg(F.min("doc_id").alias("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    roots = components_of(texts, told)
+    # the smallest id of every component, for each class in it
+    named = told.join(roots.select(F.col("node").alias("one"), "root"), "one", "left").withColumn("root", F.coalesce("root", "one"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows, named.join(least, "root").select("one", "two", "root", "component_id")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -356,14 +284,7 @@ def join(docs: DataFrame) -> DataFrame:
     repeated rows, are linked. A null id keeps a null component and links nothing. Columns
     other than these two are left out.
     """
-    rows = materialize(classes(docs), "classes")
-    told = rows.where("doc_id is not null and n_shingles > 0").groupBy("one", "two").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    _, roots = links(texts, told)
-    # the smallest id of every component, for each class in it
-    named = told.join(roots.select(F.col("node").alias("one"), "root"), "one", "left").withColumn("root", F.coalesce("root", "one"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    label = named.join(least, "root").select("one", "two", "component_id")
+    rows, label = grouped(docs)
     return rows.join(label, ["one", "two"], "left").select(
         "doc_id",
         "n_shingles",

@@ -80,24 +80,20 @@ def signed(docs: DataFrame) -> DataFrame:
     )
 
 
-def tables(classes: DataFrame) -> DataFrame:
+def tables(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (``key``, ``set``, ``n``, ``weight``) of every table key that several sets have, without keys that
-    hold the same sets as another."""
+    hold the same sets as another; and ``key``, ``set`` of the bands of the first collection alone, which all that
+    share a table share too."""
     each = classes.select(F.col("one").alias("set"), "n", F.explode("bands").alias("band"))
     shared = each.groupBy("band").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high")
     own = each.join(shared.select("band"), "band", "left_semi").groupBy("set", "n").agg(F.collect_list("band").alias("shared"))
     halves = own.select("set", "n", F.expr("filter(shared, b -> b & 1 = 0)").alias("left"), F.expr("filter(shared, b -> b & 1 = 1)").alias("right"))
+    halves = materialize(halves.where("size(left) > 0 and size(right) > 0"), "bands")
     keys = F.expr("flatten(transform(left, u -> transform(right, v -> xxhash64(u, v))))")
-    halves = halves.where("size(left) > 0 and size(right) > 0").select(
-        "set", "n", (F.size("left") * F.size("right")).alias("weight"), F.explode(keys).alias("key")
-    )
-    found = Written(halves, "tables")
-    members = found.frame
-    content = [F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("set")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "set")).alias("y")]
-    alone = members.groupBy("key").agg(*content).where("c > 1").groupBy("c", "x", "y").agg(F.min("key").alias("key"))
-    kept = materialize(members.join(alone.select("key"), "key", "left_semi").select("key", "set", "n", "weight"), "members")
+    found = Written(halves.select("set", "n", (F.size("left") * F.size("right")).alias("weight"), F.explode(keys).alias("key")), "tables")
+    kept = materialize(buckets.once(found.frame), "members")
     found.drop()
-    return kept
+    return kept, halves.select(F.explode("left").alias("key"), "set")
 
 
 def features(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -148,12 +144,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = written.frame
     classes = rows.where("doc_id is not null and one is not null").groupBy("one", "two").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("m"))
     classes = materialize(classes.select("one", "two", "m.doc_id", F.col("m.n_shingles").alias("n"), "m.bands"), "classes")
-    members = tables(classes)
+    members, bands_alone = tables(classes)
     # every set in a table is wanted once
     wanted = materialize(
         classes.select(F.col("one").alias("set"), "doc_id").join(members.select("set").distinct(), "set", "left_semi"), "wanted"
     )
-    roots = buckets.connect(members, features(docs, wanted))
+    roots = buckets.connect(members, features(docs, wanted), bands_alone)
     named = classes.select("one", "two", "doc_id").join(roots.select(F.col("node").alias("one"), "root"), "one", "left")
     named = named.withColumn("root", F.coalesce("root", "one"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -7,7 +7,7 @@ from brute import LOWER, WORD
 from pyspark.sql import functions as F
 
 from almanac.llm import buckets, minhash
-from almanac.llm.textbytes import shingles, texts_of
+from almanac.llm.ranges import pack
 
 
 def shingle_set(text):
@@ -94,19 +94,32 @@ def test_blocks_compare_members_of_other_components(spark, monkeypatch):
     assert found(spark, docs) == in_order(plain(docs))
 
 
-def test_small_blocks_lose_no_pair():
+def test_blocks_lose_no_pair():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 1 << 62, 1200).astype(np.uint64)
     sets = [rng.choice(pool, n, replace=False) for n in (200, 255, 256, 257, 300, 511, 513, 600) for _ in range(3)]
     sets += [s[: int(len(s) * 0.95)] for s in sets]
-    rows = [(7, k, len(s), k, buckets.sketch(s).tolist()) for k, s in enumerate(sets)]
-    names = ["key", "set", "n", "root", "sketch"]
-    types = [pa.int64()] * 4 + [pa.list_(pa.int64())]
-    both = [[*r, asks] for r in rows for asks in (True, False)]
-    table = pa.table([pa.array(c, t) for c, t in zip(zip(*both), [*types, pa.bool_()])], names=[*names, "asks"])
-    got = set(zip(*(buckets._compare(table)[c].to_pylist() for c in "xy")))
+    members = [[7, k, len(s), k, buckets.sketch(s).tolist(), 0, 0] for k, s in enumerate(sets)]
+    names = [f.split()[0] for f in buckets.MEMBER.split(", ")]
+    types = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+    rows = [[*m, asks, pack(np.unique(sets[m[1]] >> np.uint64(16)))] for m in members for asks in (True, False)]
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[*names, "features"])
     linked = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))}
-    assert linked and linked <= got and len(got) < len(sets) ** 2 / 4
+    allowed = buckets._allowed_members(table)
+    assert linked and {i for pair in linked for i in pair} <= set(allowed["set"].to_pylist())
+    found = buckets._links(table)
+    got = {tuple(sorted(p, reverse=True)) for p in zip(found["u"].to_pylist(), found["v"].to_pylist())}
+    assert got <= linked
+    root = {i: i for i in range(len(sets))}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for x, y in got:
+        root[find(x)] = find(y)
+    assert all(find(x) == find(y) for x, y in linked)
+    impossible = buckets._allowed_members(table.filter(pa.array([m[1] % 24 == 0 for m in members for _ in range(2)])))
+    assert set(impossible["set"].to_pylist()) == {0, 24}
 
 
 def test_bands_agree_about_as_often_as_sets_do():

@@ -5,7 +5,7 @@ import random
 import pytest
 from brute import components as plain_components, contained, dedup as plain_dedup
 
-from almanac.llm import components, decontaminate, jaccard, substring
+from almanac.llm import buckets, components, decontaminate, jaccard, substring
 
 random.seed(8)
 VOCABULARY = [f"W{i}" for i in range(400)]
@@ -55,7 +55,7 @@ def joined(spark, rows):
 def test_join_finds_every_component(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "GROUP_BYTES", 4000)
     monkeypatch.setattr(jaccard, "RANGE_BYTES", 6000)
-    monkeypatch.setattr(jaccard, "SHARE", 3)
+    monkeypatch.setattr(buckets, "SHARE", 3)
     rows = [(3 * i + 1, t) for i, t in enumerate(corpus())]
     random.shuffle(rows)
     got, expected = joined(spark, rows), plain_components(rows)
@@ -78,6 +78,26 @@ def test_join_of_repeated_and_null_ids_and_nothing(spark):
     assert jaccard.join(docs.limit(0)).count() == 0
 
 
+def test_many_texts_with_one_template_and_few_links(spark):
+    # three quarters of each text are a template's: no pair of them links, and no pair may become a row
+    random.seed(20)
+    template = [f"t{i}" for i in range(90)]
+    rows = [(i, " ".join(template + [f"{i}x{k}" for k in range(30)])) for i in range(5000)]
+    rows += [(6000 + i, rows[9 * i][1] + " more") for i in range(50)]
+    want = {i: i for i, _ in rows} | {6000 + i: 9 * i for i in range(50)}
+    assert {i: c for i, (_, c) in joined(spark, rows).items()} == want
+
+
+def test_join_of_a_very_long_text(spark):
+    random.seed(21)
+    long = [f"v{random.randrange(5000)}" for _ in range(150_000)]
+    near = list(long)
+    for at in range(0, len(near), 60):
+        near[at] = "edited"
+    rows = [(5, " ".join(long)), (4, " ".join(near)), (3, " ".join(long[:75_000])), (9, "short")]
+    assert {i: c for i, (_, c) in joined(spark, rows).items()} == {5: 4, 4: 4, 3: 3, 9: 9}
+
+
 def test_components_of_a_long_chain_a_star_and_noise(spark):
     links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(50)] + [(7, 7), (5, 4)]
     random.shuffle(links)
