@@ -24,6 +24,10 @@ TREES, DEPTH = 10, 3
 PRECISION = 0.98
 NEVER = 2.0
 CHUNK = 64
+#: Characters of context on each side of a candidate, up to the next one of its kind.
+BEFORE, AFTER = 16, 8
+#: Steps of a search among the spans of one kind in one text: enough for any text.
+HALVINGS = 31
 
 # Possessive repeats and the conditions at the front keep these linear in the text; what they
 # match is what the plain patterns match. A run that failed from its first character would fail
@@ -59,45 +63,75 @@ def _valid(kind: str, v: str = "v") -> str:
 
 
 def _located(df: DataFrame, name: str, pattern: str, needs: str) -> DataFrame:
-    """Adds ``name``: all matches in order with their places, ``array<struct<start, end, v>>``.
+    """Adds ``name``: all matches in order, ``array<struct<start, end, v, before, after>>``, with what stands
+    between them and their neighbours, at most ``BEFORE`` and ``AFTER`` characters of it.
 
     What ``split`` leaves between matches tells where they are. Lengths are added up in chunks,
-    so the cost stays near the number of matches.
+    each beginning where those before it end, so the cost stays near the number of matches.
     """
     none = F.array().cast("array<string>")
     df = df.withColumn(
         "__m", F.when(F.expr(needs), F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))).otherwise(none)
     ).withColumn("__p", F.when(F.size("__m") > 0, F.split("__text", pattern, -1)).otherwise(none))
+    # what stands before a match: the piece, and the match before that
     lengths = "transform(__m, (m, i) -> length(get(__p, i)) + if(i > 0, length(get(__m, i - 1)), 0))"
-    sums = f"""if(size(__l) = 0, cast(array() as array<int>), transform(sequence(0, (size(__l) - 1) div {CHUNK}),
-        c -> aggregate(slice(__l, int(c * {CHUNK} + 1), {CHUNK}), 0, (a, x) -> a + x)))"""
-    start = f"""aggregate(slice(__c, 1, int(i div {CHUNK})), 0, (a, x) -> a + x)
-        + aggregate(slice(__l, int((i div {CHUNK}) * {CHUNK} + 1), int(i % {CHUNK} + 1)), 0, (a, x) -> a + x)"""
+    sums = f"transform({_chunks('__l')}, c -> aggregate({_chunk('__l')}, 0, (a, x) -> a + x))"
     df = df.withColumn("__l", F.expr(lengths)).withColumn("__c", F.expr(sums))
-    places = f"transform(transform(__m, (m, i) -> named_struct('start', {start}, 'v', m)), s -> named_struct('start', s.start, 'end', s.start + length(s.v), 'v', s.v))"
-    return df.withColumn(name, F.expr(places)).drop("__m", "__p", "__l", "__c")
+    inner = f"""transform({_chunk('__m')}, (m, i) -> named_struct('start', base + aggregate(slice(__l, c * {CHUNK} + 1, i + 1), 0, (a, x) -> a + x),
+        'v', m, 'before', right(get(__p, c * {CHUNK} + i), {BEFORE}), 'after', left(get(__p, c * {CHUNK} + i + 1), {AFTER})))"""
+    places = f"""flatten(transform({_chunks('__m')}, c -> get(transform(array(aggregate(slice(__c, 1, c), 0, (a, x) -> a + x)), base -> {inner}), 0)))"""
+    whole = f"transform({places}, s -> named_struct('start', s.start, 'end', s.start + length(s.v), 'v', s.v, 'before', lower(s.before), 'after', lower(s.after)))"
+    return df.withColumn(name, F.expr(whole)).drop("__m", "__p", "__l", "__c")
+
+
+def _chunks(array: str) -> str:
+    """Numbers of an array's chunks."""
+    return f"if(size({array}) = 0, cast(array() as array<int>), sequence(0, int((size({array}) - 1) div {CHUNK})))"
+
+
+def _chunk(array: str) -> str:
+    return f"slice({array}, c * {CHUNK} + 1, {CHUNK})"
 
 
 def _bases(df: DataFrame) -> DataFrame:
-    """Adds ``__base``: valid base spans of all kinds, ``array<struct<start, kind number, end>>`` in order."""
-    parts = []
+    """Adds ``__b_<kind>``: the valid base spans of each kind, ``array<struct<start, kind number, end>>`` in order."""
     for number, kind in enumerate(KINDS):
         df = _located(df, f"__b_{kind}", BASE[kind], NEEDS[kind].format(t="__text"))
-        parts.append(f"transform(filter(__b_{kind}, s -> {_valid(kind, 's.v')}), s -> named_struct('start', s.start, 'k', {number}, 'end', s.end))")
-    return df.withColumn("__base", F.expr(f"array_sort(concat({', '.join(parts)}))")).drop(*[f"__b_{k}" for k in KINDS])
+        valid = f"transform(filter(__b_{kind}, s -> {_valid(kind, 's.v')}), s -> named_struct('start', s.start, 'k', {number}, 'end', s.end))"
+        df = df.withColumn(f"__b_{kind}", F.expr(valid))
+    return df
+
+
+def _below(spans: str, place: str, limit: str) -> str:
+    """How many of the spans of one kind have their ``place`` below ``limit``, by halving.
+
+    Spans of one kind don't overlap, so their starts and their ends both ascend.
+    """
+    half = "int((s.lo + s.hi) div 2)"
+    step = f"""if(s.lo >= s.hi, s, if(get({spans}, {half}).{place} < {limit},
+        named_struct('lo', {half} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {half})))"""
+    steps = f"sequence(0, int(ceil(log2(size({spans}) + 1))))"
+    return f"aggregate({steps}, named_struct('lo', 0, 'hi', size({spans})), (s, i) -> {step}).lo"
+
+
+def _touches(spans: str) -> str:
+    """Whether a span of one kind overlaps ``c``: the last one that begins before ``c`` ends, ends behind its start."""
+    before = _below(spans, "start", "c.end")
+    return f"if(size({spans}) = 0, false, coalesce(get({spans}, {before} - 1).end > c.start, false))"
 
 
 def _candidates(df: DataFrame) -> DataFrame:
-    """Adds ``__wide``: candidates with kind, place, text and what stands around them."""
-    parts = []
-    for number, kind in enumerate(KINDS):
+    """Adds ``__w_<kind>``: candidates of each kind in order, with what stands around them."""
+    for kind in KINDS:
         df = _located(df, f"__w_{kind}", WIDE[kind], NEEDS[kind].format(t="__text"))
-        parts.append(
-            f"""transform(__w_{kind}, s -> named_struct('start', s.start, 'k', {number}, 'end', s.end, 'v', s.v,
-                'before', lower(substring(__text, greatest(s.start - 16, 0) + 1, least(s.start, 16))),
-                'after', lower(substring(__text, s.end + 1, 8))))"""
-        )
-    return df.withColumn("__wide", F.expr(f"concat({', '.join(parts)})")).drop(*[f"__w_{k}" for k in KINDS])
+    return df
+
+
+def _featured(kind: str) -> str:
+    """The candidates ``c`` of a kind with their features ``c.f``."""
+    numbers = ", ".join(f"double({e})" for e in FEATURES.values())
+    known = f"transform(__w_{kind}, c -> named_struct('start', c.start, 'k', {KINDS.index(kind)}, 'end', c.end, 'v', c.v, 'before', c.before, 'after', c.after))"
+    return f"transform({known}, c -> named_struct('start', c.start, 'k', c.k, 'end', c.end, 'v', c.v, 'f', array({numbers})))"
 
 
 _PLAIN_EMAIL = r"regexp_replace(regexp_replace(c.v, ' ?[(\\[]at[)\\]] ?', '@'), ' ?[(\\[]dot[)\\]] ?', '.')"
@@ -123,7 +157,6 @@ FEATURES = {
     "cue": "int(c.before rlike '(tel|phone|call|mobile|fax|card|visa|mail|contact|host|addr)')",
     "assigned": "int(c.before rlike '[=:\"]')",
 }
-_FEATURES = f"transform(__wide, c -> named_struct('start', c.start, 'k', c.k, 'end', c.end, 'v', c.v, 'f', array({', '.join(f'double({e})' for e in FEATURES.values())})))"
 #: Weak label: the checks of the kind, after spacing and disguise are undone.
 _LABEL = f"""case c.k when 0 then {_PLAIN_EMAIL} rlike '^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+$'
     when 1 then {_PARTS.format(v='c.v')} when 2 then {_valid('card', 'c.v')}
@@ -149,7 +182,8 @@ def fit(docs: DataFrame, max_candidates: int = MAX_CANDIDATES) -> Model:
     are drawn; three quarters of what is drawn trains. Without candidates of both labels nothing
     is added to the base spans.
     """
-    found = _candidates(_texts(docs.select("text"))).select(F.explode(F.expr(_FEATURES)).alias("c"))
+    every = "concat(" + ", ".join(_featured(kind) for kind in KINDS) + ")"
+    found = _candidates(_texts(docs.select("text"))).select(F.explode(F.expr(every)).alias("c"))
     rows = found.select(
         F.expr(_LABEL).cast("double").alias("label"), F.col("c.k").alias("k"), F.col("c.f").alias("f"), F.xxhash64("c.v", "c.start").alias("place")
     )
@@ -212,16 +246,29 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
     replaced, others pass through.
     """
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("base", "spans") and not c.startswith("__")])
-    df = _candidates(_bases(_texts(kept)))
-    threshold = "case c.k " + " ".join(f"when {i} then {t!r}D" for i, t in enumerate(model.thresholds)) + " end"
-    scored = f"transform({_FEATURES}, c -> named_struct('start', c.start, 'k', c.k, 'end', c.end, 'score', {model.sql}))"
-    df = df.withColumn("__scored", F.expr(scored if min(model.thresholds) < NEVER else "cast(null as array<struct<start: int, k: int, end: int, score: double>>)"))
-    chosen = f"filter(coalesce(__scored, array()), c -> c.score >= {threshold} and not exists(__base, b -> b.start < c.end and c.start < b.end))"
-    df = df.withColumn("__added", F.expr(chosen))
+    df = _bases(_texts(kept))
+    base = "concat(" + ", ".join(f"__b_{kind}" for kind in KINDS) + ")"
+    used = [(kind, number) for number, kind in enumerate(KINDS) if model.thresholds[number] < NEVER]
+    if not used:
+        return df.select(*kept.columns, F.expr(f"array_sort({base})").alias("base")).withColumn("spans", F.col("base"))
+    df = _candidates(df)
+    for kind, number in used:
+        scored = f"transform({_featured(kind)}, c -> named_struct('start', c.start, 'k', c.k, 'end', c.end, 'score', {model.sql}))"
+        free = " and ".join(f"not {_touches(f'__b_{other}')}" for other in KINDS)
+        df = df.withColumn(f"__s_{kind}", F.expr(f"filter({scored}, c -> c.score >= {model.thresholds[number]!r}D)"))
+        df = df.withColumn(f"__a_{kind}", F.expr(f"filter(__s_{kind}, c -> {free})"))
     better = "(o.score > c.score or (o.score = c.score and (o.end - o.start > c.end - c.start or (o.end - o.start = c.end - c.start and (o.start, o.k) < (c.start, c.k)))))"
-    single = f"filter(__added, c -> not exists(__added, o -> o.start < c.end and c.start < o.end and {better}))"
-    df = df.withColumn("__added", F.expr(f"transform({single}, c -> named_struct('start', c.start, 'k', c.k, 'end', c.end))"))
-    return df.select(*kept.columns, F.col("__base").alias("base"), F.array_sort(F.concat("__base", "__added")).alias("spans"))
+    single = []
+    for kind, _ in used:
+        # the candidates of another kind that overlap this one follow each other
+        worse = [
+            f"not if(size(__a_{other}) = 0, false, exists(slice(__a_{other}, {first} + 1, greatest({last} - {first}, 0)), o -> {better}))"
+            for other, _ in used
+            if other != kind
+            for first, last in [(_below(f"__a_{other}", "end", "c.start + 1"), _below(f"__a_{other}", "start", "c.end"))]
+        ]
+        single.append(f"transform(filter(__a_{kind}, c -> {' and '.join(worse) or 'true'}), c -> named_struct('start', c.start, 'k', c.k, 'end', c.end))")
+    return df.select(*kept.columns, F.expr(f"array_sort({base})").alias("base"), F.expr(f"array_sort(concat({base}, {', '.join(single)}))").alias("spans"))
 
 
 def count_of(kind: str, spans: str = "base") -> Column:
@@ -237,13 +284,25 @@ def listed(spans: str) -> Column:
 
 def redact(found: DataFrame) -> DataFrame:
     """Replaces every stretch of ``text`` that ``spans`` cover by the kind of its first span in brackets, and drops
-    ``base`` and ``spans``. A null text stays null."""
+    ``base`` and ``spans``. A null text stays null.
+
+    The text is cut once for about every root of the number of spans, and each cut once a span,
+    so the cost stays near the length of the text.
+    """
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
-    walked = f"""aggregate(spans, named_struct('out', '', 'at', 0), (a, s) -> if(s.start < a.at,
-        named_struct('out', a.out, 'at', greatest(a.at, s.end)),
-        named_struct('out', concat(a.out, substring(text, a.at + 1, s.start - a.at), get({names}, s.k)), 'at', s.end)))"""
-    done = found.withColumn("__walked", F.expr(walked))
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(
-        F.concat("__walked.out", F.substring("text", F.col("__walked.at") + 1, F.length("text")))
-    )
-    return done.withColumn("text", text).drop("__walked", "base", "spans")
+    furthest = "(a, s) -> greatest(a, s.end)"
+    chunk = _chunk("spans")
+    # where each span finds the text written so far: behind the furthest end of those before it
+    ends = f"transform({_chunks('spans')}, c -> aggregate({chunk}, 0, {furthest}))"
+    inner = f"transform({chunk}, (s, i) -> greatest(base, aggregate(slice(spans, c * {CHUNK} + 1, i), 0, {furthest})))"
+    reached = f"flatten(transform({_chunks('spans')}, c -> get(transform(array(aggregate(slice(__e, 1, c), 0, (a, x) -> greatest(a, x))), base -> {inner}), 0)))"
+    size = f"greatest({CHUNK}, int(ceil(sqrt(size(spans)))))"
+    piece = f"""if(s.start < get(__at, c * __z + i), '',
+        concat(substring(p.part, get(__at, c * __z + i) - p.start + 1, s.start - get(__at, c * __z + i)), get({names}, s.k)))"""
+    part = "named_struct('start', get(__at, c * __z), 'part', substring(text, get(__at, c * __z) + 1, get(spans, least((c + 1) * __z, size(spans)) - 1).start - get(__at, c * __z)))"
+    pieces = f"""transform(sequence(0, int((size(spans) - 1) div __z)),
+        c -> get(transform(array({part}), p -> array_join(transform(slice(spans, c * __z + 1, __z), (s, i) -> {piece}), '')), 0))"""
+    rest = f"substring(text, aggregate(spans, 0, {furthest}) + 1, length(text))"
+    done = found.withColumn("__e", F.expr(ends)).withColumn("__at", F.expr(reached)).withColumn("__z", F.expr(size))
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.expr(f"concat(array_join({pieces}, ''), {rest})"))
+    return done.withColumn("text", text).drop("__e", "__at", "__z", "base", "spans")

@@ -1,6 +1,7 @@
 import random
 
 from brute import personal
+from pyspark.sql import functions as F
 
 from almanac.llm import pii
 
@@ -47,6 +48,70 @@ def test_a_rare_kind_among_many_candidates_keeps_its_spans(spark):
     assert [len(r.spans) for r in rare] == [1] * 4
 
 
+def _cover(text, found):
+    """The text with every covered stretch replaced by the kind of its first span."""
+    out, at = [], 0
+    for start, k, end in found:
+        if start >= at:
+            out += [text[at:start], f"[{pii.KINDS[k].upper()}]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def _chosen(text, model_spans, base):
+    """Candidates that no base span and no better candidate overlaps, by looking at all of them."""
+    free = [c for c in model_spans if not any(b[0] < c[2] and c[0] < b[2] for b in base)]
+    rank = lambda c: (c[3], c[2] - c[0], -c[0], -c[1])
+    return [c[:3] for c in free if not any(o is not c and o[0] < c[2] and c[0] < o[2] and rank(o) > rank(c) for o in free)]
+
+
+#: Takes every candidate; longer and rounder ones score more, so that kinds compete.
+EAGER = pii.Model("(0.5D + (length(c.v) % 7) / 20D)", (0.5,) * 4)
+
+
+def test_added_spans_and_redaction_match_plain_ones(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS) if t and len(t) < 3500], "doc_id int, text string")
+    wide = pii._candidates(pii._texts(docs)).select("doc_id", *[f"__w_{k}" for k in pii.KINDS])
+    candidates = {
+        r.doc_id: [(c.start, n, c.end, 0.5 + (len(c.v) % 7) / 20) for n, k in enumerate(pii.KINDS) for c in r[f"__w_{k}"]] for r in wide.collect()
+    }
+    found = pii.detect(docs, EAGER)
+    added = 0
+    for row in found.collect():
+        base = personal(row.text)
+        assert spans(row, "base") == base
+        assert spans(row, "spans") == sorted(base + _chosen(row.text, candidates[row.doc_id], base)), row.text
+        added += len(row.spans) - len(base)
+    assert added > 300
+    clean = {r.doc_id: r.text for r in pii.redact(found).collect()}
+    for row in found.collect():
+        assert clean[row.doc_id] == _cover(row.text, spans(row, "spans"))
+
+
+def test_context_of_a_candidate_ends_at_its_neighbours(spark):
+    text = "Call the office on 4111 1111 1111 1111x and 10.0.0.1 then 10.0.0.2"
+    row = pii._candidates(pii._texts(spark.createDataFrame([(text,)], "text string"))).first()
+    (card,) = row["__w_card"][:1]
+    assert (text[card.start : card.end], card.before, card.after) == (card.v, "l the office on ", "x and 10")
+    first, second = row["__w_ip"]
+    assert (first.after, second.before) == (" then ", " then ")
+
+
+def test_many_candidates_in_one_text(spark):
+    import time
+
+    part = "10.0.0.1, 4111111111111111, 300.1.1.1, u (at) m.org, a@b.cc, 4111-1111-1111-1112, "
+    text = part * 4_000
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    began = time.time()
+    found = pii.detect(docs, EAGER)
+    row = pii.redact(found.withColumn("n", F.size("spans"))).first()
+    assert time.time() - began < 90
+    assert row.n == 24_000 and row.text.startswith("[IP], [CARD], [IP], [EMAIL], [EMAIL], [CARD], [IP]") and "1111" not in row.text
+    few = docs.selectExpr("doc_id", f"substring(text, 1, {len(part) * 50}) as text")
+    assert row.text[:1500] == pii.redact(pii.detect(few, EAGER)).first().text[:1500]
+
+
 def test_redaction_and_listing(spark):
     text = "é a@b.cc, 10.0.0.1 and +1 (017) 555-7713."
     docs = spark.createDataFrame([(1, text), (2, None), (3, "clean"), (1, text)], "doc_id int, text string")
