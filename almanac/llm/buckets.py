@@ -10,7 +10,8 @@ link then get their features, and the same blocks find the links. Rows are membe
 join parts of a block, never pairs. No link that joins two components is left out.
 
 Members are ``key``, ``set``, ``n`` (size), ``weight`` (the first hub has most); features are ``set``, ``n``,
-``features`` (packed ascending numbers) and ``sketch``.
+``features`` (packed ascending numbers), ``sketch`` and, if a set and a hub must also have one of some hashes
+in common, those as ``shared``. Blocks compare all sets of a bucket, whatever they have in common.
 """
 
 from __future__ import annotations
@@ -53,11 +54,14 @@ def _near(a: str, b: str) -> F.Column:
 
 
 def _allowed(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    """The ``pairs`` (``a``, ``b``) whose sketches, if equally long, allow a link."""
+    """The ``pairs`` (``a``, ``b``) whose sketches, if equally long, and shared hashes allow a link."""
+    tested = [c for c in ("shared",) if c in features.columns]
     for name in ("a", "b"):
-        side = features.select(F.col("set").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+        side = features.select(F.col("set").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "sketch", *tested)])
         pairs = pairs.join(side, name)
     differ = "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    if tested:
+        pairs = pairs.where("arrays_overlap(shared_a, shared_b)")
     return pairs.where(f"size(sketch_a) <> size(sketch_b) or 9 * {differ} <= n_a + n_b").select("a", "b")
 
 
@@ -102,24 +106,29 @@ def once(members: DataFrame) -> DataFrame:
     return members.join(kept.select("key"), "key", "left_semi").select("key", "set", "n", "weight")
 
 
-def connect(members: DataFrame, features: DataFrame, wider: DataFrame | None = None) -> DataFrame:
+def connect(members: DataFrame, features: DataFrame, few: int = 0) -> DataFrame:
     """``node`` and ``root`` of every set that links with another. Frames should be written tables.
 
-    ``wider`` has fewer and larger buckets (``key``, ``set``) in which all that share a bucket of ``members``
-    meet as well; what the hubs leave apart is compared there, so that a pair with many buckets
-    in common is looked at a few times only.
+    Hubs are met only in buckets with more than ``few`` members outside their largest component;
+    the others are left to the blocks, which compare them at once.
     """
     alive, used = members.withColumn("root", F.col("set")), None
     near = tried = roots = None
     for number in range(ROUNDS):
+        crowded = alive
+        if few:
+            large = _sizes(alive).where(F.col("all") - F.col("major.c") > few).select("key")
+            crowded = Written(alive.join(large, "key", "left_semi").select(*alive.columns), "crowded").frame
+            if crowded.isEmpty():
+                break
         order = F.struct("weight", "set") if number == 0 else F.struct(F.xxhash64("set", F.lit(number)), F.col("set"))
-        hub = alive.groupBy("key").agg(
+        hub = crowded.groupBy("key").agg(
             F.max_by(F.struct(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")), order).alias("hub"),
             F.min("root").alias("low"),
             F.max("root").alias("high"),
         )
         hub = hub.where("low <> high").select("key", "hub.*")
-        met = alive.join(hub, "key").where((F.col("root") != F.col("root_b")) & _near("n", "n_b"))
+        met = crowded.join(hub, "key").where((F.col("root") != F.col("root_b")) & _near("n", "n_b"))
         # one row for the two sets, whichever of them is the hub
         pairs = met.groupBy(F.greatest("set", "b").alias("x"), F.least("set", "b").alias("y")).agg(F.max("b").alias("b"))
         pairs = pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti")
@@ -135,15 +144,18 @@ def connect(members: DataFrame, features: DataFrame, wider: DataFrame | None = N
             near = more if near is None else near.unionByName(more)
             roots = components(near)
         alive, used = _still_apart(alive, roots, used)
-    if wider is not None:
-        apart = Written(alive.select("set", "n", "root").distinct(), "sets").frame
-        alive, _ = _still_apart(wider.join(apart, "set").select("key", "set", "n", F.lit(0).alias("weight"), "root"), None, None)
     more = Written(_in_blocks(alive, features), "links").frame
     if near is None or not more.isEmpty():
         roots = components(more if near is None else near.unionByName(more))
     return roots
 
 
+def _sizes(alive: DataFrame) -> DataFrame:
+    """``key``, ``all`` members and the largest component (``major``: ``c`` members, ``root``) of every bucket."""
+    parts = alive.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    return parts.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("major"))
+
+
 def _still_apart(alive: DataFrame, roots: DataFrame | None, used: Written | None) -> tuple[DataFrame, Written]:
     """Members of buckets that hold several components, with their root, written; the table before it goes."""
     placed = alive
@@ -159,9 +171,7 @@ def _still_apart(alive: DataFrame, roots: DataFrame | None, used: Written | None
 
 def _in_blocks(alive: DataFrame, features: DataFrame) -> DataFrame:
     """Links (``u``, ``v``) enough to connect what sets of one bucket and different components link."""
-    parts = alive.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    buckets = parts.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("major"))
-    buckets = buckets.where("all > major.c").select(
+    buckets = _sizes(alive).where("all > major.c").select(
         "key",
         F.col("major.root").alias("major"),
         F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
@@ -236,29 +246,27 @@ def _links(table: pa.Table) -> pa.Table:
     own, others, left, right = _sides(table)
     data = table["features"].to_pylist()
     sets: dict[int, np.ndarray] = {}
-    parent: dict[int, int] = {}
+    # the component of every member, those of the left side first
+    part = np.unique(np.concatenate((left.root, right.root)), return_inverse=True)[1]
+    mine, theirs = part[: len(own)], part[len(own) :]
 
     def features(row: int) -> np.ndarray:
         if row not in sets:
             sets[row] = unpack(data[row])
         return sets[row]
 
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
     u, v = [], []
     for i, j in _possible(left, right):
-        for a, b in zip(i.tolist(), j.tolist()):
-            # components are connected already
-            one, two = find(int(left.root[a])), find(int(right.root[b]))
-            if one == two:
-                continue
-            x, y = features(int(own[a])), features(int(others[b]))
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            common = int((y[at] == x).sum())
-            if 100 * common >= THRESHOLD * int(left.n[a] + right.n[b] - common):
-                parent[one] = two
-                u.append(int(left.set[a])), v.append(int(right.set[b]))
+        members, first = np.unique(i, return_index=True)
+        for a, asked in zip(members.tolist(), np.split(j, first[1:])):
+            asked = asked[theirs[asked] != mine[a]]
+            while len(asked):
+                b, asked = int(asked[0]), asked[1:]
+                x, y = features(int(own[a])), features(int(others[b]))
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                common = int((y[at] == x).sum())
+                if 100 * common >= THRESHOLD * int(left.n[a] + right.n[b] - common):
+                    u.append(int(left.set[a])), v.append(int(right.set[b]))
+                    part[part == mine[a]] = theirs[b]
+                    asked = asked[theirs[asked] != mine[a]]
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})

@@ -6,9 +6,12 @@ two hashes. ``BANDS ** 2`` tables so cost ``2 * BANDS * ROWS`` minhashes, the sq
 many tables of ``2 * ROWS`` own ones would. A pair of similarity 0.8 shares no table with a probability
 of about 1e-6: ``1 - (1 - (1 - 0.8 ** 3) ** 20) ** 2``.
 
-Table keys are only formed of bands that at least two different sets have, which most documents
-lack, so a document without a near copy costs its bands and no table. Tables that hold the same
-sets are one. Candidates are compared exactly on full sets (``buckets``).
+No row is made for a table: the sets of all tables with one band of the first collection are a
+bucket, and a set meets the hub of a bucket only if both agree in a band of the second collection too;
+what the hubs leave apart is compared in the whole bucket. So a set costs at most ``BANDS`` rows,
+however many tables it shares with its copies; and none, if no different set has one of its bands in
+each collection. Buckets that hold the same sets are one.
+Candidates are compared exactly on full sets (``buckets``).
 """
 
 from __future__ import annotations
@@ -80,24 +83,26 @@ def signed(docs: DataFrame) -> DataFrame:
     )
 
 
-def tables(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (``key``, ``set``, ``n``, ``weight``) of every table key that several sets have, without keys that
-    hold the same sets as another; and ``key``, ``set`` of the bands of the first collection alone, which all that
-    share a table share too."""
+def tables(classes: DataFrame) -> DataFrame:
+    """Members (``key``, ``set``, ``n``, ``weight``, the number of tables it may share) of the tables of every band of the
+    first collection that several sets have, without keys that hold the same sets as another."""
     each = classes.select(F.col("one").alias("set"), "n", F.explode("bands").alias("band"))
     shared = each.groupBy("band").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high")
     own = each.join(shared.select("band"), "band", "left_semi").groupBy("set", "n").agg(F.collect_list("band").alias("shared"))
-    halves = own.select("set", "n", F.expr("filter(shared, b -> b & 1 = 0)").alias("left"), F.expr("filter(shared, b -> b & 1 = 1)").alias("right"))
-    halves = materialize(halves.where("size(left) > 0 and size(right) > 0"), "bands")
-    keys = F.expr("flatten(transform(left, u -> transform(right, v -> xxhash64(u, v))))")
-    found = Written(halves.select("set", "n", (F.size("left") * F.size("right")).alias("weight"), F.explode(keys).alias("key")), "tables")
+    halves = own.select("set", "n", F.expr("filter(shared, b -> b & 1 = 0)").alias("left"), F.expr("size(filter(shared, b -> b & 1 = 1))").alias("right"))
+    halves = halves.where("size(left) > 0 and right > 0")
+    found = Written(halves.select("set", "n", (F.size("left") * F.col("right")).alias("weight"), F.explode("left").alias("key")), "tables")
     kept = materialize(buckets.once(found.frame), "members")
     found.drop()
-    return kept, halves.select(F.explode("left").alias("key"), "set")
+    return kept
+
+
+FEATURES = "set long, n long, features binary, sketch array<long>, shared array<long>"
 
 
 def features(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Features and sketches of the ``wanted`` sets (``set``, ``doc_id``), from the texts of their documents."""
+    """Features, sketches and bands of the second collection (``shared``) of the ``wanted`` sets (``set``, ``doc_id``), from
+    the texts of their documents."""
 
     def run(batches):
         for batch in batches:
@@ -108,20 +113,22 @@ def features(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 # another row may have the id and not the set
                 rows = np.flatnonzero(one == names[low : low + len(one)])
                 sets = [hashes[begin[r] : begin[r + 1]] for r in rows]
+                second = [bands(s, np.array([0, len(s)]))[0, BANDS:] for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(one[rows]),
                         pa.array(np.diff(begin)[rows]),
                         pa.array([pack(np.unique(s >> np.uint64(16))) for s in sets], pa.binary()),
                         pa.array([buckets.sketch(s) for s in sets], pa.list_(pa.int64())),
+                        pa.array(second, pa.list_(pa.int64())),
                     ],
-                    names=["set", "n", "features", "sketch"],
+                    names=["set", "n", "features", "sketch", "shared"],
                 )
 
     count = wanted.count()
     ids = F.broadcast(wanted) if count <= BROADCAST_IDS else wanted
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    found = Written(texts.join(ids, "doc_id").select("set", "text").mapInArrow(run, "set long, n long, features binary, sketch array<long>"), "features")
+    found = Written(texts.join(ids, "doc_id").select("set", "text").mapInArrow(run, FEATURES), "features")
     if found.frame.count() == count:
         return found.frame
     # rows that repeat an id and its text
@@ -144,12 +151,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = written.frame
     classes = rows.where("doc_id is not null and one is not null").groupBy("one", "two").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("m"))
     classes = materialize(classes.select("one", "two", "m.doc_id", F.col("m.n_shingles").alias("n"), "m.bands"), "classes")
-    members, bands_alone = tables(classes)
-    # every set in a table is wanted once
+    members = tables(classes)
+    # every set in a bucket is wanted once
     wanted = materialize(
         classes.select(F.col("one").alias("set"), "doc_id").join(members.select("set").distinct(), "set", "left_semi"), "wanted"
     )
-    roots = buckets.connect(members, features(docs, wanted), bands_alone)
+    roots = buckets.connect(members, features(docs, wanted), few=buckets.BLOCK)
     named = classes.select("one", "two", "doc_id").join(roots.select(F.col("node").alias("one"), "root"), "one", "left")
     named = named.withColumn("root", F.coalesce("root", "one"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

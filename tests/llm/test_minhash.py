@@ -144,3 +144,14 @@ def test_a_very_long_text(spark):
 @pytest.mark.parametrize("docs", [[], [(1, None)], [(None, "a b c d e")], [(2, "same"), (1, "same"), (1, "same")]])
 def test_empty_tables_and_repeats(spark, docs):
     assert found(spark, docs) == in_order(plain(docs))
+
+
+def test_a_set_costs_a_row_for_a_band_and_none_for_a_table(spark):
+    random.seed(17)
+    base = [random.choice(VOCABULARY) for _ in range(200)]
+    docs = [(i, " ".join(edited(base, 0.01))) for i in range(150)]
+    rows = minhash.signed(spark.createDataFrame(docs, "doc_id long, text string"))
+    classes = rows.dropDuplicates(["one", "two"]).select("one", "two", "doc_id", F.col("n_shingles").alias("n"), "bands")
+    members = minhash.tables(classes)
+    per_set = [r["count"] for r in members.groupBy("set").count().collect()]
+    assert len(per_set) > 100 and max(per_set) <= minhash.BANDS
