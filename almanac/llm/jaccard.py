@@ -34,6 +34,8 @@ SPREAD = 0.7
 BAND_RATIO = 1.5
 KEY_BITS = 48
 GROUP_BYTES, RANGE_BYTES = 8 << 20, 24 << 20
+#: Features whose signatures are made at a time; a larger set is a slice of its own.
+SLICE = 1 << 16
 
 
 def _bands(largest: int) -> np.ndarray:
@@ -45,7 +47,37 @@ def _bands(largest: int) -> np.ndarray:
 
 
 class Signatures:
-    """All signatures of some sets: hash, and set; and how many of them each must keep."""
+    """All signatures of some sets: hash, and set; and how many of them each must keep.
+
+    They are made for some sets at a time, as a feature takes many times its bytes on the way.
+    """
+
+    def __init__(self, hashes: np.ndarray, begin: np.ndarray):
+        parts, entries, low, sets = [], 0, 0, len(begin) - 1
+        while low < sets or not parts:
+            high = int(np.searchsorted(begin, begin[low] + SLICE, side="right")) - 1
+            high = min(sets, max(high, low + 1))
+            some = _Slice(hashes[begin[low] : begin[high]], begin[low : high + 1] - begin[low])
+            parts.append((some.set + low, some.keep, some.hash, some.entry + entries))
+            entries += len(some.keep)
+            low = high
+        self.set, self.keep, self.hash, self.entry = (np.concatenate(p) for p in zip(*parts))
+
+    def kept(self, often: np.ndarray) -> np.ndarray:
+        """Places of the signatures that a set keeps and shares with another.
+
+        ``often`` has the logarithm of how many sets have a signature; those nobody else has come first.
+        """
+        many = np.flatnonzero(often > 0)
+        alone = np.bincount(self.entry[often == 0], minlength=len(self.keep))
+        order = many[np.lexsort((self.hash[many] >> np.uint64(64 - KEY_BITS), often[many], self.entry[many]))]
+        first = np.searchsorted(self.entry[order], np.arange(len(self.keep)))
+        rank = alone[self.entry[order]] + np.arange(len(order)) - first[self.entry[order]]
+        return order[rank < self.keep[self.entry[order]]]
+
+
+class _Slice:
+    """The signatures of a few sets."""
 
     def __init__(self, hashes: np.ndarray, begin: np.ndarray):
         size = np.diff(begin)
@@ -91,18 +123,6 @@ class Signatures:
         self.hash = found.ravel()
         self.entry = np.repeat(np.arange(len(n)), parts * PARTS)
 
-    def kept(self, often: np.ndarray) -> np.ndarray:
-        """Places of the signatures that a set keeps and shares with another.
-
-        ``often`` has the logarithm of how many sets have a signature; those nobody else has come first.
-        """
-        many = np.flatnonzero(often > 0)
-        alone = np.bincount(self.entry[often == 0], minlength=len(self.keep))
-        order = many[np.lexsort((self.hash[many] >> np.uint64(64 - KEY_BITS), often[many], self.entry[many]))]
-        first = np.searchsorted(self.entry[order], np.arange(len(self.keep)))
-        rank = alone[self.entry[order]] + np.arange(len(order)) - first[self.entry[order]]
-        return order[rank < self.keep[self.entry[order]]]
-
 
 def _class_of(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each whole set; zero for an empty one."""

@@ -1,7 +1,9 @@
 """Substring dedup, Jaccard join and decontamination against plain versions."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from brute import components as plain_components, contained, dedup as plain_dedup
 
@@ -88,6 +90,21 @@ def test_many_texts_with_one_template_and_few_links(spark):
     assert {i: c for i, (_, c) in joined(spark, rows).items()} == want
 
 
+def test_signatures_of_many_sets_are_made_in_little_memory():
+    rng = np.random.default_rng(22)
+    begin = np.concatenate(([0], np.cumsum(rng.integers(0, 600, 2500))))
+    hashes = rng.integers(0, 1 << 62, begin[-1]).astype(np.uint64)
+    tracemalloc.start()
+    whole = jaccard.Signatures(hashes, begin)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * len(hashes)
+    for k in (0, 700, 2499):
+        one = jaccard.Signatures(hashes[begin[k] : begin[k + 1]], np.array([0, begin[k + 1] - begin[k]]))
+        assert sorted(one.hash.tolist()) == sorted(whole.hash[whole.set[whole.entry] == k].tolist())
+        assert one.keep.tolist() == whole.keep[whole.set == k].tolist()
+
+
 def test_join_of_a_very_long_text(spark):
     random.seed(21)
     long = [f"v{random.randrange(5000)}" for _ in range(150_000)]
