@@ -8,9 +8,10 @@ of about 1e-6: ``1 - (1 - (1 - 0.8 ** 3) ** 20) ** 2``.
 
 No row is made for a table: the sets of all tables with one band of the first collection are a
 bucket, and a set meets the hub of a bucket only if both agree in a band of the second collection too;
-what the hubs leave apart is compared in the whole bucket. So a set costs at most ``BANDS`` rows,
-however many tables it shares with its copies; and none, if no different set has one of its bands in
-each collection. Buckets that hold the same sets are one.
+what the hubs leave apart is compared in the whole bucket. Buckets with the same least set are one
+unless they have little else in common, as are those that hold the same sets. So a set costs
+at most ``BANDS`` rows, however many tables it shares with its copies, and far fewer in a group of
+near copies; and none, if no different set has one of its bands in each collection.
 Candidates are compared exactly on full sets (``buckets``).
 """
 
@@ -27,6 +28,8 @@ from .textbytes import blocks, mix, pair, shingles, texts_of
 
 WIDTH = 4
 BANDS, ROWS = 20, 3
+#: Sets of a bucket of several bands, as a multiple of those of its largest band, above which it is not made.
+WIDEST = 2
 #: Ids, of sixteen bytes each, that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -85,15 +88,31 @@ def signed(docs: DataFrame) -> DataFrame:
 
 def tables(classes: DataFrame) -> DataFrame:
     """Members (``key``, ``set``, ``n``, ``weight``, the number of tables it may share) of the tables of every band of the
-    first collection that several sets have, without keys that hold the same sets as another."""
+    first collection that several sets have, without keys that hold the same sets as another.
+
+    Bands with the same least set are one bucket, so near copies cost a few rows a set and not one
+    for each band. A bucket of bands that have little in common would compare many more pairs than
+    they do: above ``WIDEST`` times the sets of its largest band, its bands stay apart.
+    """
     each = classes.select(F.col("one").alias("set"), "n", F.explode("bands").alias("band"))
-    shared = each.groupBy("band").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high")
-    own = each.join(shared.select("band"), "band", "left_semi").groupBy("set", "n").agg(F.collect_list("band").alias("shared"))
-    halves = own.select("set", "n", F.expr("filter(shared, b -> b & 1 = 0)").alias("left"), F.expr("size(filter(shared, b -> b & 1 = 1))").alias("right"))
-    halves = halves.where("size(left) > 0 and right > 0")
-    found = Written(halves.select("set", "n", (F.size("left") * F.col("right")).alias("weight"), F.explode("left").alias("key")), "tables")
-    kept = materialize(buckets.once(found.frame), "members")
-    found.drop()
+    shared = each.groupBy("band").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.count(F.lit(1)).alias("sets")).where("low <> high")
+    shared = Written(shared.select("band", "low", "sets"), "shared")
+    own = each.join(shared.frame.select("band", "low"), "band").groupBy("set", "n").agg(F.collect_list(F.struct("band", "low")).alias("shared"))
+    halves = own.select("set", "n", F.expr("filter(shared, b -> b.band & 1 = 0)").alias("left"), F.expr("size(filter(shared, b -> b.band & 1 = 1))").alias("right"))
+    halves = halves.where("size(left) > 0 and right > 0").select("set", "n", (F.size("left") * F.col("right")).alias("weight"), "left")
+    found = Written(halves, "tables")
+    merged = Written(found.frame.select("set", "n", "weight", F.explode(F.array_distinct("left.low")).alias("key")), "merged")
+    largest = shared.frame.where("band & 1 = 0").groupBy(F.col("low").alias("key")).agg(F.max("sets").alias("largest"))
+    wide = merged.frame.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).join(largest, "key").where(F.col("sets") > WIDEST * F.col("largest"))
+    wide = Written(wide.select("key"), "wide")
+    members = merged.frame
+    if not wide.frame.isEmpty():
+        apart = found.frame.select("set", "n", "weight", F.explode("left").alias("b")).select("set", "n", "weight", "b.band", F.col("b.low").alias("key"))
+        apart = apart.join(wide.frame, "key", "left_semi").select(F.col("band").alias("key"), "set", "n", "weight")
+        members = members.join(wide.frame, "key", "left_anti").select("key", "set", "n", "weight").unionByName(apart)
+    kept = materialize(buckets.once(members), "members")
+    for written in (shared, found, merged, wide):
+        written.drop()
     return kept
 
 

@@ -155,3 +155,48 @@ def test_a_set_costs_a_row_for_a_band_and_none_for_a_table(spark):
     members = minhash.tables(classes)
     per_set = [r["count"] for r in members.groupBy("set").count().collect()]
     assert len(per_set) > 100 and max(per_set) <= minhash.BANDS
+
+
+def signed_classes(spark, docs):
+    rows = minhash.signed(spark.createDataFrame(docs, "doc_id long, text string"))
+    return rows.dropDuplicates(["one", "two"]).select("one", "two", "doc_id", F.col("n_shingles").alias("n"), "bands")
+
+
+def test_near_copies_cost_a_few_rows_each(spark):
+    random.seed(18)
+    base = [random.choice(VOCABULARY) for _ in range(200)]
+    classes = signed_classes(spark, [(i, " ".join(edited(base, 0.005))) for i in range(300)])
+    members = minhash.tables(classes)
+    sets = members.select("set").distinct().count()
+    assert sets > 100 and members.count() < 6 * sets
+
+
+@pytest.mark.parametrize("widest", [0, 2, 100])
+def test_sets_that_share_a_table_share_a_bucket(spark, monkeypatch, widest):
+    monkeypatch.setattr(minhash, "WIDEST", widest)
+    random.seed(19)
+    docs = []
+    for _ in range(12):
+        base = [random.choice(VOCABULARY) for _ in range(60)]
+        docs += [" ".join(edited(base, share)) for share in (0, 0.02, 0.04, 0.08, 0.15, 0.25)]
+    classes = signed_classes(spark, list(enumerate(docs)))
+    bands = {r.one: (set(r.bands[: minhash.BANDS]), set(r.bands[minhash.BANDS :])) for r in classes.collect()}
+    held = {}
+    for r in minhash.tables(classes).collect():
+        held.setdefault(r.set, set()).add(r.key)
+    pairs = [(x, y) for x in bands for y in bands if x < y and bands[x][0] & bands[y][0] and bands[x][1] & bands[y][1]]
+    assert pairs and all(held[x] & held[y] for x, y in pairs)
+
+
+def test_bands_with_only_one_set_in_common_stay_apart(spark):
+    # set 0 shares each band of the first collection with sets of its own; any two of those share none
+    families, size = 8, 5
+    rows = [(0, 0, 0, 5, [2 * b for b in range(minhash.BANDS)] + [1 + 2 * b for b in range(minhash.BANDS)])]
+    for family in range(families):
+        for k in range(size):
+            name = 1 + family * size + k
+            first = [2 * b if b == family else 1000 * name + 2 * b for b in range(minhash.BANDS)]
+            rows.append((name, 0, name, 5, first + [1 + 2 * b for b in range(minhash.BANDS)]))
+    classes = spark.createDataFrame(rows, "one long, two long, doc_id long, n long, bands array<long>")
+    sizes = [r["count"] for r in minhash.tables(classes).groupBy("key").count().collect()]
+    assert sorted(sizes) == [size + 1] * families
