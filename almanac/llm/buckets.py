@@ -136,7 +136,10 @@ def connect(members: DataFrame, features: DataFrame, few: int = 0) -> DataFrame:
         seen = pairs.select("x", "y")
         tried = seen if tried is None else tried.unionByName(seen)
         asked = pairs.select(F.when(F.col("x") == F.col("b"), F.col("y")).otherwise(F.col("x")).alias("a"), "b")
-        more = Written(linked(_allowed(asked, features), features), "links").frame
+        # read several times: else every reader plans and makes these joins again
+        asked = Written(_allowed(asked, features), "asked")
+        more = Written(linked(asked.frame, features), "links").frame
+        asked.drop()
         if more.isEmpty():
             if number:
                 break

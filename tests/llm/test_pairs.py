@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from brute import components as plain_components, contained, dedup as plain_dedup
 
+from almanac import session
 from almanac.llm import buckets, components, decontaminate, jaccard, substring
 
 random.seed(8)
@@ -141,3 +142,23 @@ def test_items_inside_long_documents(spark, monkeypatch):
         assert got == contained(docs, items) and len(found) == len(docs)
     none = decontaminate.search(frame, spark.createDataFrame([], "item_id long, text string"))
     assert all(r.matches == [] for r in none.collect())
+
+
+def test_hubs_and_stars_have_small_plans(spark, monkeypatch):
+    # the driver plans each written table anew while it runs; joins repeated in one plan fill its memory
+    joins = []
+
+    class Counted(session.Written):
+        def __init__(self, df, label):
+            joins.append((label, df._jdf.queryExecution().optimizedPlan().toString().count("Join ")))
+            super().__init__(df, label)
+
+    monkeypatch.setattr(buckets, "Written", Counted)
+    for name, value in (("Written", Counted), ("materialize", lambda df, label: Counted(df, label).frame)):
+        monkeypatch.setattr(components, name, value, raising=False)
+    random.seed(23)
+    words = [f"w{i}" for i in range(200)]
+    docs = [(i, " ".join(random.choice(words) if random.random() < 0.01 else w for w in words)) for i in range(60)]
+    jaccard.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {"asked", "links", "stars"} <= {label for label, _ in joins}
+    assert max(n for label, n in joins if label in ("asked", "links", "large", "stars")) <= 3, joins
