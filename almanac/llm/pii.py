@@ -5,10 +5,15 @@ of gradient-boosted trees, which are trained on weak labels (does the span, once
 disguise are undone, pass the checks of its kind?), and a threshold for each kind is calibrated
 on rows that the trees have not seen. Trees are turned into one SQL expression, so patterns,
 checks, features and scores all run inside the row: no shuffle, no Python, and no key is needed.
+
+All but the trees is built of column functions, not of SQL text, and a value that is used more
+than once is named by ``_let``: parsing long texts and planning copies of long expressions took
+more of the driver's memory than the work itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -44,123 +49,195 @@ WIDE = {
     "card": r"(?<![0-9])[0-9](?:[\x20./-]?[0-9]){11,30}+",
     "phone": r"(?:\+|\()[0-9](?:[\x20()./-]{0,3}[0-9]){6,30}+",
 }
-#: Texts without these are not searched; the same for base and wide patterns but for emails.
-NEEDS = {"email": "contains({t}, '@') or contains({t}, '(at)') or contains({t}, '[at]')", "ip": "{t} rlike '[0-9]'", "card": "{t} rlike '[0-9]'", "phone": "{t} rlike '[0-9]'"}
-_DIGITS = "regexp_replace({v}, '[^0-9]', '')"
-_LUHN = """aggregate(sequence(1, length({d})), 0, (a, i) -> a + if(i % 2 = 1, int(substring({d}, -i, 1)),
-    int(substring({d}, -i, 1)) * 2 - if(int(substring({d}, -i, 1)) > 4, 9, 0))) % 10 = 0"""
-_PARTS = "not exists(split({v}, '[.]'), p -> length(ltrim('0', p)) > 3 or int(concat('0', right(ltrim('0', p), 3))) > 255)"
+Function = Callable[[Column], Column]
+
+
+def _let(value: Column, use: Function) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _if(condition: Column, then: Column, other: Column) -> Column:
+    return F.when(condition, then).otherwise(other)
+
+
+def _struct(**fields: Column) -> Column:
+    return F.struct(*[value.alias(name) for name, value in fields.items()])
+
+
+def _add(a: Column, x: Column) -> Column:
+    return a + x
+
+
+def _needed(kind: str, text: Column) -> Column:
+    """Texts without this are not searched; the same for base and wide patterns but for emails."""
+    if kind == "email":
+        return text.contains("@") | text.contains("(at)") | text.contains("[at]")
+    return text.rlike("[0-9]")
+
+
+def _digits(v: Column) -> Column:
+    return F.regexp_replace(v, "[^0-9]", "")
+
 
+def _card(digits: Column) -> Column:
+    """Whether 12 to 19 digits pass Luhn's check."""
 
-def _valid(kind: str, v: str = "v") -> str:
-    digits = _DIGITS.format(v=v)
+    def step(a: Column, i: Column) -> Column:
+        digit = F.substring(digits, -i, F.lit(1)).cast("int")
+        return a + _if(i % 2 == 1, digit, digit * 2 - _if(digit > 4, F.lit(9), F.lit(0)))
+
+    passes = F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), step) % 10 == 0
+    return _if(F.length(digits).between(12, 19), passes, F.lit(False))
+
+
+def _parts(v: Column) -> Column:
+    """Whether no part between dots is above 255."""
+
+    def above(part: Column) -> Column:
+        return (F.length(part) > 3) | (F.concat(F.lit("0"), F.right(part, F.lit(3))).cast("int") > 255)
+
+    return ~F.exists(F.transform(F.split(v, "[.]"), lambda p: F.ltrim(p, F.lit("0"))), above)
+
+
+def _valid(kind: str, v: Column) -> Column:
     return {
-        "email": "true",
-        "ip": _PARTS.format(v=v),
-        "card": f"if(length({digits}) between 12 and 19, {_LUHN.format(d=digits)}, false)",
-        "phone": f"length({digits}) between 9 and 15",
-    }[kind]
+        "email": lambda: F.lit(True),
+        "ip": lambda: _parts(v),
+        "card": lambda: _let(_digits(v), _card),
+        "phone": lambda: F.length(_digits(v)).between(9, 15),
+    }[kind]()
 
 
-def _located(df: DataFrame, name: str, pattern: str, needs: str) -> DataFrame:
-    """Adds ``name``: all matches in order, ``array<struct<start, end, v, before, after>>``, with what stands
+def _chunks(n: Column) -> Column:
+    """Numbers of the chunks of an array of size ``n``."""
+    return _if(n == 0, F.array().cast("array<int>"), F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")))
+
+
+def _chunk(array: Column, c: Column) -> Column:
+    return F.slice(array, c * CHUNK + 1, F.lit(CHUNK))
+
+
+def _located(pattern: str, needs: Column) -> Column:
+    """All matches in ``__text`` in order, ``array<struct<start, end, v, before, after>>``, with what stands
     between them and their neighbours, at most ``BEFORE`` and ``AFTER`` characters of it.
 
     What ``split`` leaves between matches tells where they are. Lengths are added up in chunks,
     each beginning where those before it end, so the cost stays near the number of matches.
     """
-    none = F.array().cast("array<string>")
-    df = df.withColumn(
-        "__m", F.when(F.expr(needs), F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))).otherwise(none)
-    ).withColumn("__p", F.when(F.size("__m") > 0, F.split("__text", pattern, -1)).otherwise(none))
-    # what stands before a match: the piece, and the match before that
-    lengths = "transform(__m, (m, i) -> length(get(__p, i)) + if(i > 0, length(get(__m, i - 1)), 0))"
-    sums = f"transform({_chunks('__l')}, c -> aggregate({_chunk('__l')}, 0, (a, x) -> a + x))"
-    df = df.withColumn("__l", F.expr(lengths)).withColumn("__c", F.expr(sums))
-    inner = f"""transform({_chunk('__m')}, (m, i) -> named_struct('start', base + aggregate(slice(__l, c * {CHUNK} + 1, i + 1), 0, (a, x) -> a + x),
-        'v', m, 'before', right(get(__p, c * {CHUNK} + i), {BEFORE}), 'after', left(get(__p, c * {CHUNK} + i + 1), {AFTER})))"""
-    places = f"""flatten(transform({_chunks('__m')}, c -> get(transform(array(aggregate(slice(__c, 1, c), 0, (a, x) -> a + x)), base -> {inner}), 0)))"""
-    whole = f"transform({places}, s -> named_struct('start', s.start, 'end', s.start + length(s.v), 'v', s.v, 'before', lower(s.before), 'after', lower(s.after)))"
-    return df.withColumn(name, F.expr(whole)).drop("__m", "__p", "__l", "__c")
+    none, text = F.array().cast("array<string>"), F.col("__text")
+
+    def places(x: Column) -> Column:
+        # x: matches m, pieces p, and for each match what stands before it: the piece, and the match before that
+        def inside(y: Column) -> Column:
+            def chunk(c: Column) -> Column:
+                def found(base: Column) -> Column:
+                    def one(m: Column, i: Column) -> Column:
+                        start = base + F.aggregate(F.slice(y["l"], c * CHUNK + 1, i + 1), F.lit(0), _add)
+                        before = F.right(F.get(x["p"], c * CHUNK + i), F.lit(BEFORE))
+                        after = F.left(F.get(x["p"], c * CHUNK + i + 1), F.lit(AFTER))
+                        return _let(start, lambda s: _struct(start=s, end=s + F.length(m), v=m, before=F.lower(before), after=F.lower(after)))
+
+                    return F.transform(_chunk(x["m"], c), one)
+
+                return _let(F.aggregate(F.slice(y["s"], F.lit(1), c), F.lit(0), _add), found)
 
+            return F.flatten(F.transform(_chunks(F.size(x["m"])), chunk))
 
-def _chunks(array: str) -> str:
-    """Numbers of an array's chunks."""
-    return f"if(size({array}) = 0, cast(array() as array<int>), sequence(0, int((size({array}) - 1) div {CHUNK})))"
+        def sums(lengths: Column) -> Column:
+            return F.transform(_chunks(F.size(lengths)), lambda c: F.aggregate(_chunk(lengths, c), F.lit(0), _add))
 
+        lengths = F.transform(x["m"], lambda m, i: F.length(F.get(x["p"], i)) + _if(i > 0, F.length(F.get(x["m"], i - 1)), F.lit(0)))
+        return _let(_let(lengths, lambda each: _struct(l=each, s=sums(each))), inside)
 
-def _chunk(array: str) -> str:
-    return f"slice({array}, c * {CHUNK} + 1, {CHUNK})"
+    matches = _if(needs, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), none)
+    return _let(_let(matches, lambda m: _struct(m=m, p=_if(F.size(m) > 0, F.split(text, pattern, -1), none))), places)
 
 
 def _bases(df: DataFrame) -> DataFrame:
     """Adds ``__b_<kind>``: the valid base spans of each kind, ``array<struct<start, kind number, end>>`` in order."""
+    found = {}
     for number, kind in enumerate(KINDS):
-        df = _located(df, f"__b_{kind}", BASE[kind], NEEDS[kind].format(t="__text"))
-        valid = f"transform(filter(__b_{kind}, s -> {_valid(kind, 's.v')}), s -> named_struct('start', s.start, 'k', {number}, 'end', s.end))"
-        df = df.withColumn(f"__b_{kind}", F.expr(valid))
-    return df
+        valid = F.filter(_located(BASE[kind], _needed(kind, F.col("__text"))), lambda s: _valid(kind, s["v"]))
+        found[f"__b_{kind}"] = F.transform(valid, lambda s: _struct(start=s["start"], k=F.lit(number), end=s["end"]))
+    return df.withColumns(found)
 
 
-def _below(spans: str, place: str, limit: str) -> str:
+def _below(spans: Column, place: str, limit: Column) -> Column:
     """How many of the spans of one kind have their ``place`` below ``limit``, by halving.
 
     Spans of one kind don't overlap, so their starts and their ends both ascend.
     """
-    half = "int((s.lo + s.hi) div 2)"
-    step = f"""if(s.lo >= s.hi, s, if(get({spans}, {half}).{place} < {limit},
-        named_struct('lo', {half} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {half})))"""
-    steps = f"sequence(0, int(ceil(log2(size({spans}) + 1))))"
-    return f"aggregate({steps}, named_struct('lo', 0, 'hi', size({spans})), (s, i) -> {step}).lo"
 
+    def step(s: Column, _: Column) -> Column:
+        def halved(half: Column) -> Column:
+            below = F.get(spans, half)[place] < limit
+            return _if(below, _struct(lo=half + 1, hi=s["hi"]), _struct(lo=s["lo"], hi=half))
 
-def _touches(spans: str) -> str:
+        return _if(s["lo"] >= s["hi"], s, _let(F.shiftright(s["lo"] + s["hi"], 1), halved))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    return F.aggregate(steps, _struct(lo=F.lit(0), hi=F.size(spans)), step)["lo"]
+
+
+def _touches(spans: Column, c: Column) -> Column:
     """Whether a span of one kind overlaps ``c``: the last one that begins before ``c`` ends, ends behind its start."""
-    before = _below(spans, "start", "c.end")
-    return f"if(size({spans}) = 0, false, coalesce(get({spans}, {before} - 1).end > c.start, false))"
+    last = F.get(spans, _below(spans, "start", c["end"]) - 1)
+    return _if(F.size(spans) == 0, F.lit(False), F.coalesce(last["end"] > c["start"], F.lit(False)))
 
 
 def _candidates(df: DataFrame) -> DataFrame:
     """Adds ``__w_<kind>``: candidates of each kind in order, with what stands around them."""
-    for kind in KINDS:
-        df = _located(df, f"__w_{kind}", WIDE[kind], NEEDS[kind].format(t="__text"))
-    return df
+    return df.withColumns({f"__w_{kind}": _located(WIDE[kind], _needed(kind, F.col("__text"))) for kind in KINDS})
 
 
-def _featured(kind: str) -> str:
+def _featured(kind: str) -> Column:
     """The candidates ``c`` of a kind with their features ``c.f``."""
-    numbers = ", ".join(f"double({e})" for e in FEATURES.values())
-    known = f"transform(__w_{kind}, c -> named_struct('start', c.start, 'k', {KINDS.index(kind)}, 'end', c.end, 'v', c.v, 'before', c.before, 'after', c.after))"
-    return f"transform({known}, c -> named_struct('start', c.start, 'k', c.k, 'end', c.end, 'v', c.v, 'f', array({numbers})))"
-
-
-_PLAIN_EMAIL = r"regexp_replace(regexp_replace(c.v, ' ?[(\\[]at[)\\]] ?', '@'), ' ?[(\\[]dot[)\\]] ?', '.')"
-
-#: Features of a candidate ``c`` by name, as numbers.
-FEATURES = {
-    "kind": "c.k",
-    "length": "length(c.v)",
-    "digits": f"length({_DIGITS.format(v='c.v')})",
-    "letters": "length(regexp_replace(c.v, '[^A-Za-z]', ''))",
-    "spaces": "length(c.v) - length(replace(c.v, ' ', ''))",
-    "dots": "length(c.v) - length(replace(c.v, '.', ''))",
-    "dashes": "length(c.v) - length(replace(c.v, '-', ''))",
-    "slashes": "length(c.v) - length(replace(c.v, '/', ''))",
-    "plus": "int(startswith(c.v, '+'))",
-    "brackets": "int(c.v rlike '[(\\\\[]')",
-    "at": "int(contains(c.v, '@'))",
-    "luhn": f"int({_valid('card', 'c.v')})",
-    "small_parts": f"int(c.k = 1 and {_PARTS.format(v='c.v')})",
-    "ending": "length(regexp_extract(c.v, '[A-Za-z]*$', 0))",
-    "joined_before": "int(c.before rlike '[a-z0-9]$')",
-    "joined_after": "int(c.after rlike '^[a-z0-9]')",
-    "cue": "int(c.before rlike '(tel|phone|call|mobile|fax|card|visa|mail|contact|host|addr)')",
-    "assigned": "int(c.before rlike '[=:\"]')",
+    number = F.lit(KINDS.index(kind))
+
+    def one(c: Column) -> Column:
+        values = F.array(*[feature(c, number).cast("double") for feature in FEATURES.values()])
+        return _struct(start=c["start"], k=number, end=c["end"], v=c["v"], f=values)
+
+    return F.transform(f"__w_{kind}", one)
+
+
+def _plain_email(v: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(v, r" ?[(\[]at[)\]] ?", "@"), r" ?[(\[]dot[)\]] ?", ".")
+
+
+def _count(v: Column, character: str) -> Column:
+    return F.length(v) - F.length(F.replace(v, F.lit(character), F.lit("")))
+
+
+#: Features of a candidate ``c`` of kind ``k`` by name, as numbers.
+FEATURES: dict[str, Callable[[Column, Column], Column]] = {
+    "kind": lambda c, k: k,
+    "length": lambda c, k: F.length(c["v"]),
+    "digits": lambda c, k: F.length(_digits(c["v"])),
+    "letters": lambda c, k: F.length(F.regexp_replace(c["v"], "[^A-Za-z]", "")),
+    "spaces": lambda c, k: _count(c["v"], " "),
+    "dots": lambda c, k: _count(c["v"], "."),
+    "dashes": lambda c, k: _count(c["v"], "-"),
+    "slashes": lambda c, k: _count(c["v"], "/"),
+    "plus": lambda c, k: c["v"].startswith("+").cast("int"),
+    "brackets": lambda c, k: c["v"].rlike(r"[(\[]").cast("int"),
+    "at": lambda c, k: c["v"].contains("@").cast("int"),
+    "luhn": lambda c, k: _valid("card", c["v"]).cast("int"),
+    "small_parts": lambda c, k: ((k == 1) & _parts(c["v"])).cast("int"),
+    "ending": lambda c, k: F.length(F.regexp_extract(c["v"], "[A-Za-z]*$", 0)),
+    "joined_before": lambda c, k: c["before"].rlike("[a-z0-9]$").cast("int"),
+    "joined_after": lambda c, k: c["after"].rlike("^[a-z0-9]").cast("int"),
+    "cue": lambda c, k: c["before"].rlike("(tel|phone|call|mobile|fax|card|visa|mail|contact|host|addr)").cast("int"),
+    "assigned": lambda c, k: c["before"].rlike('[=:"]').cast("int"),
 }
-#: Weak label: the checks of the kind, after spacing and disguise are undone.
-_LABEL = f"""case c.k when 0 then {_PLAIN_EMAIL} rlike '^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+$'
-    when 1 then {_PARTS.format(v='c.v')} when 2 then {_valid('card', 'c.v')}
-    else startswith(c.v, '+') and {_valid('phone', 'c.v')} end"""
+
+
+def _label(c: Column) -> Column:
+    """Weak label: the checks of the kind, after spacing and disguise are undone."""
+    email = _plain_email(c["v"]).rlike("^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+$")
+    phone = c["v"].startswith("+") & _valid("phone", c["v"])
+    return F.when(c["k"] == 0, email).when(c["k"] == 1, _parts(c["v"])).when(c["k"] == 2, _valid("card", c["v"])).otherwise(phone)
 
 
 @dataclass(frozen=True)
@@ -182,10 +259,9 @@ def fit(docs: DataFrame, max_candidates: int = MAX_CANDIDATES) -> Model:
     are drawn; three quarters of what is drawn trains. Without candidates of both labels nothing
     is added to the base spans.
     """
-    every = "concat(" + ", ".join(_featured(kind) for kind in KINDS) + ")"
-    found = _candidates(_texts(docs.select("text"))).select(F.explode(F.expr(every)).alias("c"))
+    found = _candidates(_texts(docs.select("text"))).select(F.explode(F.concat(*[_featured(kind) for kind in KINDS])).alias("c"))
     rows = found.select(
-        F.expr(_LABEL).cast("double").alias("label"), F.col("c.k").alias("k"), F.col("c.f").alias("f"), F.xxhash64("c.v", "c.start").alias("place")
+        _label(F.col("c")).cast("double").alias("label"), F.col("c.k").alias("k"), F.col("c.f").alias("f"), F.xxhash64("c.v", "c.start").alias("place")
     )
     turn = F.row_number().over(Window.partitionBy("k", "label").orderBy("place", "f"))
     drawn = rows.withColumn("turn", turn).where(F.col("turn") <= max_candidates)
@@ -202,7 +278,7 @@ def fit(docs: DataFrame, max_candidates: int = MAX_CANDIDATES) -> Model:
     if train.select("label").distinct().count() < 2:
         return Model("0D", (NEVER,) * len(KINDS))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, checkpointInterval=-1).fit(train)
-    terms = [f"{weight!r}D * ({_tree(tree._call_java('rootNode'))})" for weight, tree in zip(model.treeWeights, model.trees)]
+    terms = [f"{weight!r}D * {_tree(tree._call_java('rootNode'))}" for weight, tree in zip(model.treeWeights, model.trees)]
     sql = f"1D / (1D + exp(-2D * ({' + '.join(terms)})))"
     # Up to the last place drawn of its kind and label a candidate was drawn, after it none was.
     lasts = drawn.groupBy("k", "label").agg(F.max("place").alias("last")).collect()
@@ -247,28 +323,48 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
     """
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("base", "spans") and not c.startswith("__")])
     df = _bases(_texts(kept))
-    base = "concat(" + ", ".join(f"__b_{kind}" for kind in KINDS) + ")"
+    base = F.concat(*[F.col(f"__b_{kind}") for kind in KINDS])
     used = [(kind, number) for number, kind in enumerate(KINDS) if model.thresholds[number] < NEVER]
     if not used:
-        return df.select(*kept.columns, F.expr(f"array_sort({base})").alias("base")).withColumn("spans", F.col("base"))
-    df = _candidates(df)
+        return _fixed(df, kept.columns, base=F.array_sort(base), spans=F.array_sort(base))
+    df = _candidates(df).withColumn("__f", F.concat(*[_featured(kind) for kind, _ in used]))
+    scored = f"transform(__f, c -> named_struct('start', c.start, 'k', c.k, 'end', c.end, 'score', {model.sql}))"
+    df = df.withColumn("__s", F.expr(scored))
+    least = F.array(*[F.lit(threshold) for threshold in model.thresholds])
+    good = F.filter("__s", lambda c: c["score"] >= F.get(least, c["k"]))
+    for kind in KINDS:
+        good = F.filter(good, lambda c: ~_touches(F.col(f"__b_{kind}"), c))
+    df = df.withColumn("__a", good)
+    df = df.withColumns({f"__a_{kind}": F.filter("__a", lambda c: c["k"] == number) for kind, number in used})
+    single = F.col("__a")
     for kind, number in used:
-        scored = f"transform({_featured(kind)}, c -> named_struct('start', c.start, 'k', c.k, 'end', c.end, 'score', {model.sql}))"
-        free = " and ".join(f"not {_touches(f'__b_{other}')}" for other in KINDS)
-        df = df.withColumn(f"__s_{kind}", F.expr(f"filter({scored}, c -> c.score >= {model.thresholds[number]!r}D)"))
-        df = df.withColumn(f"__a_{kind}", F.expr(f"filter(__s_{kind}, c -> {free})"))
-    better = "(o.score > c.score or (o.score = c.score and (o.end - o.start > c.end - c.start or (o.end - o.start = c.end - c.start and (o.start, o.k) < (c.start, c.k)))))"
-    single = []
-    for kind, _ in used:
-        # the candidates of another kind that overlap this one follow each other
-        worse = [
-            f"not if(size(__a_{other}) = 0, false, exists(slice(__a_{other}, {first} + 1, greatest({last} - {first}, 0)), o -> {better}))"
-            for other, _ in used
-            if other != kind
-            for first, last in [(_below(f"__a_{other}", "end", "c.start + 1"), _below(f"__a_{other}", "start", "c.end"))]
-        ]
-        single.append(f"transform(filter(__a_{kind}, c -> {' and '.join(worse) or 'true'}), c -> named_struct('start', c.start, 'k', c.k, 'end', c.end))")
-    return df.select(*kept.columns, F.expr(f"array_sort({base})").alias("base"), F.expr(f"array_sort(concat({base}, {', '.join(single)}))").alias("spans"))
+        single = F.filter(single, lambda c: (c["k"] == number) | ~_beaten(c, F.col(f"__a_{kind}")))
+    single = F.transform(single, lambda c: _struct(start=c["start"], k=c["k"], end=c["end"]))
+    return _fixed(df, kept.columns, base=F.array_sort(base), spans=F.array_sort(F.concat(base, single)))
+
+
+def _beaten(c: Column, others: Column) -> Column:
+    """Whether a better candidate among those of another kind overlaps ``c``; those that overlap it follow each other."""
+
+    def better(o: Column) -> Column:
+        longer, shorter = o["end"] - o["start"], c["end"] - c["start"]
+        first = _struct(start=o["start"], k=o["k"]) < _struct(start=c["start"], k=c["k"])
+        return (o["score"] > c["score"]) | ((o["score"] == c["score"]) & ((longer > shorter) | ((longer == shorter) & first)))
+
+    def among(first: Column) -> Column:
+        n = F.greatest(_below(others, "start", c["end"]) - first, F.lit(0))
+        return F.exists(F.slice(others, first + 1, n), better)
+
+    return _if(F.size(others) == 0, F.lit(False), _let(_below(others, "end", c["start"] + 1), among))
+
+
+def _fixed(df: DataFrame, columns: list[str], **made: Column) -> DataFrame:
+    """``columns`` of ``df`` and what is ``made`` of the others.
+
+    The row passes a generator that gives it back: a filter on what is made would else be moved
+    below it, with a copy of the whole search for each time that the search is named.
+    """
+    return df.select(*[F.col(f"`{c}`") for c in columns], F.inline(F.array(_struct(**made))))
 
 
 def count_of(kind: str, spans: str = "base") -> Column:
@@ -289,20 +385,48 @@ def redact(found: DataFrame) -> DataFrame:
     The text is cut once for about every root of the number of spans, and each cut once a span,
     so the cost stays near the length of the text.
     """
-    names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
-    furthest = "(a, s) -> greatest(a, s.end)"
-    chunk = _chunk("spans")
+    spans, text = F.col("spans"), F.col("text")
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+
+    def furthest(a: Column, span: Column) -> Column:
+        return F.greatest(a, span["end"])
+
     # where each span finds the text written so far: behind the furthest end of those before it
-    ends = f"transform({_chunks('spans')}, c -> aggregate({chunk}, 0, {furthest}))"
-    inner = f"transform({chunk}, (s, i) -> greatest(base, aggregate(slice(spans, c * {CHUNK} + 1, i), 0, {furthest})))"
-    reached = f"flatten(transform({_chunks('spans')}, c -> get(transform(array(aggregate(slice(__e, 1, c), 0, (a, x) -> greatest(a, x))), base -> {inner}), 0)))"
-    size = f"greatest({CHUNK}, int(ceil(sqrt(size(spans)))))"
-    piece = f"""if(s.start < get(__at, c * __z + i), '',
-        concat(substring(p.part, get(__at, c * __z + i) - p.start + 1, s.start - get(__at, c * __z + i)), get({names}, s.k)))"""
-    part = "named_struct('start', get(__at, c * __z), 'part', substring(text, get(__at, c * __z) + 1, get(spans, least((c + 1) * __z, size(spans)) - 1).start - get(__at, c * __z)))"
-    pieces = f"""transform(sequence(0, int((size(spans) - 1) div __z)),
-        c -> get(transform(array({part}), p -> array_join(transform(slice(spans, c * __z + 1, __z), (s, i) -> {piece}), '')), 0))"""
-    rest = f"substring(text, aggregate(spans, 0, {furthest}) + 1, length(text))"
-    done = found.withColumn("__e", F.expr(ends)).withColumn("__at", F.expr(reached)).withColumn("__z", F.expr(size))
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.expr(f"concat(array_join({pieces}, ''), {rest})"))
-    return done.withColumn("text", text).drop("__e", "__at", "__z", "base", "spans")
+    ends = F.transform(_chunks(F.size(spans)), lambda c: F.aggregate(_chunk(spans, c), F.lit(0), furthest))
+
+    def reached(ends: Column) -> Column:
+        def chunk(c: Column) -> Column:
+            def each(base: Column) -> Column:
+                before = lambda i: F.aggregate(F.slice(spans, c * CHUNK + 1, i), F.lit(0), furthest)
+                return F.transform(_chunk(spans, c), lambda s, i: F.greatest(base, before(i)))
+
+            return _let(F.aggregate(F.slice(ends, F.lit(1), c), F.lit(0), lambda a, x: F.greatest(a, x)), each)
+
+        return F.flatten(F.transform(_chunks(F.size(spans)), chunk))
+
+    def written(x: Column) -> Column:
+        at, size = x["at"], x["size"]
+
+        def part(c: Column) -> Column:
+            start = F.get(at, c * size)
+            end = F.get(spans, F.least((c + 1) * size, F.size(spans)) - 1)["start"]
+            return _struct(start=start, part=F.substring(text, start + 1, end - start))
+
+        def pieces(c: Column) -> Column:
+            def piece(p: Column) -> Function:
+                def one(s: Column, i: Column) -> Column:
+                    begin = F.get(at, c * size + i)
+                    stretch = F.substring(p["part"], begin - p["start"] + 1, s["start"] - begin)
+                    return _if(s["start"] < begin, F.lit(""), F.concat(stretch, F.get(names, s["k"])))
+
+                return one
+
+            return _let(part(c), lambda p: F.array_join(F.transform(F.slice(spans, c * size + 1, size), piece(p)), ""))
+
+        last = F.floor((F.size(spans) - 1) / size).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), last), pieces), "")
+
+    size = F.greatest(F.lit(CHUNK), F.ceil(F.sqrt(F.size(spans))).cast("int"))
+    begun = _let(_struct(at=_let(ends, reached), size=size), written)
+    rest = F.substring(text, F.aggregate(spans, F.lit(0), furthest) + 1, F.length(text))
+    return found.withColumn("text", _if(F.size(spans) == 0, text, F.concat(begun, rest))).drop("base", "spans")

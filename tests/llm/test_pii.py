@@ -125,3 +125,16 @@ def test_redaction_and_listing(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.detect(docs, pii.fit(docs)).count() == 0
+
+
+def test_a_filter_on_what_was_found_does_not_copy_the_search(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.cd or 10.0.0.1"), (2, "nothing")], "doc_id int, text string")
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    for model in (pii.Model("0D", (pii.NEVER,) * 4), EAGER):
+        found = pii.detect(docs, model)
+        some = found.where("size(base) > 0")
+        assert size(some) < 2 * size(found)
+        assert [r.doc_id for r in some.collect()] == [1]
+    clean = pii.redact(found)
+    some = clean.where("text is not null")
+    assert size(some) < 3 * size(clean) and some.count() == 2
